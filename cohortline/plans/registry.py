@@ -56,3 +56,139 @@ register("platform_summary_rounded", O.platform_summary_sql(round_first=True))(
     lambda s, d: M.platform_summary(cleaned(s, d), round_first=True))
 register("platform_share_yearly", O.platform_share_yearly_sql())(
     lambda s, d: M.platform_share_yearly(cleaned(s, d)))
+
+
+# ── sources and cleaning steps ──────────────────────────────────────────────
+
+from cohortline import schema as S  # noqa: E402
+from cohortline.operators import adhoc as A  # noqa: E402
+from cohortline.operators import cleaning as C  # noqa: E402
+from cohortline.operators import dashboard as P  # noqa: E402
+from cohortline.operators import quality as Q  # noqa: E402
+from cohortline.operators import trust as D  # noqa: E402
+from cohortline.session import scratch_path  # noqa: E402
+from cohortline.sources import files as IO  # noqa: E402
+from cohortline.sources.fixture import raw_files  # noqa: E402
+
+
+def _typed_raw(df: DataFrame) -> DataFrame:
+    """Raw text columns with the amounts read as doubles (no rounding)."""
+    return df.withColumns({c: df[c].cast("double") for c in S.AMOUNT_COLUMNS})
+
+
+@register("scan_raw", O.raw_all_sql())
+def _scan_raw(spark, sf_dir):
+    """S1: the two raw files written as CSV, scanned back with the all-text schema."""
+    hist, recent = raw_files(spark, sf_dir)
+    hp, rp = scratch_path(spark, "raw_hist"), scratch_path(spark, "raw_recent")
+    IO.write_csv(hist, hp)
+    IO.write_csv(recent, rp)
+    h, r = IO.load_raw(spark, hp, rp)
+    return _typed_raw(C.merge_files(h, r))
+
+
+@register("csv_round_trip", O.clean_orders_sql())
+def _csv_round_trip(spark, sf_dir):
+    """S2/S5: cleaned table written as CSV and read back typed ('' and null kept apart)."""
+    path = scratch_path(spark, "clean_csv")
+    IO.write_clean(cleaned(spark, sf_dir), path, fmt="csv")
+    return IO.read_clean(spark, path, fmt="csv")
+
+
+register("merge_files", O.raw_all_sql())(lambda s, d: C.merge_files(*raw_files(s, d)))
+register("fix_date", O.fix_date_sql())(lambda s, d: C.fix_date_column(raw_orders(s, d)))
+register("fix_country", O.fix_country_sql())(
+    lambda s, d: C.fix_missing_country(raw_orders(s, d), city_country_lookup(s, d)))
+register("residual_null_country", O.residual_null_country_sql())(
+    lambda s, d: C.country_fill_summary(raw_orders(s, d)))
+register("fix_promo", O.fix_promo_sql())(lambda s, d: C.fix_promo_code(raw_orders(s, d)))
+register("standardise_types", O.standardise_types_sql())(lambda s, d: C.standardise_column_types(raw_orders(s, d)))
+register("add_usd", O.add_usd_sql())(
+    lambda s, d: C.add_usd_columns(C.standardise_column_types(raw_orders(s, d))))
+register("country_audit", O.country_audit_sql())(
+    lambda s, d: C.country_audit(raw_orders(s, d), city_country_lookup(s, d)))
+register("issue_log", O.issue_log_sql())(lambda s, d: C.issue_log(raw_orders(s, d)))
+
+# ── quality rules ───────────────────────────────────────────────────────────
+
+register("check_duplicates", O.check_duplicates_sql())(
+    lambda s, d: Q.check_duplicates(C.merge_files(*raw_files(s, d, overlap=True))))
+register("file_overlap", O.file_overlap_sql())(lambda s, d: Q.file_overlap(*raw_files(s, d, overlap=True)))
+register("check_key_nulls", O.check_key_nulls_sql())(lambda s, d: Q.check_key_nulls(raw_orders(s, d)))
+register("null_profile", O.null_profile_sql())(lambda s, d: Q.null_profile(raw_orders(s, d)))
+register("quality_report", O.quality_report_sql())(
+    lambda s, d: Q.quality_report(cleaned(s, d), raw_orders(s, d), boundary="1999-07-01"))
+register("distinct_values", O.distinct_values_sql())(lambda s, d: Q.distinct_values(cleaned(s, d)))
+register("status_distribution", O.status_distribution_sql())(lambda s, d: Q.status_distribution(cleaned(s, d)))
+# region names stand in for country codes; one value is deliberately left out
+FIXTURE_COUNTRY_DOMAIN = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
+register("accepted_values", O.accepted_values_sql(FIXTURE_COUNTRY_DOMAIN))(
+    lambda s, d: Q.accepted_values(cleaned(s, d), S.COUNTRY, FIXTURE_COUNTRY_DOMAIN))
+register("refund_rule", O.refund_rule_sql())(lambda s, d: Q.refund_rule(cleaned(s, d)))
+register("promo_trim_check", O.promo_trim_check_sql())(lambda s, d: Q.promo_trim_check(raw_orders(s, d)))
+register("usd_formula_check", O.usd_formula_check_sql())(
+    lambda s, d: Q.usd_formula_check(cleaned(s, d, None), rate_digits=2))
+
+
+@register("type_profile")
+def _type_profile(spark, sf_dir):
+    return Q.type_profile(cleaned(spark, sf_dir))
+
+
+# ── trust checks ────────────────────────────────────────────────────────────
+
+register("uuid_location_orders", O.uuid_location_orders_sql())(lambda s, d: D.uuid_location_orders(cleaned(s, d)))
+register("uuid_clusters", O.uuid_clusters_sql())(lambda s, d: D.uuid_clusters(cleaned(s, d)))
+register("grain_check", O.grain_check_sql())(lambda s, d: D.grain_check(cleaned(s, d)))
+register("redemption_rate", O.redemption_rate_sql())(lambda s, d: D.redemption_rate(cleaned(s, d)))
+register("row_drift_check", O.row_drift_check_sql())(
+    lambda s, d: D.row_drift_check(cleaned(s, d), D.literal_frame(s, O.RUN_LOG, "run_id bigint, row_count bigint")))
+register("mct_contracts", O.mct_contracts_sql())(lambda s, d: D.mct_contracts(M.master_customer_table(cleaned(s, d))))
+
+
+@register("reconciliation", O.reconciliation_sql())
+def _reconciliation(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return D.reconciliation(c, M.master_customer_table(c))
+
+
+register("classified_audit", O.classified_audit_sql())(lambda s, d: CL.classified_audit(cleaned(s, d)))
+register("classified_180d", O.classified_180d_sql())(lambda s, d: D.classification_compare(cleaned(s, d)))
+register("freshness_check", O.freshness_check_sql())(
+    lambda s, d: D.freshness_check(cleaned(s, d), D.literal_frame(s, [(x,) for x in O.FRESHNESS_AS_OF], "as_of string")))
+register("customers_by_cohort_country", O.customers_by_cohort_country_sql())(
+    lambda s, d: D.customers_by_cohort_country(cleaned(s, d)))
+register("cluster_count", O.cluster_count_sql())(lambda s, d: D.cluster_count(cleaned(s, d)))
+register("activation_floor", O.activation_floor_sql())(
+    lambda s, d: D.activation_floor(M.revenue_mix_monthly(cleaned(s, d))))
+register("platform_by_country", O.platform_by_country_sql())(lambda s, d: D.platform_by_country(cleaned(s, d)))
+register("platform_by_tenure", O.platform_by_tenure_sql())(lambda s, d: D.platform_by_tenure(cleaned(s, d)))
+
+# ── customer mart views and dashboard aggregates ────────────────────────────
+
+register("primary_platform", O.primary_platform_sql())(lambda s, d: M.primary_platform(cleaned(s, d)))
+register("top_customers", O.top_customers_sql())(lambda s, d: M.top_customers(M.master_customer_table(cleaned(s, d))))
+register("platform_distribution", O.platform_distribution_sql())(lambda s, d: P.platform_distribution(cleaned(s, d)))
+register("monthly_orders", O.monthly_orders_sql())(lambda s, d: P.monthly_orders(cleaned(s, d)))
+register("portfolio_kpis", O.portfolio_kpis_sql())(lambda s, d: P.portfolio_kpis(M.master_customer_table(cleaned(s, d))))
+register("cohort_by_platform", O.cohort_by_platform_sql())(
+    lambda s, d: P.cohort_by_platform(M.master_customer_table(cleaned(s, d))))
+register("orders_histogram", O.orders_histogram_sql())(
+    lambda s, d: P.orders_histogram(M.master_customer_table(cleaned(s, d))))
+register("profitability_points", O.profitability_points_sql())(
+    lambda s, d: P.profitability_points(M.master_customer_table(cleaned(s, d))))
+register("platform_delta", O.platform_delta_sql())(lambda s, d: P.platform_delta(M.platform_summary(cleaned(s, d))))
+register("platform_metrics_long", O.platform_metrics_long_sql())(
+    lambda s, d: P.platform_metrics_long(M.platform_summary(cleaned(s, d))))
+register("monthly_tail", O.monthly_tail_sql())(
+    lambda s, d: M.revenue_mix_monthly(cleaned(s, d)).orderBy(F.col("month").desc(), F.col("order_type").desc()).limit(6))
+
+# ── ad-hoc SQL and the example statements ───────────────────────────────────
+
+from pyspark.sql import functions as F  # noqa: E402
+
+_EX_SQL = O.examples_sql()
+for _name in A.EXAMPLES:
+    register(_name, _EX_SQL[_name])(lambda s, d, _n=_name: A.run_example(s, cleaned(s, d), _n))
+register("ex_order_classification", _EX_SQL["ex_order_classification"])(
+    lambda s, d: A.order_classification_example(CL.classify_orders(cleaned(s, d))))

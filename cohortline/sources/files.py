@@ -14,7 +14,7 @@ NULL_TOKEN = "\\N"
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw order file(s): header row, every field read as text, no inference."""
     return (spark.read.schema(S.RAW_SCHEMA).option("header", True)
-            .option("nullValue", NULL_TOKEN).option("emptyValue", "").option("mode", "FAILFAST")
+            .option("nullValue", NULL_TOKEN).option("mode", "FAILFAST")
             .csv(path))
 
 
@@ -25,13 +25,15 @@ def load_raw(spark: SparkSession, hist_path: str, recent_path: str) -> tuple[Dat
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite ``path`` with header CSV parts (a distributed write, no driver funnel)."""
     (df.write.mode("overwrite").option("header", True)
-       .option("nullValue", NULL_TOKEN).option("emptyValue", "").csv(path))
+       .option("nullValue", NULL_TOKEN)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
     """Cleaned table from CSV with the typed 19-column schema."""
     return (spark.read.schema(S.CLEAN_SCHEMA).option("header", True)
-            .option("nullValue", NULL_TOKEN).option("emptyValue", "").option("mode", "FAILFAST")
+            .option("nullValue", NULL_TOKEN).option("mode", "FAILFAST")
             .option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
