@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cohortline import schema as S
 from cohortline.functions.dates import parse_date_strict
-from cohortline.functions.joins import bounded_broadcast
+from cohortline.functions.joins import MAX_BROADCAST_ROWS
 from cohortline.functions.money import round2_even
 from cohortline.functions.text import strip_ws
 
@@ -47,18 +47,23 @@ def default_city_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.CITY_COUNTRY_PAIRS, "city string, country string")
 
 
-def validate_lookup(lookup: DataFrame) -> DataFrame:
-    """The lookup must map each city to exactly one country (else a join would fan out)."""
-    bad = (lookup.groupBy("city").agg(F.count_distinct("country").alias("n"), F.count("*").alias("rows"))
-                 .where("n > 1 OR rows > 1").limit(5).collect())
-    if bad:
-        raise DataQualityError(f"city lookup is ambiguous for: {[r['city'] for r in bad]}")
-    return lookup
+def validate_lookup(lookup: DataFrame, key: str = "city", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Check the lookup in one small job: each key maps to exactly one row
+    (else the join would fan out), and the row count decides whether it may be
+    broadcast.  Returns the lookup, broadcast-hinted when it is small enough."""
+    per_city = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    stats = per_city.agg(F.sum("rows").alias("rows"),
+                         F.count_if(F.col("rows") > 1).alias("ambiguous"),
+                         F.max_by(key, "rows").alias("example")).first()
+    if stats["ambiguous"]:
+        raise DataQualityError(f"city lookup maps {stats['ambiguous']} cities to several rows, e.g. {stats['example']!r}")
+    return F.broadcast(lookup) if (stats["rows"] or 0) <= max_rows else lookup
 
 
 def _lookup_join(df: DataFrame, lookup: DataFrame, city_col: str) -> DataFrame:
-    lk = validate_lookup(lookup).select(F.col("city").alias("_lk_city"), F.col("country").alias("_lk_country"))
-    return df.join(bounded_broadcast(lk), F.col(city_col) == F.col("_lk_city"), "left")
+    lk = validate_lookup(lookup.select(F.col("city").alias("_lk_city"), F.col("country").alias("_lk_country")),
+                         key="_lk_city")
+    return df.join(lk, F.col(city_col) == F.col("_lk_city"), "left")
 
 
 def fix_missing_country(df: DataFrame, lookup: DataFrame | None = None,
@@ -75,10 +80,10 @@ def fix_missing_country(df: DataFrame, lookup: DataFrame | None = None,
 def country_fill_summary(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """C4: nulls before the lookup, filled by it, still null after (one row)."""
     fixed = fix_missing_country(raw.select(S.CITY, S.COUNTRY), lookup)
+    still_null = fixed.agg(F.count_if(F.col(S.COUNTRY).isNull())).scalar()
     before = raw.agg(F.count_if(F.col(S.COUNTRY).isNull()).alias("null_before"))
-    after = fixed.agg(F.count_if(F.col(S.COUNTRY).isNull()).alias("still_null"))
-    return (before.crossJoin(after)
-            .select("null_before", (F.col("null_before") - F.col("still_null")).alias("filled"), "still_null"))
+    return before.select("null_before", (F.col("null_before") - still_null).alias("filled"),
+                         still_null.alias("still_null"))
 
 
 # ── C5 ──────────────────────────────────────────────────────────────────────
