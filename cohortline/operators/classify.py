@@ -31,22 +31,27 @@ from cohortline.functions.money import to_cents
 _DAY_AMOUNTS = {"gb": S.GROSS_USD, "m1": S.MARGIN_USD, "vfm": S.VFM_USD, "gp": S.PROFIT_USD}
 
 
-def order_days(clean: DataFrame, amounts: bool = True) -> DataFrame:
+def order_days(clean: DataFrame, amounts: bool = True, first_order: bool = True) -> DataFrame:
     """One row per (user_uuid, operational_view_date).
 
-    Columns: n_rows (orders), n_orders (non-null order ids), first_order_uuid,
-    and for each amount ``{k}_c`` (cent sum), ``{k}_n`` (non-null count) plus
-    ``first_gb_c`` (cents of the day's first order).
+    Columns: n_rows (orders), n_orders (non-null order ids); with ``amounts``
+    ``{k}_c`` (cent sum) and ``{k}_n`` (non-null count) per amount; with
+    ``first_order`` the day's first order id and ``first_gb_c`` (its cents).
+    The first-order columns take a string minimum, which Spark aggregates by
+    sorting; callers that only need day counts leave them out and keep a
+    hash aggregate.
     """
     aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.count(S.ORDER).alias("n_orders"),
-        F.min(S.ORDER).alias("first_order_uuid"),
     ]
+    if first_order:
+        aggs.append(F.min(S.ORDER).alias("first_order_uuid"))
     if amounts:
         for k, c in _DAY_AMOUNTS.items():
             aggs += [F.sum(to_cents(c)).alias(f"{k}_c"), F.count(c).alias(f"{k}_n")]
-        aggs.append(F.min_by(to_cents(S.GROSS_USD), F.col(S.ORDER)).alias("first_gb_c"))
+        if first_order:
+            aggs.append(F.min_by(to_cents(S.GROSS_USD), F.col(S.ORDER)).alias("first_gb_c"))
     return clean.groupBy(S.USER, S.DATE).agg(*aggs)
 
 
@@ -62,8 +67,9 @@ def classify_days(days: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS) -> D
     return out.withColumn("day_type", day_type)
 
 
-def classified_days(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS, amounts: bool = True) -> DataFrame:
-    return classify_days(order_days(clean, amounts), gap_days)
+def classified_days(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS, amounts: bool = True,
+                    first_order: bool = True) -> DataFrame:
+    return classify_days(order_days(clean, amounts, first_order), gap_days)
 
 
 def day_type_contributions(cdays: DataFrame) -> DataFrame:
@@ -85,27 +91,49 @@ def day_type_contributions(cdays: DataFrame) -> DataFrame:
                  .where(F.col("rows") > 0))
 
 
-def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS) -> DataFrame:
-    """Order-level classification (M0): the 9 order columns plus
-    prev_order_date, order_seq and order_type."""
-    cdays = classified_days(clean, gap_days, amounts=False).select(
-        S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
-    orders = clean.select(S.USER, S.ORDER, S.DATE, S.PLATFORM, S.GROSS_USD, S.MARGIN_USD, S.VFM_USD,
-                          S.PROFIT_USD, S.STATUS)
-    j = orders.join(cdays, [S.USER, S.DATE])
+# Days with more orders than this are ranked by a range-partitioned sort
+# instead of a per-day window (one task per day).
+HOT_DAY_ROWS = 1_000_000
+
+_ORDER_COLS = [S.USER, S.ORDER, S.DATE, S.PLATFORM, S.GROSS_USD, S.MARGIN_USD, S.VFM_USD, S.PROFIT_USD, S.STATUS]
+
+
+def _finish(j: DataFrame, rank_in_day) -> DataFrame:
     is_first = F.col(S.ORDER) == F.col("first_order_uuid")
-    # Rank inside a (customer, day): the join output is already clustered by
-    # (user, date), so this window adds a sort but no shuffle.
-    w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
-    rank_in_day = F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day))
     return j.select(
-        S.USER, S.ORDER, S.DATE, S.PLATFORM, S.GROSS_USD, S.MARGIN_USD, S.VFM_USD, S.PROFIT_USD, S.STATUS,
+        *_ORDER_COLS,
         F.when(is_first, F.col("prev_day")).otherwise(F.col(S.DATE)).alias("prev_order_date"),
         (F.col("orders_before") + rank_in_day).cast("int").alias("order_seq"),
         F.when(is_first, F.col("day_type")).otherwise(F.lit("retained")).alias("order_type"),
     )
 
 
+def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
+                    hot_day_rows: int = HOT_DAY_ROWS) -> DataFrame:
+    """Order-level classification (M0): the 9 order columns plus
+    prev_order_date, order_seq and order_type.
+
+    The day facts are joined back on (user, date).  The rank inside a day is a
+    per-day window for ordinary days (at most ``hot_day_rows`` rows per
+    window group) and :func:`rank_within` for hotter days, so no single task
+    ever holds a whole oversized day.
+    """
+    from cohortline.operators.sequence import rank_within
+
+    cdays = classified_days(clean, gap_days, amounts=False).select(
+        S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
+    orders = clean.select(*_ORDER_COLS)
+    j = orders.join(cdays, [S.USER, S.DATE])
+    ordinary = j.where(F.col("n_rows") <= hot_day_rows)
+    # the join output is clustered by (user, date): this window sorts, no shuffle
+    w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
+    out = _finish(ordinary, F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day)))
+    hot = j.where(F.col("n_rows") > hot_day_rows)
+    ranks = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day")
+    hot_out = _finish(hot.join(ranks, [S.USER, S.DATE, S.ORDER]), F.col("rank_in_day"))
+    return out.unionByName(hot_out)
+
+
 def order_gaps(clean: DataFrame) -> DataFrame:
     """W1 + W2: previous order date and sequence number per customer."""
     return classify_orders(clean).select(S.USER, S.ORDER, S.DATE, "prev_order_date", "order_seq")

@@ -50,7 +50,7 @@ def primary_platform_ranked(clean: DataFrame) -> DataFrame:
 
 
 def _customer_facts(clean: DataFrame, gap_days: int, as_of) -> DataFrame:
-    cdays = classified_days(clean, gap_days)
+    cdays = classified_days(clean, gap_days, first_order=False)
     as_of_col = _as_of_column(clean, as_of)
     agg = cdays.groupBy(S.USER).agg(
         F.min(S.DATE).alias("first_order_date"),

@@ -154,3 +154,22 @@ def test_drift_and_freshness(spark):
     assert [r["within_tolerance"] for r in rows] == [True, False, True]
     asof = spark.createDataFrame([("2001-08-02",), ("2001-08-05",)], "as_of string")
     assert [r["is_fresh"] for r in D.freshness_check(clean, asof).orderBy("as_of").collect()] == [True, False]
+
+
+def test_hot_day_path_matches_window_path(spark, make_raw):
+    from cohortline.operators.sequence import rank_within
+
+    spec = [("h", "2021-01-01", f"h{i:03d}", "web", i) for i in range(40)] + GAPS
+    clean = _orders(make_raw, spec)
+    normal = CL.classify_orders(clean)
+    forced = CL.classify_orders(clean, hot_day_rows=1)   # every multi-order day takes the range path
+    assert normal.exceptAll(forced).count() == 0 and forced.exceptAll(normal).count() == 0
+    r = {x[S.ORDER]: x["rank"] for x in rank_within(clean, [S.USER, S.DATE], S.ORDER, num_partitions=7).collect()}
+    assert [r[f"h{i:03d}"] for i in range(40)] == list(range(1, 41))
+    assert r["d1"] == 1 and r["d2"] == 2 and r["e1"] == 1
+
+
+def test_hot_day_path_on_fixture(spark):
+    clean = cleaned(spark, SF_SMALL)
+    a, b = CL.classify_orders(clean), CL.classify_orders(clean, hot_day_rows=1)
+    assert a.exceptAll(b).count() == 0 and b.count() == a.count()
