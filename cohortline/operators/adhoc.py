@@ -101,3 +101,16 @@ def order_classification_example(classified: DataFrame) -> DataFrame:
     return classified.select("user_uuid", "order_uuid", "operational_view_date",
                              classified["prev_order_date"].alias("prev_date"),
                              classified["order_seq"].alias("seq"), "order_type")
+
+
+def head_rows(df: DataFrame, n: int = 5, *order_cols) -> DataFrame:
+    """First ``n`` rows in the given order (a top-k, not a full sort)."""
+    return (df.orderBy(*order_cols) if order_cols else df).limit(n)
+
+
+def tail_rows(df: DataFrame, n: int, *order_cols: str) -> DataFrame:
+    """Last ``n`` rows by ``order_cols``: a descending top-k, re-sorted ascending."""
+    from pyspark.sql import functions as F
+
+    top = df.orderBy(*[F.col(c).desc() for c in order_cols]).limit(n)
+    return top.orderBy(*order_cols)

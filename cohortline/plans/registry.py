@@ -191,12 +191,10 @@ register("platform_delta", O.platform_delta_sql())(lambda s, d: P.platform_delta
 register("platform_metrics_long", O.platform_metrics_long_sql())(
     lambda s, d: P.platform_metrics_long(M.platform_summary(cleaned_table(s, d))))
 register("monthly_tail", O.monthly_tail_sql())(
-    lambda s, d: M.revenue_mix_monthly(cleaned_table(s, d)).orderBy(F.col("month").desc(), F.col("order_type").desc()).limit(6))
+    lambda s, d: A.tail_rows(M.revenue_mix_monthly(cleaned_table(s, d)), 6, "month", "order_type"))
 
 # ── ad-hoc SQL and the example statements ───────────────────────────────────
 
-from pyspark.sql import functions as F  # noqa: E402
-
 _EX_SQL = O.examples_sql()
 for _name in A.EXAMPLES:
     register(_name, _EX_SQL[_name])(lambda s, d, _n=_name: A.run_example(s, cleaned_table(s, d), _n))

@@ -56,3 +56,9 @@ def read_clean(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "csv":
         return read_clean_csv(spark, path)
     return spark.read.parquet(path)
+
+
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """Cleaned orders registered in the catalog under ``name`` (a parameter,
+    e.g. ``project.dataset.orders_merged``)."""
+    return spark.table(name)
