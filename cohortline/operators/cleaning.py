@@ -47,14 +47,29 @@ def default_city_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.CITY_COUNTRY_PAIRS, "city string, country string")
 
 
+_LOOKUP_STATS: dict[tuple, dict] = {}
+
+
+def _lookup_stats(lookup: DataFrame, key: str) -> dict:
+    """Row count and ambiguity of a lookup, remembered per (plan, input files):
+    the same lookup over unchanged files is checked once per session."""
+    from cohortline.sources.testdata import file_signature
+
+    files = tuple(file_signature(f.replace("file://", "").replace("file:", "")) for f in sorted(lookup.inputFiles()))
+    memo_key = (lookup.sparkSession.sparkContext.applicationId, lookup.semanticHash(), key, files)
+    if memo_key not in _LOOKUP_STATS or any(sig[1] is None for sig in files):
+        per_key = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        _LOOKUP_STATS[memo_key] = per_key.agg(F.sum("rows").alias("rows"),
+                                              F.count_if(F.col("rows") > 1).alias("ambiguous"),
+                                              F.max_by(key, "rows").alias("example")).first().asDict()
+    return _LOOKUP_STATS[memo_key]
+
+
 def validate_lookup(lookup: DataFrame, key: str = "city", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Check the lookup in one small job: each key maps to exactly one row
     (else the join would fan out), and the row count decides whether it may be
     broadcast.  Returns the lookup, broadcast-hinted when it is small enough."""
-    per_city = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    stats = per_city.agg(F.sum("rows").alias("rows"),
-                         F.count_if(F.col("rows") > 1).alias("ambiguous"),
-                         F.max_by(key, "rows").alias("example")).first()
+    stats = _lookup_stats(lookup, key)
     if stats["ambiguous"]:
         raise DataQualityError(f"city lookup maps {stats['ambiguous']} cities to several rows, e.g. {stats['example']!r}")
     return F.broadcast(lookup) if (stats["rows"] or 0) <= max_rows else lookup

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortline import schema as S
 from cohortline.operators.quality import run_quality_checks
 from cohortline.session import scratch_path
 
@@ -43,4 +44,4 @@ def materialize_clean(spark: SparkSession, sf_dir: str, build: Callable[[], Data
         if checks:
             run_quality_checks(spark.read.parquet(path))
         _WRITTEN[key] = path
-    return spark.read.parquet(path)
+    return spark.read.schema(S.CLEAN_SCHEMA).parquet(path)

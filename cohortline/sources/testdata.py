@@ -8,7 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
+# Parquet schema per (path, file sizes and mtimes): inference reads footers on
+# every read, the stat-based key keeps a changed file from reusing a schema.
+_SCHEMAS: dict[tuple, object] = {}
+
+
+def file_signature(path: str) -> tuple:
+    """(path, ((file, size, mtime), ...)) for a file or a folder of files."""
+    if os.path.isdir(path):
+        entries = []
+        for root, _, files in os.walk(path):
+            for f in sorted(files):
+                st = os.stat(os.path.join(root, f))
+                entries.append((os.path.join(root, f), st.st_size, st.st_mtime_ns))
+        return (path, tuple(entries))
+    if os.path.exists(path):
+        st = os.stat(path)
+        return (path, ((path, st.st_size, st.st_mtime_ns),))
+    return (path, None)  # remote path: no local stat, infer every time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    sig = file_signature(path)
+    schema = _SCHEMAS.get(sig) if sig[1] is not None else None
+    if schema is None:
+        df = spark.read.parquet(path)
+        if sig[1] is not None:
+            _SCHEMAS[sig] = df.schema
+    else:
+        df = spark.read.schema(schema).parquet(path)
     return df.select(*columns) if columns else df
