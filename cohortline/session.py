@@ -32,6 +32,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_defaults(spark)
+    for k, v in (extra or {}).items():  # explicit SQL settings win over the defaults
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
