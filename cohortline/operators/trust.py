@@ -158,11 +158,18 @@ def platform_by_country(clean: DataFrame) -> DataFrame:
 
 
 def platform_by_tenure(clean: DataFrame) -> DataFrame:
-    """Platform metrics by tenure year (whole 365-day years since the customer's first order)."""
-    first = clean.groupBy(S.USER).agg(F.min(S.DATE).alias("first_order_date"))
-    tenure = F.floor(F.datediff(F.col(S.DATE), F.col("first_order_date")) / 365).alias("tenure_year")
-    with_t = clean.join(first, S.USER)
-    cp = customer_platform(with_t, [tenure])
+    """Platform metrics by tenure year (whole 365-day years since the customer's first order).
+
+    Works on the (customer, day, platform group) grain: the first-order date is
+    a window over a customer's active days (bounded by the calendar), so no
+    order-level join on the customer key is needed."""
+    days = customer_platform(clean, [F.col(S.DATE)])
+    first = F.min(S.DATE).over(Window.partitionBy(S.USER))
+    tenure = F.floor(F.datediff(F.col(S.DATE), first) / 365)
+    cp = (days.withColumn("tenure_year", tenure)
+              .groupBy(S.USER, "platform_group", "tenure_year")
+              .agg(F.sum("orders").alias("orders"), F.sum("gb_c").alias("gb_c"),
+                   F.sum("gb_n").alias("gb_n"), F.sum("gp_c").alias("gp_c")))
     return _platform_metrics(cp, ["platform_group", "tenure_year"], False).orderBy("platform_group", "tenure_year")
 
 
