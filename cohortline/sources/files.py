@@ -62,3 +62,31 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     """Cleaned orders registered in the catalog under ``name`` (a parameter,
     e.g. ``project.dataset.orders_merged``)."""
     return spark.table(name)
+
+
+def publish_table(df: DataFrame, name: str, path: str, comment: str | None = None,
+                  properties: dict[str, str] | None = None) -> DataFrame:
+    """Save ``df`` as catalog table ``name`` stored at ``path`` (Parquet) and
+    annotate it: a table comment plus lineage/ownership/freshness properties
+    (e.g. source tables, refresh schedule, max lag, owner)."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
+    # "owner" is reserved by Spark (set to the current user): keep ours apart
+    props = {("data_owner" if k == "owner" else k): v for k, v in (properties or {}).items()}
+    if comment:
+        props["comment"] = comment
+    if props:
+        def q(v: str) -> str:
+            return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        kv = ", ".join(f"{q(k)} = {q(v)}" for k, v in props.items())
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({kv})")
+    return spark.table(name)
+
+
+def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """Table properties plus the table comment (under ``comment``)."""
+    props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    desc = spark.catalog.getTable(name).description
+    if desc is not None:
+        props["comment"] = desc
+    return props

@@ -173,3 +173,16 @@ def test_hot_day_path_on_fixture(spark):
     clean = cleaned(spark, SF_SMALL)
     a, b = CL.classify_orders(clean), CL.classify_orders(clean, hot_day_rows=1)
     assert a.exceptAll(b).count() == 0 and b.count() == a.count()
+
+
+def test_publish_table_with_lineage(spark):
+    clean = cleaned(spark, SF_SMALL)
+    path = scratch_path(spark, "published")
+    props = {"source_tables": "orders_historical,orders_recent", "refresh": "daily 06:00 UTC",
+             "max_lag_hours": "24", "owner": "analytics"}
+    t = IO.publish_table(clean.limit(5), "orders_merged_test", path, "cleaned orders, one row per order", props)
+    assert t.count() == 5 and IO.read_table(spark, "orders_merged_test").count() == 5
+    got = IO.table_properties(spark, "orders_merged_test")
+    assert got["data_owner"] == "analytics" and got["max_lag_hours"] == "24"
+    assert got["comment"] == "cleaned orders, one row per order"
+    spark.sql("DROP TABLE orders_merged_test")
