@@ -28,6 +28,14 @@ def _signature(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(parts))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (local or cluster storage)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
 def materialize_clean(spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame],
                       checks: bool = True) -> DataFrame:
     """Write ``build()`` once per (session, input files) and return a scan of it.
@@ -38,6 +46,8 @@ def materialize_clean(spark: SparkSession, sf_dir: str, build: Callable[[], Data
     """
     key = _signature(spark, sf_dir)
     path = _WRITTEN.get(key)
+    if path is not None and not path_exists(spark, path + "/_SUCCESS"):
+        path = None  # the folder was cleared: rebuild
     if path is None:
         path = scratch_path(spark, "cleaned_orders")
         build().write.mode("overwrite").parquet(path)

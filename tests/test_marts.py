@@ -186,3 +186,14 @@ def test_publish_table_with_lineage(spark):
     assert got["data_owner"] == "analytics" and got["max_lag_hours"] == "24"
     assert got["comment"] == "cleaned orders, one row per order"
     spark.sql("DROP TABLE orders_merged_test")
+
+
+def test_cleaned_table_rebuilt_when_missing(spark):
+    from cohortline.plans import materialize
+    from cohortline.plans.registry import cleaned_table
+
+    n = cleaned_table(spark, SF_SMALL).count()
+    key = materialize._signature(spark, SF_SMALL)
+    materialize._WRITTEN[key] = scratch_path(spark, "never_written")   # a folder that does not exist
+    again = cleaned_table(spark, SF_SMALL)
+    assert again.count() == n and materialize._WRITTEN[key].rsplit("/", 1)[-1].startswith("cleaned_orders")
