@@ -50,16 +50,41 @@ def primary_platform_ranked(clean: DataFrame) -> DataFrame:
 
 
 def _customer_facts(clean: DataFrame, gap_days: int, as_of) -> DataFrame:
-    cdays = classified_days(clean, gap_days, first_order=False)
+    """Per-customer facts and primary platform with two shuffles.
+
+    Orders are pre-aggregated to (customer, day, platform) rows; one window per
+    customer ordered by (day, platform) finds each day's first row and the
+    previous active day (``lag``).  Everything after the window is a
+    (customer, platform) then (customer) aggregation on data that is already
+    hash-partitioned by customer, so no further exchange is planned.  A window
+    group holds at most days × platforms rows, whatever the order volume.
+    """
     as_of_col = _as_of_column(clean, as_of)
-    agg = cdays.groupBy(S.USER).agg(
-        F.min(S.DATE).alias("first_order_date"),
-        F.max(S.DATE).alias("last_order_date"),
+    dp = clean.groupBy(S.USER, S.DATE, S.PLATFORM).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(S.ORDER).alias("n_orders"),
+        F.sum(to_cents(S.GROSS_USD)).alias("gb_c"), F.count(S.GROSS_USD).alias("gb_n"),
+        F.sum(to_cents(S.MARGIN_USD)).alias("m1_c"), F.sum(to_cents(S.VFM_USD)).alias("vfm_c"),
+        F.sum(to_cents(S.PROFIT_USD)).alias("gp_c"), F.count(S.PROFIT_USD).alias("gp_n"),
+    )
+    w = Window.partitionBy(S.USER).orderBy(S.DATE, F.col(S.PLATFORM).asc_nulls_last())
+    prev = F.lag(S.DATE).over(w)
+    dp = dp.withColumn("_prev", prev)
+    reactivated = (F.col("_prev").isNotNull() & (F.col("_prev") != F.col(S.DATE))
+                   & (F.datediff(F.col(S.DATE), F.col("_prev")) > F.lit(gap_days)))
+    per_platform = dp.groupBy(S.USER, S.PLATFORM).agg(
+        F.min(S.DATE).alias("first_d"), F.max(S.DATE).alias("last_d"),
+        F.sum("n_rows").alias("n_rows"), F.sum("n_orders").alias("n_orders"),
+        *[F.sum(c).alias(c) for c in ["gb_c", "gb_n", "m1_c", "vfm_c", "gp_c", "gp_n"]],
+        F.count_if(reactivated).alias("react"),
+    )
+    best = F.min(F.struct((-F.col("n_rows")).alias("neg_n"), F.col(S.PLATFORM).isNull().alias("is_null"),
+                          F.col(S.PLATFORM).alias("p")))
+    agg = per_platform.groupBy(S.USER).agg(
+        F.min("first_d").alias("first_order_date"), F.max("last_d").alias("last_order_date"),
         F.sum("n_orders").alias("total_orders"),
-        F.sum("gb_c").alias("gb_c"), F.sum("gb_n").alias("gb_n"),
-        F.sum("m1_c").alias("m1_c"), F.sum("vfm_c").alias("vfm_c"),
-        F.sum("gp_c").alias("gp_c"), F.sum("gp_n").alias("gp_n"),
-        F.count_if(F.col("day_type") == "reactivated").alias("reactivation_count"),
+        *[F.sum(c).alias(c) for c in ["gb_c", "gb_n", "m1_c", "vfm_c", "gp_c", "gp_n"]],
+        F.sum("react").alias("reactivation_count"),
+        best.getField("p").alias("primary_platform"),
     )
     return agg.select(
         S.USER, "first_order_date", "last_order_date",
@@ -72,7 +97,7 @@ def _customer_facts(clean: DataFrame, gap_days: int, as_of) -> DataFrame:
         cents_to_usd("gp_c").alias("total_gross_profit_usd"),
         mean_cents_to_usd("gp_c", "gp_n").alias("avg_gross_profit_per_order_usd"),
         F.datediff(as_of_col, F.col("last_order_date")).alias("days_since_last_order"),
-        "reactivation_count",
+        "reactivation_count", "primary_platform",
     )
 
 
@@ -90,18 +115,17 @@ def master_customer_table(clean: DataFrame, as_of=None, gap_days: int = S.REACTI
 
     ``as_of``: None = dataset max date (reproducible), "current_date", or a date.
     ``method``: "aggregate" picks the primary platform with a struct-min
-    aggregate; "join" uses the ROW_NUMBER ranking + LEFT JOIN on rank 1.
-    Both sides of the join are customer-grain aggregates hash-partitioned by
-    user_uuid, so the join adds no shuffle of order rows.
+    aggregate in the same pass (two shuffles in total); "join" keeps the
+    source's shape — ROW_NUMBER ranking + LEFT JOIN on rank 1 — where both
+    join sides are customer-grain aggregates hash-partitioned by user_uuid.
     """
     facts = _customer_facts(clean, gap_days, as_of)
     if method == "aggregate":
-        plat = primary_platform(clean)
-    elif method == "join":
+        return facts.select(*MASTER_COLUMNS)
+    if method == "join":
         plat = primary_platform_ranked(clean)
-    else:
-        raise ValueError("method must be 'aggregate' or 'join'")
-    return facts.join(plat, S.USER, "left").select(*MASTER_COLUMNS)
+        return facts.drop("primary_platform").join(plat, S.USER, "left").select(*MASTER_COLUMNS)
+    raise ValueError("method must be 'aggregate' or 'join'")
 
 
 def top_customers(mct: DataFrame, n: int | None = None) -> DataFrame:
