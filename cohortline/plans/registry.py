@@ -10,12 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortline import schema as S
+from cohortline.operators import adhoc as A
 from cohortline.operators import classify as CL
+from cohortline.operators import cleaning as C
+from cohortline.operators import dashboard as P
 from cohortline.operators import marts as M
+from cohortline.operators import quality as Q
+from cohortline.operators import trust as D
 from cohortline.operators.cleaning import clean_orders
 from cohortline.plans import oracle as O
 from cohortline.plans.materialize import materialize_clean
-from cohortline.sources.fixture import city_country_lookup, raw_orders
+from cohortline.session import scratch_path
+from cohortline.sources import files as IO
+from cohortline.sources.fixture import city_country_lookup, raw_files, raw_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,15 +78,6 @@ register("platform_share_yearly", O.platform_share_yearly_sql())(
 
 # ── sources and cleaning steps ──────────────────────────────────────────────
 
-from cohortline import schema as S  # noqa: E402
-from cohortline.operators import adhoc as A  # noqa: E402
-from cohortline.operators import cleaning as C  # noqa: E402
-from cohortline.operators import dashboard as P  # noqa: E402
-from cohortline.operators import quality as Q  # noqa: E402
-from cohortline.operators import trust as D  # noqa: E402
-from cohortline.session import scratch_path  # noqa: E402
-from cohortline.sources import files as IO  # noqa: E402
-from cohortline.sources.fixture import raw_files  # noqa: E402
 
 
 def _typed_raw(df: DataFrame) -> DataFrame:
