@@ -66,9 +66,12 @@ def _status_counts_text(df: DataFrame) -> Column:
     return text.scalar()
 
 
-def quality_report(clean: DataFrame, raw: DataFrame | None = None, boundary: str = S.FILE_BOUNDARY) -> DataFrame:
-    """One-row report (the 12 keys) computed in a single pass over the cleaned
-    table; repair counts come from the raw rows instead of constants."""
+REPORT_COLUMNS = ["total_rows", "unique_orders", "unique_customers", "date_min", "date_max", "countries",
+                  "platforms", "last_status_counts", "rows_hist", "rows_recent", "refunded_zero_bookings"]
+
+
+def _report_frame(clean: DataFrame, raw: DataFrame | None, boundary: str) -> DataFrame:
+    """The report plus key-column null counts, in one aggregation pass."""
     d = F.col(S.DATE)
     b = F.lit(boundary).cast("date")
     base = clean.agg(
@@ -82,32 +85,43 @@ def quality_report(clean: DataFrame, raw: DataFrame | None = None, boundary: str
         F.count_if(d < b).alias("rows_hist"),
         F.count_if(d >= b).alias("rows_recent"),
         F.count_if((F.col(S.STATUS) == "refunded") & (F.col(S.GROSS_OP) <= 0)).alias("refunded_zero_bookings"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in S.KEY_COLUMNS if c in clean.columns],
     )
     cols = [F.col(c) for c in base.columns]
-    cols.insert(7, _status_counts_text(clean).alias("last_status_counts"))
+    cols.append(_status_counts_text(clean).alias("last_status_counts"))
     if raw is not None:
         raw_country_nulls = _scalar(raw, F.count_if(F.col(S.COUNTRY).isNull()))
-        clean_country_nulls = _scalar(clean, F.count_if(F.col(S.COUNTRY).isNull()))
-        cols += [(raw_country_nulls - clean_country_nulls).alias("country_nulls_fixed"),
+        cols += [(raw_country_nulls - F.col(f"_null_{S.COUNTRY}")).alias("country_nulls_fixed"),
                  _scalar(raw, F.count_if(F.col(S.PROMO).isNull())).alias("promo_nulls_standardised")]
     return base.select(*cols)
 
 
+def quality_report(clean: DataFrame, raw: DataFrame | None = None, boundary: str = S.FILE_BOUNDARY) -> DataFrame:
+    """One-row report (the 12 keys) computed in a single pass over the cleaned
+    table; repair counts come from the raw rows instead of constants."""
+    extra = ["country_nulls_fixed", "promo_nulls_standardised"] if raw is not None else []
+    return _report_frame(clean, raw, boundary).select(*REPORT_COLUMNS, *extra)
+
+
 def run_quality_checks(clean: DataFrame, raw: DataFrame | None = None, boundary: str = S.FILE_BOUNDARY) -> dict:
-    """Raise on duplicate ids or null keys; otherwise return the report as a dict."""
-    dupes = check_duplicates(clean).first()["duplicate_rows"]
+    """Raise on duplicate ids or null keys; otherwise return the report as a dict.
+
+    One aggregation job: duplicates (2nd+ copies, nulls equal to each other)
+    are rows − distinct non-null ids − (1 if any id is null)."""
+    row = _report_frame(clean, raw, boundary).first().asDict()
+    null_ids = row[f"_null_{S.ORDER}"]
+    dupes = row["total_rows"] - row["unique_orders"] - (1 if null_ids else 0)
     if dupes:
         raise DataQualityError(f"CRITICAL: {dupes} duplicate order_uuid rows found.")
-    nulls = {r["column_name"]: r["null_count"] for r in check_key_nulls(clean).collect()}
     for c in S.KEY_COLUMNS:
-        if nulls.get(c):
-            raise DataQualityError(f"CRITICAL: {nulls[c]} null values in '{c}'.")
-    row = quality_report(clean, raw, boundary).first().asDict()
+        if row.get(f"_null_{c}"):
+            raise DataQualityError(f"CRITICAL: {row[f'_null_{c}']} null values in '{c}'.")
+    row = {k: v for k, v in row.items() if not k.startswith("_null_")}
     row["date_range"] = (row.pop("date_min"), row.pop("date_max"))
     row["countries"] = row["countries"].split(",") if row["countries"] else []
     row["platforms"] = row["platforms"].split(",") if row["platforms"] else []
     row["last_status_counts"] = {k: int(v) for k, v in
-                                 (p.split(":") for p in row["last_status_counts"].split(",") if p)}
+                                 (p.split(":") for p in (row["last_status_counts"] or "").split(",") if p)}
     return row
 
 
