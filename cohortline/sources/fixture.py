@@ -70,7 +70,7 @@ def raw_orders(spark: SparkSession, sf_dir: str, part: str = "all") -> DataFrame
     refunded = (status == "P") & (key % 2 == 0)
     prio = F.col("o_orderpriority")
     return df.select(
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias(S.DATE),
+        F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd").alias(S.DATE),  # zone-independent
         F.col("c_name").alias(S.USER),
         F.col("n_name").alias(S.CITY),
         F.when(key % NULL_COUNTRY_EVERY == 0, F.lit(None).cast("string")).otherwise(F.col("r_name")).alias(S.COUNTRY),
