@@ -139,7 +139,7 @@ register("usd_formula_check", O.usd_formula_check_sql())(
     lambda s, d: Q.usd_formula_check(cleaned(s, d, None), rate_digits=2))
 
 
-@register("type_profile")
+@register("type_profile", O.type_profile_sql())
 def _type_profile(spark, sf_dir):
     return Q.type_profile(cleaned_table(spark, sf_dir))
 

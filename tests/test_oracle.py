@@ -20,8 +20,8 @@ def test_query_matches_oracle(spark, con, name):
     assert r["status"] in ("ok", "no-oracle"), r
 
 
-def test_every_query_has_an_oracle_but_metadata():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"type_profile"}
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
