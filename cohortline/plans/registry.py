@@ -184,6 +184,8 @@ register("cohort_by_platform", O.cohort_by_platform_sql())(
     lambda s, d: P.cohort_by_platform(M.master_customer_table(cleaned_table(s, d))))
 register("orders_histogram", O.orders_histogram_sql())(
     lambda s, d: P.orders_histogram(M.master_customer_table(cleaned_table(s, d))))
+register("orders_histogram_bins", O.orders_histogram_bins_sql())(
+    lambda s, d: P.orders_histogram_bins(M.master_customer_table(cleaned_table(s, d))))
 register("profitability_points", O.profitability_points_sql())(
     lambda s, d: P.profitability_points(M.master_customer_table(cleaned_table(s, d))))
 register("platform_delta", O.platform_delta_sql())(lambda s, d: P.platform_delta(M.platform_summary(cleaned_table(s, d))))
