@@ -16,15 +16,13 @@ cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortline import schema as S
 from cohortline.operators.cleaning import DataQualityError, clean_orders
-from cohortline.operators.quality import check_duplicates, check_key_nulls
+from cohortline.operators.quality import critical_counts, raise_on_critical
 from cohortline.sources.files import NULL_TOKEN
 from cohortline.session import scratch_path
 
@@ -48,18 +46,17 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 def append_checked_batch(batch: DataFrame, out_path: str, check_existing: bool = True) -> None:
     """Check one cleaned micro-batch and append it to the Parquet table."""
     spark = batch.sparkSession
-    dupes = check_duplicates(batch).first()["duplicate_rows"]
-    if dupes:
-        raise DataQualityError(f"CRITICAL: {dupes} duplicate order_uuid rows in micro-batch.")
-    nulls = [r for r in check_key_nulls(batch).collect() if r["null_count"]]
-    if nulls:
-        raise DataQualityError(f"CRITICAL: {nulls[0]['null_count']} null values in '{nulls[0]['column_name']}'.")
-    if check_existing and _table_exists(spark, out_path):
-        seen = spark.read.parquet(out_path).select(S.ORDER)
-        again = batch.select(S.ORDER).join(seen, S.ORDER, "left_semi").limit(1).count()
-        if again:
-            raise DataQualityError("CRITICAL: micro-batch repeats order_uuid values already in the table.")
-    batch.write.mode("append").parquet(out_path)
+    batch = batch.persist()  # checked, probed and written: read and clean the files once
+    try:
+        raise_on_critical(critical_counts(batch), " in micro-batch")
+        if check_existing and _table_exists(spark, out_path):
+            seen = spark.read.parquet(out_path).select(S.ORDER)
+            again = batch.select(S.ORDER).join(seen, S.ORDER, "left_semi").limit(1).count()
+            if again:
+                raise DataQualityError("CRITICAL: micro-batch repeats order_uuid values already in the table.")
+        batch.write.mode("append").parquet(out_path)
+    finally:
+        batch.unpersist()
 
 
 def start_clean_ingest(spark: SparkSession, raw_dir: str, out_path: str, lookup: DataFrame | None = None,
