@@ -124,14 +124,24 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
         S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
     orders = clean.select(*_ORDER_COLS)
     j = orders.join(cdays, [S.USER, S.DATE])
-    ordinary = j.where(F.col("n_rows") <= hot_day_rows)
     # the join output is clustered by (user, date): this window sorts, no shuffle
     w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
-    out = _finish(ordinary, F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day)))
-    hot = j.where(F.col("n_rows") > hot_day_rows)
-    ranks = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day")
-    hot_out = _finish(hot.join(ranks, [S.USER, S.DATE, S.ORDER]), F.col("rank_in_day"))
-    return out.unionByName(hot_out)
+    rank_in_day = F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day))
+    # Exact gate: an input with at most hot_day_rows rows cannot hold a hot day
+    # (reads at most hot_day_rows + 1 rows; limit() takes a 32-bit count).
+    probe = clean.limit(hot_day_rows + 1) if hot_day_rows < 2**31 - 1 else clean
+    if probe.count() <= hot_day_rows:
+        return _finish(j, rank_in_day)
+    out = _finish(j.where(F.col("n_rows") <= hot_day_rows), rank_in_day)
+    # Every hot day has more than hot_day_rows orders, so there are at most
+    # rows / hot_day_rows of them: the day facts and the per-day start
+    # positions are broadcast (bounded), and hot order rows are never
+    # hash-shuffled by (user, date) — they only pass the range shuffle.
+    hot_days = F.broadcast(cdays.where(F.col("n_rows") > hot_day_rows))
+    hot = orders.join(hot_days, [S.USER, S.DATE])
+    payload = [c for c in hot.columns if c not in (S.USER, S.DATE, S.ORDER)]
+    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload, broadcast_starts=True)
+    return out.unionByName(_finish(ranked, F.col("rank_in_day")))
 
 
 def order_gaps(clean: DataFrame) -> DataFrame:

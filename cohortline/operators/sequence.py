@@ -25,23 +25,32 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row in
 
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, name: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """Return ``keys + [order_col, name]`` with ``name`` the 1-based position of
-    the row within its key ordered by ``order_col``.
+                num_partitions: int | None = None, carry: list[str] | None = None,
+                broadcast_starts: bool = False) -> DataFrame:
+    """Return ``keys + [order_col] + carry + [name]`` with ``name`` the 1-based
+    position of the row within its key ordered by ``order_col``.
 
     The range shuffle has an explicit partition count, so AQE never coalesces
-    it and every consumer of the (reused) exchange sees the same partitions.
+    it and every consumer sees the same partitions.  ``carry`` columns travel
+    with the rows, so callers need no join back.  ``broadcast_starts`` hands
+    the per-key start positions (one row per key) to every task; use it when
+    the number of keys has a known bound — the rows of a huge key then stay in
+    their range partitions instead of meeting in one join task.
     """
     cols = [*keys, order_col]
+    extra = [c for c in (carry or []) if c not in cols]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(*cols).repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ordered = df.select(*cols, *extra).repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     mid = F.monotonically_increasing_id()
-    pos = ordered.select(*cols, F.shiftright(mid, _LOCAL_BITS).alias("_part"),
+    pos = ordered.select(*cols, *extra, F.shiftright(mid, _LOCAL_BITS).alias("_part"),
                          mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
     # rows per partition -> exclusive running total (tiny: one row per partition)
     counts = pos.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    glob = pos.join(F.broadcast(offsets), "_part").select(*cols, (F.col("_offset") + F.col("_local")).alias("_g"))
+    glob = pos.join(F.broadcast(offsets), "_part").select(
+        *cols, *extra, (F.col("_offset") + F.col("_local")).alias("_g"))
     starts = glob.groupBy(*keys).agg(F.min("_g").alias("_start"))
-    return glob.join(starts, keys).select(*cols, (F.col("_g") - F.col("_start") + 1).cast("int").alias(name))
+    if broadcast_starts:
+        starts = F.broadcast(starts)
+    return glob.join(starts, keys).select(*cols, *extra, (F.col("_g") - F.col("_start") + 1).cast("int").alias(name))

@@ -60,13 +60,17 @@ def main() -> None:
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    spark = build_session("local[8]", extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+    # many shuffle partitions, as on a cluster: a hot key stands out against the median
+    spark = build_session("local[8]", shuffle_partitions=64, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                                              "spark.eventLog.compress": "false",
                                              # behave like the large scale: shuffle joins, no coalescing
                                              "spark.sql.adaptive.coalescePartitions.enabled": "false",
                                              "spark.sql.autoBroadcastJoinThreshold": "-1",
                                              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-                                             "spark.sql.adaptive.localShuffleReader.enabled": "false"})
+                                             "spark.sql.adaptive.localShuffleReader.enabled": "false",
+                                             # skew-join trigger scaled down with the data (default 256 MB)
+                                             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+                                             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"})
     from cohortline import schema as S
     from cohortline.operators import classify as CL
     from cohortline.operators import marts as M
@@ -86,6 +90,16 @@ def main() -> None:
         "naive_customer_window": lambda: skewed.withColumn(
             "prev", F.lag(S.DATE).over(Window.partitionBy(S.USER).orderBy(S.DATE, S.ORDER))),
     }
+    # a single (customer, day) holding a third of the orders
+    hot_day = base.withColumns({
+        S.USER: F.when(F.abs(F.hash(S.ORDER)) % 3 == 0, F.lit("HOT")).otherwise(F.col(S.USER)),
+        S.DATE: F.when(F.abs(F.hash(S.ORDER)) % 3 == 0, F.lit("2000-01-01").cast("date")).otherwise(F.col(S.DATE)),
+    })
+    day_path = scratch_path(spark, "skewed_day")
+    hot_day.write.parquet(day_path)
+    skewed_day = spark.read.parquet(day_path)
+    runs["classified_hot_day_range_path"] = lambda: CL.classify_orders(skewed_day, hot_day_rows=10_000)
+    runs["classified_hot_day_window_only"] = lambda: CL.classify_orders(skewed_day, hot_day_rows=10**12)
     result = {"hot_share": round(share, 3), "queries": {}}
     for name, fn in runs.items():
         spark.sparkContext.setJobGroup(name, name)
