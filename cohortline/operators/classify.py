@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortline import schema as S
 from cohortline.functions.money import to_cents
+from cohortline.operators.sequence import rank_within
 
 # Amount columns carried to the day grain as exact cents.
 _DAY_AMOUNTS = {"gb": S.GROSS_USD, "m1": S.MARGIN_USD, "vfm": S.VFM_USD, "gp": S.PROFIT_USD}
@@ -116,10 +117,11 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     The day facts are joined back on (user, date).  The rank inside a day is a
     per-day window for ordinary days (at most ``hot_day_rows`` rows per
     window group) and :func:`rank_within` for hotter days, so no single task
-    ever holds a whole oversized day.
+    ever holds a whole oversized day.  The hot-day branch is planned only when
+    the input has more than ``hot_day_rows`` rows (one bounded ``count`` —
+    cheap on a table scan; pass a written/checkpointed table, not a long lazy
+    pipeline).
     """
-    from cohortline.operators.sequence import rank_within
-
     cdays = classified_days(clean, gap_days, amounts=False).select(
         S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
     orders = clean.select(*_ORDER_COLS)
