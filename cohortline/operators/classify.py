@@ -136,13 +136,13 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
         return _finish(j, rank_in_day)
     out = _finish(j.where(F.col("n_rows") <= hot_day_rows), rank_in_day)
     # Every hot day has more than hot_day_rows orders, so there are at most
-    # rows / hot_day_rows of them: the day facts and the per-day start
-    # positions are broadcast (bounded), and hot order rows are never
+    # rows / hot_day_rows of them: the day facts and the per-(partition, day)
+    # rank facts are broadcast (bounded), and hot order rows are never
     # hash-shuffled by (user, date) — they only pass the range shuffle.
     hot_days = F.broadcast(cdays.where(F.col("n_rows") > hot_day_rows))
     hot = orders.join(hot_days, [S.USER, S.DATE])
     payload = [c for c in hot.columns if c not in (S.USER, S.DATE, S.ORDER)]
-    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload, broadcast_starts=True)
+    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload, broadcast_stats=True)
     return out.unionByName(_finish(ranked, F.col("rank_in_day")))
 
 

@@ -7,13 +7,15 @@ for a key that holds a large share of the data that task does all the work.
 1. range-partitions and sorts the rows by (key, order) — Spark samples the
    bounds, so a huge key is spread over many consecutive partitions;
 2. numbers rows inside each partition (``monotonically_increasing_id`` is
-   sequential within a sorted partition) and turns that into a global
-   position with per-partition offsets (one row per partition, so the
-   broadcast table is bounded by the partition count);
-3. finds each key's first global position with a partial-aggregated ``min``
-   and subtracts it.
-
-The order column must make (key, order) unique, as order ids do per day.
+   sequential within a sorted partition);
+3. aggregates per (partition, key): the key's first local position and its
+   row count; a window per key over *partitions* (at most one row per
+   partition the key spans) gives the rows of that key in earlier partitions;
+4. joins those per-(partition, key) facts back on (partition, key) — a key
+   that spans many partitions is spread over as many join groups.
+
+rank = local position − key's first local position + rows in earlier
+partitions + 1.  The order column must make (key, order) unique.
 """
 
 from __future__ import annotations
@@ -26,16 +28,16 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row in
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, name: str = "rank",
                 num_partitions: int | None = None, carry: list[str] | None = None,
-                broadcast_starts: bool = False) -> DataFrame:
+                broadcast_stats: bool = False) -> DataFrame:
     """Return ``keys + [order_col] + carry + [name]`` with ``name`` the 1-based
     position of the row within its key ordered by ``order_col``.
 
     The range shuffle has an explicit partition count, so AQE never coalesces
-    it and every consumer sees the same partitions.  ``carry`` columns travel
-    with the rows, so callers need no join back.  ``broadcast_starts`` hands
-    the per-key start positions (one row per key) to every task; use it when
-    the number of keys has a known bound — the rows of a huge key then stay in
-    their range partitions instead of meeting in one join task.
+    it and both consumers see the same partitions.  ``carry`` columns travel
+    with the rows, so callers need no join back.  ``broadcast_stats`` hands the
+    per-(partition, key) facts to every task instead of shuffling the rows for
+    the join; use it when the number of keys has a known bound (the table has
+    at most keys + partitions rows).
     """
     cols = [*keys, order_col]
     extra = [c for c in (carry or []) if c not in cols]
@@ -44,13 +46,11 @@ def rank_within(df: DataFrame, keys: list[str], order_col: str, name: str = "ran
     mid = F.monotonically_increasing_id()
     pos = ordered.select(*cols, *extra, F.shiftright(mid, _LOCAL_BITS).alias("_part"),
                          mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
-    # rows per partition -> exclusive running total (tiny: one row per partition)
-    counts = pos.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    glob = pos.join(F.broadcast(offsets), "_part").select(
-        *cols, *extra, (F.col("_offset") + F.col("_local")).alias("_g"))
-    starts = glob.groupBy(*keys).agg(F.min("_g").alias("_start"))
-    if broadcast_starts:
-        starts = F.broadcast(starts)
-    return glob.join(starts, keys).select(*cols, *extra, (F.col("_g") - F.col("_start") + 1).cast("int").alias(name))
+    per_part = pos.groupBy("_part", *keys).agg(F.min("_local").alias("_lstart"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    stats = per_part.select("_part", *keys, "_lstart",
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if broadcast_stats:
+        stats = F.broadcast(stats)
+    rank = F.col("_local") - F.col("_lstart") + F.col("_before") + 1
+    return pos.join(stats, ["_part", *keys]).select(*cols, *extra, rank.cast("int").alias(name))

@@ -197,3 +197,20 @@ def test_cleaned_table_rebuilt_when_missing(spark):
     materialize._WRITTEN[key] = scratch_path(spark, "never_written")   # a folder that does not exist
     again = cleaned_table(spark, SF_SMALL)
     assert again.count() == n and materialize._WRITTEN[key].rsplit("/", 1)[-1].startswith("cleaned_orders")
+
+
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_rank_within_matches_pandas(spark, broadcast):
+    import random
+
+    from cohortline.operators.sequence import rank_within
+
+    rnd = random.Random(7)
+    rows = [(("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 40)}"), rnd.randint(0, 2), f"x{i:05d}")
+            for i in rnd.sample(range(10**5), 3000)]
+    df = spark.createDataFrame(rows, "k string, d int, o string")
+    got = rank_within(df, ["k", "d"], "o", num_partitions=13, broadcast_stats=broadcast).toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "d", "o"])
+    pdf["want"] = pdf.groupby(["k", "d"])["o"].rank(method="first").astype(int)
+    merged = got.merge(pdf, on=["k", "d", "o"])
+    assert len(merged) == len(rows) and (merged["rank"] == merged["want"]).all()
