@@ -53,10 +53,11 @@ _LOOKUP_STATS: dict[tuple, dict] = {}
 def _lookup_stats(lookup: DataFrame, key: str) -> dict:
     """Row count and ambiguity of a lookup, remembered per (plan, input files):
     the same lookup over unchanged files is checked once per session."""
-    from cohortline.sources.testdata import file_signature
+    from cohortline.sources.testdata import hadoop_signature
 
-    files = tuple(file_signature(f.replace("file://", "").replace("file:", "")) for f in sorted(lookup.inputFiles()))
-    memo_key = (lookup.sparkSession.sparkContext.applicationId, lookup.semanticHash(), key, files)
+    spark = lookup.sparkSession
+    files = tuple(hadoop_signature(spark, f) for f in sorted(lookup.inputFiles()))
+    memo_key = (spark.sparkContext.applicationId, lookup.semanticHash(), key, files)
     if memo_key not in _LOOKUP_STATS or any(sig[1] is None for sig in files):
         per_key = lookup.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
         _LOOKUP_STATS[memo_key] = per_key.agg(F.sum("rows").alias("rows"),

@@ -18,14 +18,11 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def _signature(spark: SparkSession, sf_dir: str) -> tuple:
-    parts = []
-    for t in SOURCE_TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        for root, _, files in (os.walk(p) if os.path.isdir(p) else [(os.path.dirname(p), [], [os.path.basename(p)])]):
-            for f in sorted(files):
-                st = os.stat(os.path.join(root, f))
-                parts.append((os.path.join(root, f), st.st_size, st.st_mtime_ns))
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(parts))
+    """Session + every input file's (path, size, mtime), via Hadoop's FileSystem."""
+    from cohortline.sources.testdata import hadoop_signature
+
+    files = tuple(hadoop_signature(spark, os.path.join(sf_dir, f"{t}.parquet")) for t in SOURCE_TABLES)
+    return (spark.sparkContext.applicationId, sf_dir, files)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -9,28 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 # Parquet schema per (path, file sizes and mtimes): inference reads footers on
-# every read, the stat-based key keeps a changed file from reusing a schema.
+# every read; the file-status key keeps a changed file from reusing a schema.
 _SCHEMAS: dict[tuple, object] = {}
 
 
-def file_signature(path: str) -> tuple:
-    """(path, ((file, size, mtime), ...)) for a file or a folder of files."""
-    if os.path.isdir(path):
-        entries = []
-        for root, _, files in os.walk(path):
-            for f in sorted(files):
-                st = os.stat(os.path.join(root, f))
-                entries.append((os.path.join(root, f), st.st_size, st.st_mtime_ns))
-        return (path, tuple(entries))
-    if os.path.exists(path):
-        st = os.stat(path)
-        return (path, ((path, st.st_size, st.st_mtime_ns),))
-    return (path, None)  # remote path: no local stat, infer every time
+def hadoop_signature(spark: SparkSession, path: str) -> tuple:
+    """(path, ((file, size, mtime), ...)) through Hadoop's FileSystem, so local
+    and cluster storage (HDFS, object stores) are handled alike; (path, None)
+    when the path does not exist."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return (path, None)
+    it = fs.listFiles(hpath, True)
+    entries = []
+    while it.hasNext():
+        st = it.next()
+        entries.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return (path, tuple(sorted(entries)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
-    sig = file_signature(path)
+    sig = hadoop_signature(spark, path)
     schema = _SCHEMAS.get(sig) if sig[1] is not None else None
     if schema is None:
         df = spark.read.parquet(path)
