@@ -118,9 +118,8 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     per-day window for ordinary days (at most ``hot_day_rows`` rows per
     window group) and :func:`rank_within` for hotter days, so no single task
     ever holds a whole oversized day.  The hot-day branch is planned only when
-    the input has more than ``hot_day_rows`` rows (one bounded ``count`` —
-    cheap on a table scan; pass a written/checkpointed table, not a long lazy
-    pipeline).
+    the input has more than ``hot_day_rows`` rows (one ``count`` — cheap on a
+    table scan; pass a written/checkpointed table, not a long lazy pipeline).
     """
     cdays = classified_days(clean, gap_days, amounts=False).select(
         S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
@@ -129,10 +128,9 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     # the join output is clustered by (user, date): this window sorts, no shuffle
     w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
     rank_in_day = F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day))
-    # Exact gate: an input with at most hot_day_rows rows cannot hold a hot day
-    # (reads at most hot_day_rows + 1 rows; limit() takes a 32-bit count).
-    probe = clean.limit(hot_day_rows + 1) if hot_day_rows < 2**31 - 1 else clean
-    if probe.count() <= hot_day_rows:
+    # Exact gate: an input with at most hot_day_rows rows cannot hold a hot day.
+    # On a Parquet scan the count decodes no columns.
+    if clean.count() <= hot_day_rows:
         return _finish(j, rank_in_day)
     out = _finish(j.where(F.col("n_rows") <= hot_day_rows), rank_in_day)
     # Every hot day has more than hot_day_rows orders, so there are at most
