@@ -101,6 +101,31 @@ def _customer_facts(clean: DataFrame, gap_days: int, as_of) -> DataFrame:
     )
 
 
+def _customer_facts_from_days(clean: DataFrame, cdays: DataFrame, as_of) -> DataFrame:
+    """Customer facts from classified days (day grain with amounts), plus the
+    primary platform from a (customer, platform) aggregate of the orders."""
+    agg = cdays.groupBy(S.USER).agg(
+        F.min(S.DATE).alias("first_order_date"), F.max(S.DATE).alias("last_order_date"),
+        F.sum("n_orders").alias("total_orders"),
+        *[F.sum(c).alias(c) for c in ["gb_c", "gb_n", "m1_c", "vfm_c", "gp_c", "gp_n"]],
+        F.count_if(F.col("day_type") == "reactivated").alias("reactivation_count"),
+    )
+    facts = agg.select(
+        S.USER, "first_order_date", "last_order_date",
+        month_start("first_order_date").alias("acquisition_cohort"),
+        "total_orders",
+        cents_to_usd("gb_c").alias("total_gross_bookings_usd"),
+        mean_cents_to_usd("gb_c", "gb_n").alias("avg_order_value_usd"),
+        cents_to_usd("m1_c").alias("total_margin_1_usd"),
+        cents_to_usd("vfm_c").alias("total_vfm_usd"),
+        cents_to_usd("gp_c").alias("total_gross_profit_usd"),
+        mean_cents_to_usd("gp_c", "gp_n").alias("avg_gross_profit_per_order_usd"),
+        F.datediff(_as_of_column(clean, as_of), F.col("last_order_date")).alias("days_since_last_order"),
+        "reactivation_count",
+    )
+    return facts.join(primary_platform(clean), S.USER, "left")
+
+
 MASTER_COLUMNS = [
     S.USER, "first_order_date", "last_order_date", "acquisition_cohort", "total_orders",
     "total_gross_bookings_usd", "avg_order_value_usd", "total_margin_1_usd", "total_vfm_usd",
@@ -110,15 +135,19 @@ MASTER_COLUMNS = [
 
 
 def master_customer_table(clean: DataFrame, as_of=None, gap_days: int = S.REACTIVATION_GAP_DAYS,
-                          method: str = "aggregate") -> DataFrame:
+                          method: str = "aggregate", cdays: DataFrame | None = None) -> DataFrame:
     """M1: one row per customer, 14 columns.
 
     ``as_of``: None = dataset max date (reproducible), "current_date", or a date.
+    ``cdays``: classified days (``classify.classified_days``) shared with other
+    marts; the customer facts are then sums over those days.
     ``method``: "aggregate" picks the primary platform with a struct-min
     aggregate in the same pass (two shuffles in total); "join" keeps the
     source's shape — ROW_NUMBER ranking + LEFT JOIN on rank 1 — where both
     join sides are customer-grain aggregates hash-partitioned by user_uuid.
     """
+    if cdays is not None:  # classified days computed once for several marts
+        return _customer_facts_from_days(clean, cdays, as_of).select(*MASTER_COLUMNS)
     facts = _customer_facts(clean, gap_days, as_of)
     if method == "aggregate":
         return facts.select(*MASTER_COLUMNS)
@@ -137,15 +166,17 @@ def top_customers(mct: DataFrame, n: int | None = None) -> DataFrame:
 # ── M2 / M3 ─────────────────────────────────────────────────────────────────
 
 def revenue_mix_6m(clean: DataFrame, months: int = 6, round_first: bool = True,
-                   gap_days: int = S.REACTIVATION_GAP_DAYS) -> DataFrame:
+                   gap_days: int = S.REACTIVATION_GAP_DAYS, cdays: DataFrame | None = None) -> DataFrame:
     """M2/M2b: bookings by order type for dates strictly after max − ``months``.
 
     The filter sits *after* the per-customer window (history decides the type).
     ``round_first`` selects share-of-rounded-sums (True) or of raw sums (False);
     on cent totals both are the same number.
     """
-    cutoff = F.add_months(dataset_max_date(clean), -months)
-    parts = day_type_contributions(classified_days(clean, gap_days)).where(F.col(S.DATE) > cutoff)
+    if cdays is None:
+        cdays = classified_days(clean, gap_days)
+    cutoff = F.add_months(dataset_max_date(clean), -months)  # one-column scan
+    parts = day_type_contributions(cdays).where(F.col(S.DATE) > cutoff)
     by_type = parts.groupBy("order_type").agg(F.sum("gb_c").alias("gb_c"))
     total = F.sum("gb_c").over(Window.partitionBy())  # ≤ 3 rows
     return (by_type.select("order_type", cents_to_usd("gb_c").alias(S.GROSS_USD),
@@ -153,9 +184,10 @@ def revenue_mix_6m(clean: DataFrame, months: int = 6, round_first: bool = True,
                    .orderBy(F.col("pct_share").desc_nulls_last(), "order_type"))
 
 
-def revenue_mix_monthly(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS) -> DataFrame:
+def revenue_mix_monthly(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
+                        cdays: DataFrame | None = None) -> DataFrame:
     """M3: bookings and share by (month, order type) over the full history."""
-    parts = day_type_contributions(classified_days(clean, gap_days))
+    parts = day_type_contributions(cdays if cdays is not None else classified_days(clean, gap_days))
     by = (parts.groupBy(month_start(S.DATE).alias("month"), "order_type")
                .agg(F.sum("gb_c").alias("gb_c")))
     total = F.sum("gb_c").over(Window.partitionBy("month"))

@@ -11,7 +11,7 @@ from cohortline.operators import classify as CL
 from cohortline.operators import marts as M
 from cohortline.operators import trust as D
 from cohortline.operators.cleaning import DataQualityError, clean_orders
-from cohortline.plans.registry import cleaned
+from cohortline.plans.registry import cleaned, cleaned_table
 from cohortline.session import scratch_path
 from cohortline.sources import files as IO
 from tests.conftest import SF_SMALL
@@ -214,3 +214,21 @@ def test_rank_within_matches_pandas(spark, broadcast):
     pdf["want"] = pdf.groupby(["k", "d"])["o"].rank(method="first").astype(int)
     merged = got.merge(pdf, on=["k", "d", "o"])
     assert len(merged) == len(rows) and (merged["rank"] == merged["want"]).all()
+
+
+def test_mart_suite_equals_single_marts(spark):
+    from cohortline.plans.suite import build_marts
+
+    clean = cleaned_table(spark, SF_SMALL)
+    suite = build_marts(clean)
+    single = {
+        "master_customer_table": M.master_customer_table(clean),
+        "revenue_mix_6m": M.revenue_mix_6m(clean),
+        "revenue_mix_monthly": M.revenue_mix_monthly(clean),
+        "platform_summary": M.platform_summary(clean),
+        "platform_share_yearly": M.platform_share_yearly(clean),
+    }
+    for name, df in single.items():
+        got = suite[name]
+        assert got.columns == df.columns, name
+        assert got.exceptAll(df).count() == 0 and df.exceptAll(got).count() == 0, name
