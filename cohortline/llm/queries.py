@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortline.llm.exact_dedup import exact_dedup
 from cohortline.llm.tables import table
+from cohortline.llm.toxicity import toxicity
+from cohortline.llm.url_filter import filter_urls, split_url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +39,49 @@ FROM d JOIN g ON d.norm = g.norm
 @register("op6_exact_dedup", EXACT_SQL)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+# ── op5 ─────────────────────────────────────────────────────────────────────
+
+#: the list: URLs of pages on hosts with a label that starts with ``spam-``
+SPAM_HOST = r"(^|\.)spam-"
+
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+s AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon FROM s),
+l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)spam-')),
+r AS (
+  SELECT c.page_id, c.host, c.path, l.canon IS NOT NULL AS listed,
+         CASE WHEN ('.' || c.host) LIKE '%.example.com' AND starts_with(c.path, '/de/') THEN 'example.com/de/'
+              WHEN ('.' || c.host) LIKE '%.example.net' AND starts_with(c.path, '/en/') THEN 'example.net/en/'
+              WHEN ('.' || c.host) LIKE '%.org' AND starts_with(c.path, '/fr/') THEN 'org/fr/'
+              WHEN ('.' || c.host) LIKE '%.net' AND starts_with(c.path, '/') THEN 'net/' END AS rule
+  FROM c LEFT JOIN l ON c.canon = l.canon)
+SELECT page_id, host, path, rule, listed,
+       CASE rule WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block'
+                 WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+                 ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict
+FROM r
+""".replace("\\\\", "\\")
+
+
+@register("op5_url_filter", URL_SQL)
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").where(split_url(F.col("url"))[0].rlike(SPAM_HOST))
+    return filter_urls(pages, listed)
+
+
+# ── op10 ────────────────────────────────────────────────────────────────────
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
