@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortline.llm import segment
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
 from cohortline.llm.tables import table
@@ -95,3 +96,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_leaks"),
                         F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), "starts", "ends", "edits")
+
+
+# ── op3 ─────────────────────────────────────────────────────────────────────
+
+@register("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.encode(table(spark, sf_dir, "documents")).drop("ids")
