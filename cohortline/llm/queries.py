@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import segment
+from cohortline.llm import html_extract, segment
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
 from cohortline.llm.tables import table
@@ -103,3 +103,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @register("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.encode(table(spark, sf_dir, "documents")).drop("ids")
+
+
+# ── op2 ─────────────────────────────────────────────────────────────────────
+
+@register("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
