@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import html_extract, segment
+from cohortline.llm import html_extract, license_scan, segment
+from cohortline.llm.cotrain import quality
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
+from cohortline.llm.pseudo_likelihood import pseudo_likelihood
 from cohortline.llm.tables import table
 from cohortline.llm.toxicity import toxicity
 from cohortline.llm.url_filter import filter_urls, split_url
@@ -111,3 +113,25 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.fit(pages))
+
+
+# ── op4 ─────────────────────────────────────────────────────────────────────
+
+@register("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no paths: source, language and thousands of ids stand for directories
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"),
+                       F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), path)
+
+
+# ── op8, op9 ────────────────────────────────────────────────────────────────
+
+@register("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
