@@ -12,6 +12,7 @@ from cohortline.llm import html_extract, license_scan, segment
 from cohortline.llm.cotrain import quality
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
+from cohortline.llm.near_dup import near_duplicates
 from cohortline.llm.pseudo_likelihood import pseudo_likelihood
 from cohortline.llm.tables import table
 from cohortline.llm.toxicity import toxicity
@@ -135,3 +136,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ── op1 ─────────────────────────────────────────────────────────────────────
+
+@register("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
