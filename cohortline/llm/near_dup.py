@@ -5,18 +5,21 @@ similarity of their shingle sets is ``SIMILARITY`` or more.
 
 1. Texts of one word sequence are one *class* (a group-by with map-side combine), so
    exact copies of any number cost one row afterwards.
-2. Every class has ``TREES`` tries of ``DEPTH`` min-hashes each.  A trie's node of depth
-   ``d`` is the set of classes that share the first ``d`` values.
-3. Matched prefixes are shortened from ``DEPTH`` on until a pair at the threshold meets
-   in some tree with probability ``RECALL`` (``prefix_schedule``).  At the longer prefixes each
-   class is compared with one pivot (the least id met in its nodes), which is linear in
-   the node and gathers dense groups.  At the last length every class is compared
-   with those in its nodes that are not yet in its component: the members of a node's
-   largest component need not be compared among themselves.
-4. Candidate pairs are verified exactly on whole shingle sets; verified links are closed
-   to components by alternating large- and small-star steps.
-5. Links are counted inside components of three and more classes, in blocks of
-   ``BLOCK`` classes against blocks: no pair becomes a row.
+2. Every class has ``TREES`` tries of ``DEPTH`` min-hashes each; a trie's node of depth
+   ``d`` is the set of classes that share the first ``d`` values.  Matched prefixes are
+   shortened from ``DEPTH`` until a pair at the threshold meets in some tree with
+   probability ``RECALL`` (``prefix_length``).
+3. Candidate groups.  In each node every class is compared with one pivot, by the
+   estimate from ``TREES * DEPTH`` one-byte min-hashes: first in the nodes of the longest prefix,
+   then in shortened nodes that still hold several groups.  Jaccard distance is a
+   metric: a class within 0.2 of the pivot is linked only to classes within 0.4 of it,
+   so a pivot's neighbours at 0.6 (less four standard errors) stay in its group, and classes surely at 0.8
+   (plus four) are done with.  What a second pivot would be needed for is joined
+   without a look at the estimate.  All of this is linear in the nodes.
+4. Exact verification: all classes of a candidate group are compared on their whole
+   shingle sets, in blocks of ``BLOCK`` against blocks, a block pair per task step.  Each
+   gives link counts and a spanning set of the links per class: no pair becomes a row.
+5. Verified links are closed to components by large- and small-star steps.
 
 Defined results.  Null and empty texts, texts without words and null ids stand alone
 (class of its own, no links).  A text of fewer than ``SHINGLE`` words has one
@@ -42,17 +45,16 @@ TREES = 32
 DEPTH = 8
 RECALL = 0.999
 BLOCK = 256
+KEEP, SETTLED = 0.48, 0.90     # estimates at 0.6 and 0.8, four standard errors to the safe side
 
 
-def prefix_schedule(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
-    """Prefix lengths to try: from ``depth`` down to the first at which two texts of the
-    threshold's similarity share a prefix in some tree with probability ``recall``."""
-    out = []
-    for d in range(depth, 0, -1):
-        out.append(d)
+def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Shorten the prefix from ``depth`` until two texts of the threshold's similarity
+    share one in some tree with probability ``recall``."""
+    for d in range(depth, 1, -1):
         if 1 - (1 - similarity ** d) ** trees >= recall:
-            break
-    return out
+            return d
+    return 1
 
 
 # ── signatures ──────────────────────────────────────────────────────────────
@@ -76,73 +78,72 @@ def min_hashes(sh: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def node_keys(sig: np.ndarray, trees: int, depth: int, lengths: list[int]) -> dict[int, np.ndarray]:
-    """64-bit keys of each text's node in each tree at each prefix length."""
+def node_keys(sig: np.ndarray, trees: int, depth: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of each text's node in each tree at the prefix length, and 15 bits that tell
+    its nodes of the whole depth apart."""
     sig = sig.reshape(len(sig), trees, depth)
     h = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64) + np.uint64(17)), sig.shape[:2]).copy()
-    out = {}
+    node = h
     with np.errstate(over="ignore"):
-        for d in range(1, depth + 1):
-            h = mix(h * np.uint64(0x9FB21C651E98DF25) + sig[:, :, d - 1])
-            if d in lengths:
-                out[d] = h.view(np.int64)
-    return out
+        for d in range(depth):
+            h = mix(h * np.uint64(0x9FB21C651E98DF25) + sig[:, :, d])
+            if d + 1 == length:
+                node = h
+    return node.view(np.int64), (h >> np.uint64(49)).astype(np.int16)
+
 
+_SIGNED = "doc_id bigint, k1 bigint, k2 bigint, nodes array<bigint>, deeper array<smallint>, sketch binary"
 
-def _signature_rows(lengths: list[int]):
+
+def _signature_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in blocks(texts, 1 << 18):
                 w = Words(texts[lo:hi])
                 sh, doc = shingles(w, SHINGLE)
+                if not len(sh):
+                    continue
                 has, first = np.unique(doc, return_index=True)
                 k1, k2 = sequence_keys(w)
-                cols = [b.column("doc_id").slice(lo, hi - lo).take(pa.array(has)),
-                        pa.array(k1[has].view(np.int64)), pa.array(k2[has].view(np.int64))]
-                keys = node_keys(min_hashes(sh, first, TREES * DEPTH), TREES, DEPTH, lengths) if len(has) else {}
-                for d in lengths:
-                    flat = pa.array(keys[d].reshape(-1) if len(has) else np.zeros(0, np.int64))
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * TREES), flat))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2"] + [f"nodes{d}" for d in lengths])
+                sig = min_hashes(sh, first, TREES * DEPTH)
+                node, deeper = node_keys(sig, TREES, DEPTH, length)
+                at = pa.array(np.arange(len(has) + 1, dtype=np.int32) * TREES)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo).take(pa.array(has)),
+                     pa.array(k1[has].view(np.int64)), pa.array(k2[has].view(np.int64)),
+                     pa.ListArray.from_arrays(at, pa.array(node.reshape(-1))),
+                     pa.ListArray.from_arrays(at, pa.array(deeper.reshape(-1))),
+                     pa.array([x.tobytes() for x in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary())],
+                    names=["doc_id", "k1", "k2", "nodes", "deeper", "sketch"])
     return run
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole shingle sets: sorted distinct 64-bit hashes as bytes."""
+    """Whole shingle sets, sorted distinct 64-bit hashes as bytes, in place of ``text``."""
     for b in batches:
         texts = b.column("text").to_pylist()
+        rest = [c for c in b.schema.names if c != "text"]
         for lo, hi in blocks(texts):
             sh, doc = shingles(Words(texts[lo:hi]), SHINGLE)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
             sets = [np.unique(sh[a:z]).tobytes() for a, z in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"])
-
-
-# ── exact verification ──────────────────────────────────────────────────────
+            yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in rest] + [pa.array(sets, pa.binary())],
+                                             names=rest + ["set"])
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least the Jaccard similarity."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
-        return False
-    common = int(np.isin(a, b, assume_unique=True).sum()) if len(a) < 64 else \
-        len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-    return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
+def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((x == y).mean(axis=1))], names=["a", "b", "est"])
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole shingle sets are similar."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(texts.join(used, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows, "id bigint, set binary"), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity)
-                  for x, y in zip(batch.column("sa"), batch.column("sb"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+def estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a, b, est``: the estimated similarity of each pair."""
+    sa = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    sb = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(_estimates, "a bigint, b bigint, est double")
 
 
 # ── components ──────────────────────────────────────────────────────────────
@@ -171,69 +172,78 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-# ── the forest ──────────────────────────────────────────────────────────────
-
-def _members(reps: DataFrame, length: int) -> DataFrame:
-    """``node, id`` of all nodes of this prefix length with two classes at least."""
-    rows = reps.select(F.explode(f"nodes{length}").alias("node"), "id")
-    live = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("node", "pivot")
-    return rows.join(live, "node")
+# ── candidate groups ────────────────────────────────────────────────────────
 
+def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every other row of a group with the group's least id: ``keys, a, b``."""
+    pivots = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1").drop("n")
+    return rows.join(pivots, keys).where("id <> a").select(*keys, "a", F.col("id").alias("b"))
 
-def _star_pairs(members: DataFrame) -> DataFrame:
-    return (members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
-            .select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 
+def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of nodes that hold several groups."""
+    m = rows.select("node", "id").join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+    nodes = m.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
+    return rows.select("node", "id").join(nodes, "node", "left_semi")
 
-def _cross_pairs(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of one node that are in different components."""
-    m = written(members.select("node", "id").join(comps, "id", "left")
-                .select("node", "id", F.coalesce("comp", "id").alias("comp")), "members")
-    sizes = m.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    nodes = (sizes.groupBy("node").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-             .where("comps > 1").select("node", "main"))
-    live = m.join(nodes, "node")
-    others = live.where("comp <> main").select("node", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    everyone = live.select("node", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("main"))
-    pairs = others.join(everyone, "node").where("cx <> cy AND (cy = main OR x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+def candidate_groups(reps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``id, comp`` of classes in candidate groups of two at least."""
+    rows = reps.select("id", F.explode(F.arrays_zip("nodes", "deeper")).alias("n")).select(
+        F.col("n.nodes").alias("node"), F.col("n.deeper").alias("deeper"), "id")
+    live = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    members = written(rows.join(live, "node", "left_semi"), "members")
+    sketches = written(sketches.join(members.select("id").distinct(), "id", "left_semi"), "sketches")
+    # the longest prefix
+    edges = written(estimate(_stars(members, ["node", "deeper"]).select("a", "b").distinct(), sketches)
+                    .where(F.col("est") >= KEEP), "edges").select("a", "b")
+    comps = components(edges)
+    # the shortened prefix, where it meets several groups
+    star = written(_stars(_mixed(members, comps), ["node"]), "stars")
+    tested = written(estimate(star.select("a", "b").distinct(), sketches), "tested")
+    edges = edges.unionByName(tested.where(F.col("est") >= KEEP).select("a", "b"))
+    comps = components(edges)
+    # classes not settled by their pivot: no second pivot, the node's rest is one group
+    rest = star.join(tested.where(F.col("est") < SETTLED), ["a", "b"]).select("node", F.col("b").alias("id"))
+    more = written(_stars(_mixed(rest, comps), ["node"]).select("a", "b").distinct(), "edges")
+    return comps if more.isEmpty() else components(edges.unionByName(more))
 
-def near_links(texts: DataFrame, reps: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
-    """Components ``id, comp`` of the verified links between classes."""
-    links = comps = None
-    for length in lengths[:-1] or lengths:
-        star = _star_pairs(_members(reps, length))
-        found = written(verify(star, texts, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-    comps = components(links)
-    cross = _cross_pairs(_members(reps, lengths[-1]), comps)
-    more = written(verify(written(cross, "pairs"), texts, similarity), "links")
-    return components(links.unionByName(more))
 
-
-# ── counting links inside components ────────────────────────────────────────
+# ── exact verification ──────────────────────────────────────────────────────
 
 def _block_links(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_runs(batches, 3):
             side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set").combine_chunks()]
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            same = not len(right)                       # a block against itself
-            if same:
+            itself = t.column("bi")[0] == t.column("bj")[0]
+            if itself:
                 right = left
+            elif not len(left) or not len(right):
+                continue                            # a block without members
             common = shared_counts([sets[i] for i in left], [sets[i] for i in right])
             size = np.array([len(s) for s in sets])
             union = size[left][:, None] + size[right][None, :] - common
             ok = common >= similarity * union - 1e-9
-            if same:
+            if itself:
                 np.fill_diagonal(ok, False)
+            # least id reached over links, until nothing changes
+            peer = ids.copy()
+            none = np.iinfo(np.int64).max
+            while True:
+                new = peer.copy()
+                new[left] = np.minimum(new[left], np.where(ok, peer[right][None, :], none).min(axis=1))
+                new[right] = np.minimum(new[right], np.where(ok, new[left][:, None], none).min(axis=0))
+                if (new == peer).all():
+                    break
+                peer = new
             n = np.zeros(len(ids), np.int64)
             n[left] += ok.sum(axis=1)
-            if not same:
+            if not itself:
                 n[right] += ok.sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "links"])
+            linked = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(peer[linked]), pa.array(n[linked])], names=["id", "peer", "links"])
     return run
 
 
@@ -245,7 +255,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
-    step = 8192
+    step = min(8192, max(1, len(values)))
     for lo in range(0, len(values), step):
         a, b = np.searchsorted(place, [lo, lo + step])
         m = np.zeros((len(left) + len(right), step), np.float32)
@@ -254,46 +264,40 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def link_counts(comps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``id, links``: the number of other classes of the component that are similar."""
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    many = comps.join(sizes.where("size > 2"), "comp")
-    place = many.select("id", "comp", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int").alias("nb"))
-    place = place.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    sets = texts.join(place.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_set_rows, "id bigint, set binary")
-    rows = place.join(written(sets, "sets"), "id")
+def verified_links(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``id, peer, links``: link counts of each class per block pair, and the least id it
+    reaches there."""
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    place = (groups.join(sizes, "comp").select("id", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+             .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumnRenamed("id", "doc_id"))
+    sets = (texts.join(place.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "comp", "nb", "blk", "text")
+            .mapInArrow(_set_rows, "id bigint, comp bigint, nb int, blk int, set binary"))
     meets = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
         F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj"), F.when(o < F.col("blk"), 1).otherwise(0).alias("side")))
-    dealt = rows.select("comp", "id", "set", F.inline(meets)).select("comp", "bi", "bj", "side", "id", "set")
-    counted = (dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
-               .mapInArrow(_block_links(similarity), "id bigint, links bigint")
-               .groupBy("id").agg(F.sum("links").alias("links")))
-    two = comps.join(sizes.where("size = 2"), "comp").select("id", F.lit(1).cast("bigint").alias("links"))
-    return two.unionByName(counted)
+    dealt = sets.select("comp", "id", "set", F.inline(meets)).select("comp", "bi", "bj", "side", "id", "set")
+    return (dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
+            .mapInArrow(_block_links(similarity), "id bigint, peer bigint, links bigint"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, count_links: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, copy_id, class_id, n_links``.
 
     ``copy_id`` is the least id of the texts of the same words, ``class_id`` the least id
     of all texts joined by links, ``n_links`` the number of other different texts
     (copy groups) that are similar to it."""
     texts = doc_text(docs)
-    lengths = prefix_schedule(similarity)
-    ddl = "doc_id bigint, k1 bigint, k2 bigint, " + ", ".join(f"nodes{d} array<bigint>" for d in lengths)
     named = texts.where("doc_id IS NOT NULL")
-    signed = written(named.mapInArrow(_signature_rows(lengths), ddl), "signatures")
+    signed = written(named.mapInArrow(_signature_rows(prefix_length(similarity)), _SIGNED), "signatures")
     copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"))
-    reps = written(signed.join(copies.select(F.col("copy_id").alias("doc_id")), "doc_id", "left_semi")
-                   .withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "classes")
-    comps = near_links(named, reps, lengths, similarity)
-    of_copy = comps.select(F.col("id").alias("copy_id"), F.col("comp").alias("class_id"))
-    if count_links:
-        of_copy = of_copy.join(link_counts(comps, named, similarity).withColumnRenamed("id", "copy_id"), "copy_id")
-    else:
-        of_copy = of_copy.withColumn("links", F.lit(None).cast("bigint"))
-    groups = copies.join(of_copy, "copy_id", "left")
-    member = signed.select("doc_id", "k1", "k2").distinct().join(groups, ["k1", "k2"]).drop("k1", "k2")
+    first = copies.select(F.col("copy_id").alias("doc_id"), "k1", "k2")
+    reps = signed.join(first, ["doc_id", "k1", "k2"], "left_semi").withColumnRenamed("doc_id", "id")
+    groups = candidate_groups(reps.select("id", "nodes", "deeper"), reps.select("id", "sketch").dropDuplicates(["id"]))
+    links = written(verified_links(groups, named, similarity), "links")
+    classes = (components(links.select(F.col("id").alias("a"), F.col("peer").alias("b")))
+               .select(F.col("id").alias("copy_id"), F.col("comp").alias("class_id"))
+               .join(links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "copy_id"), "copy_id"))
+    member = (signed.select("doc_id", "k1", "k2").distinct()
+              .join(copies.join(classes, "copy_id", "left"), ["k1", "k2"]).drop("k1", "k2"))
     return (texts.select("doc_id").join(member, "doc_id", "left")
             .select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"),
                     F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),

@@ -42,7 +42,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, count_links=False)
+    found = near_duplicates(docs)
     return _without(docs, found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")))
 
 
