@@ -97,10 +97,11 @@ def run_example(spark: SparkSession, orders: DataFrame, name: str) -> DataFrame:
 
 
 def order_classification_example(classified: DataFrame) -> DataFrame:
-    """E6 output shape (prev_date, seq) from the classified orders."""
+    """E6 output shape (prev_date, seq) from the classified orders, by customer and date."""
     return classified.select("user_uuid", "order_uuid", "operational_view_date",
                              classified["prev_order_date"].alias("prev_date"),
-                             classified["order_seq"].alias("seq"), "order_type")
+                             classified["order_seq"].alias("seq"),
+                             "order_type").orderBy("user_uuid", "operational_view_date", "order_uuid")
 
 
 def head_rows(df: DataFrame, n: int = 5, *order_cols) -> DataFrame:

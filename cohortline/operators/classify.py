@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from cohortline import schema as S
 from cohortline.functions.money import to_cents
 from cohortline.operators.sequence import rank_within
+from cohortline.session import scratch_path
 
 # Amount columns carried to the day grain as exact cents.
 _DAY_AMOUNTS = {"gb": S.GROSS_USD, "m1": S.MARGIN_USD, "vfm": S.VFM_USD, "gp": S.PROFIT_USD}
@@ -104,7 +105,7 @@ def _finish(j: DataFrame, rank_in_day) -> DataFrame:
     return j.select(
         *_ORDER_COLS,
         F.when(is_first, F.col("prev_day")).otherwise(F.col(S.DATE)).alias("prev_order_date"),
-        (F.col("orders_before") + rank_in_day).cast("int").alias("order_seq"),
+        (F.col("orders_before") + rank_in_day).cast("bigint").alias("order_seq"),
         F.when(is_first, F.col("day_type")).otherwise(F.lit("retained")).alias("order_type"),
     )
 
@@ -114,33 +115,32 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     """Order-level classification (M0): the 9 order columns plus
     prev_order_date, order_seq and order_type.
 
-    The day facts are joined back on (user, date).  The rank inside a day is a
-    per-day window for ordinary days (at most ``hot_day_rows`` rows per
-    window group) and :func:`rank_within` for hotter days, so no single task
-    ever holds a whole oversized day.  The hot-day branch is planned only when
-    the input has more than ``hot_day_rows`` rows (one ``count`` — cheap on a
-    table scan; pass a written/checkpointed table, not a long lazy pipeline).
+    The day facts are written once (one row per customer and day) and joined
+    back on (user, date).  The rank inside a day is a per-day window; the orders
+    of days with more than ``hot_day_rows`` orders are taken out before that join
+    and ranked by :func:`rank_within`, so no task holds a whole oversized day.
     """
-    cdays = classified_days(clean, gap_days, amounts=False).select(
-        S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows")
+    spark = clean.sparkSession
+    path = scratch_path(spark, "day_facts")
+    (classified_days(clean, gap_days, amounts=False)
+     .select(S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows").write.parquet(path))
+    cdays = spark.read.parquet(path)
     orders = clean.select(*_ORDER_COLS)
-    j = orders.join(cdays, [S.USER, S.DATE])
+    hot_days = cdays.where(F.col("n_rows") > hot_day_rows)
+    any_hot = not hot_days.isEmpty()
+    # Spark broadcasts the hot days by their size or shuffles; skewed partitions of these
+    # two joins can be split, as nothing above them needs their clustering
+    cold = orders.join(hot_days.select(S.USER, S.DATE), [S.USER, S.DATE], "left_anti") if any_hot else orders
+    j = cold.join(cdays, [S.USER, S.DATE])
     # the join output is clustered by (user, date): this window sorts, no shuffle
     w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
     rank_in_day = F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day))
-    # Exact gate: an input with at most hot_day_rows rows cannot hold a hot day.
-    # On a Parquet scan the count decodes no columns.
-    if clean.count() <= hot_day_rows:
-        return _finish(j, rank_in_day)
-    out = _finish(j.where(F.col("n_rows") <= hot_day_rows), rank_in_day)
-    # Every hot day has more than hot_day_rows orders, so there are at most
-    # rows / hot_day_rows of them: the day facts and the per-(partition, day)
-    # rank facts are broadcast (bounded), and hot order rows are never
-    # hash-shuffled by (user, date) — they only pass the range shuffle.
-    hot_days = F.broadcast(cdays.where(F.col("n_rows") > hot_day_rows))
+    out = _finish(j, rank_in_day)
+    if not any_hot:
+        return out
     hot = orders.join(hot_days, [S.USER, S.DATE])
     payload = [c for c in hot.columns if c not in (S.USER, S.DATE, S.ORDER)]
-    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload, broadcast_stats=True)
+    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload)
     return out.unionByName(_finish(ranked, F.col("rank_in_day")))
 
 

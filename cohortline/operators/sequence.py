@@ -7,7 +7,9 @@ for a key that holds a large share of the data that task does all the work.
 1. range-partitions and sorts the rows by (key, order) — Spark samples the
    bounds, so a huge key is spread over many consecutive partitions;
 2. numbers rows inside each partition (``monotonically_increasing_id`` is
-   sequential within a sorted partition);
+   sequential within a sorted partition) and writes them once: sampled bounds
+   differ from one evaluation to the next, so both steps below must read the
+   same written rows;
 3. aggregates per (partition, key): the key's first local position and its
    row count; a window per key over *partitions* (at most one row per
    partition the key spans) gives the rows of that key in earlier partitions;
@@ -23,21 +25,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortline.session import scratch_path
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, name: str = "rank",
-                num_partitions: int | None = None, carry: list[str] | None = None,
-                broadcast_stats: bool = False) -> DataFrame:
+                num_partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Return ``keys + [order_col] + carry + [name]`` with ``name`` the 1-based
     position of the row within its key ordered by ``order_col``.
 
-    The range shuffle has an explicit partition count, so AQE never coalesces
-    it and both consumers see the same partitions.  ``carry`` columns travel
-    with the rows, so callers need no join back.  ``broadcast_stats`` hands the
-    per-(partition, key) facts to every task instead of shuffling the rows for
-    the join; use it when the number of keys has a known bound (the table has
-    at most keys + partitions rows).
+    ``carry`` columns travel with the rows, so callers need no join back.
     """
     cols = [*keys, order_col]
     extra = [c for c in (carry or []) if c not in cols]
@@ -46,11 +44,12 @@ def rank_within(df: DataFrame, keys: list[str], order_col: str, name: str = "ran
     mid = F.monotonically_increasing_id()
     pos = ordered.select(*cols, *extra, F.shiftright(mid, _LOCAL_BITS).alias("_part"),
                          mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
+    path = scratch_path(df.sparkSession, "ranked_rows")
+    pos.write.parquet(path)
+    pos = df.sparkSession.read.schema(pos.schema).parquet(path)
     per_part = pos.groupBy("_part", *keys).agg(F.min("_local").alias("_lstart"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     stats = per_part.select("_part", *keys, "_lstart",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    if broadcast_stats:
-        stats = F.broadcast(stats)
     rank = F.col("_local") - F.col("_lstart") + F.col("_before") + 1
-    return pos.join(stats, ["_part", *keys]).select(*cols, *extra, rank.cast("int").alias(name))
+    return pos.join(stats, ["_part", *keys]).select(*cols, *extra, rank.alias(name))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortline import schema as S
 from cohortline.operators import adhoc as A
@@ -60,6 +61,18 @@ register("clean_orders", O.clean_orders_sql())(lambda s, d: cleaned(s, d))
 register("cleaned_table", O.clean_orders_sql())(lambda s, d: cleaned_table(s, d))
 register("add_usd_exact_rate", O.clean_orders_sql(fx_round=False))(lambda s, d: cleaned(s, d, None))
 register("classified_orders", O.classified_orders_sql())(lambda s, d: CL.classify_orders(cleaned_table(s, d)))
+
+
+@register("classified_hot_day", O.classified_hot_day_sql())
+def classified_hot_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M0 with about a third of all orders on one customer's day, ranked by the hot-day path."""
+    hot = F.col(S.ORDER).substr(-1, 1).isin("0", "3", "6")
+    moved = cleaned_table(spark, sf_dir).withColumns({
+        S.USER: F.when(hot, F.lit("HOT")).otherwise(F.col(S.USER)),
+        S.DATE: F.when(hot, F.lit("1997-01-01").cast("date")).otherwise(F.col(S.DATE))})
+    return CL.classify_orders(moved, hot_day_rows=1000)
+
+
 register("order_gaps", O.order_gaps_sql())(lambda s, d: CL.order_gaps(cleaned_table(s, d)))
 register("master_customer_table", O.master_customer_sql())(
     lambda s, d: M.master_customer_table(cleaned_table(s, d)))
