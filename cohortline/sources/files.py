@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortline import schema as S
 
@@ -11,30 +13,53 @@ from cohortline import schema as S
 NULL_TOKEN = "\\N"
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw order file(s): header row, every field read as text, no inference."""
-    return (spark.read.schema(S.RAW_SCHEMA).option("header", True)
-            .option("nullValue", NULL_TOKEN).option("mode", "FAILFAST")
-            .csv(path))
+# a quote inside a quoted field is doubled, on both sides
+CSV_OPTIONS = {"header": True, "nullValue": NULL_TOKEN, "escape": '"'}
 
 
-def load_raw(spark: SparkSession, hist_path: str, recent_path: str) -> tuple[DataFrame, DataFrame]:
-    return read_raw_csv(spark, hist_path), read_raw_csv(spark, recent_path)
+def _read_by_header(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """CSV file(s) whose columns are matched to ``schema`` by header name.
+
+    Columns may come in any order; absent ones become null and unknown or repeated
+    ones raise.  All files under ``path`` must share one header: Spark checks each
+    file's header against the first one's and raises where they differ.
+    ``multi_line`` accepts line breaks inside quoted fields; such files can't be
+    split, so it is off unless asked for (a line break then raises as malformed).
+    """
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
+    names = reader.csv(path).columns
+    unknown = [c for c in names if c not in schema.names]
+    if unknown:
+        raise ValueError(f"unexpected columns in the header of {path}: {unknown}")
+    if not names:
+        return spark.createDataFrame([], schema)
+    found = T.StructType([schema[c] for c in names])
+    df = (reader.schema(found).option("enforceSchema", False).option("mode", "FAILFAST")
+          .option("dateFormat", "yyyy-MM-dd").csv(path))
+    return df.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
+
+
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw order file(s), columns by header name, every field read as text."""
+    return _read_by_header(spark, path, S.RAW_SCHEMA, multi_line)
+
+
+def load_raw(spark: SparkSession, hist_path: str, recent_path: str,
+             multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    return read_raw_csv(spark, hist_path, multi_line), read_raw_csv(spark, recent_path, multi_line)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite ``path`` with header CSV parts (a distributed write, no driver funnel)."""
-    (df.write.mode("overwrite").option("header", True)
-       .option("nullValue", NULL_TOKEN)
+    (df.write.mode("overwrite").options(**CSV_OPTIONS)
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
 
 
-def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned table from CSV with the typed 19-column schema."""
-    return (spark.read.schema(S.CLEAN_SCHEMA).option("header", True)
-            .option("nullValue", NULL_TOKEN).option("mode", "FAILFAST")
-            .option("dateFormat", "yyyy-MM-dd").csv(path))
+def read_clean_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Cleaned table from CSV, columns by header name, with the typed 19-column schema."""
+    return _read_by_header(spark, path, S.CLEAN_SCHEMA, multi_line)
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by_year: bool = False) -> None:
@@ -44,7 +69,6 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by_yea
         return
     w = df
     if partition_by_year:
-        from pyspark.sql import functions as F
         w = df.withColumn("year", F.year(S.DATE))
     writer = w.write.mode("overwrite")
     if partition_by_year:
