@@ -21,7 +21,7 @@ facts with one equi-join on (customer, day).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline import schema as S
@@ -57,16 +57,20 @@ def order_days(clean: DataFrame, amounts: bool = True, first_order: bool = True)
     return clean.groupBy(S.USER, S.DATE).agg(*aggs)
 
 
+def day_type(gap_days: int) -> Column:
+    """Type of a day's first order, from the customer's active day before it."""
+    return (F.when(F.col("prev_day").isNull(), F.lit("new"))
+             .when(F.datediff(F.col(S.DATE), F.col("prev_day")) > F.lit(gap_days), F.lit("reactivated"))
+             .otherwise(F.lit("retained")))
+
+
 def classify_days(days: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS) -> DataFrame:
     """Add prev_day, orders_before and day_type (type of the day's first order)."""
     w = Window.partitionBy(S.USER).orderBy(S.DATE)
     prev_day = F.lag(S.DATE).over(w)
     before = F.sum("n_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
     out = days.withColumns({"prev_day": prev_day, "orders_before": F.coalesce(before, F.lit(0).cast("bigint"))})
-    day_type = (F.when(F.col("prev_day").isNull(), F.lit("new"))
-                 .when(F.datediff(F.col(S.DATE), F.col("prev_day")) > F.lit(gap_days), F.lit("reactivated"))
-                 .otherwise(F.lit("retained")))
-    return out.withColumn("day_type", day_type)
+    return out.withColumn("day_type", day_type(gap_days))
 
 
 def classified_days(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS, amounts: bool = True,
@@ -119,6 +123,7 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     back on (user, date).  The rank inside a day is a per-day window; the orders
     of days with more than ``hot_day_rows`` orders are taken out before that join
     and ranked by :func:`rank_within`, so no task holds a whole oversized day.
+    Order ids must be unique, which the critical checks of the cleaned table ensure.
     """
     spark = clean.sparkSession
     path = scratch_path(spark, "day_facts")
@@ -157,8 +162,39 @@ def classified_audit(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS)
             .withColumn("classification_rule_version", F.lit(version)))
 
 
-def sample_order_per_type(classified: DataFrame) -> DataFrame:
-    """D8: per order type, the earliest order (date, then id) as a worked example."""
-    return (classified.groupBy("order_type")
-            .agg(F.count(F.lit(1)).alias("orders"),
-                 F.min_by(F.col(S.ORDER), F.struct(S.DATE, S.ORDER)).alias("sample_order_uuid")))
+def compare_gaps(clean: DataFrame, gap_a: int, gap_b: int) -> DataFrame:
+    """D8: orders per type under two gaps, and the earliest order (date, then id) of
+    each type under ``gap_b`` as a worked example.
+
+    Works on the day facts, written once.  The earliest order that opens a day is in
+    them; a retained order can also be a later one of its day, so that example is
+    looked up among the orders of the first day that has a retained order."""
+    spark = clean.sparkSession
+    w = Window.partitionBy(S.USER).orderBy(S.DATE)
+    path = scratch_path(spark, "gap_days")
+    (order_days(clean, amounts=False).withColumn("prev_day", F.lag(S.DATE).over(w))
+     .select(S.USER, S.DATE, "n_rows", "first_order_uuid", day_type(gap_a).alias("type_a"),
+             day_type(gap_b).alias("type_b")).write.parquet(path))
+    days = spark.read.parquet(path)
+
+    def parts(kind: str):
+        rest = F.col("n_rows") - 1
+        return F.array(F.struct(F.col(kind).alias("order_type"), F.lit(1).cast("bigint").alias("n")),
+                       F.struct(F.lit("retained").alias("order_type"), rest.alias("n")))
+
+    def counts(kind: str, name: str) -> DataFrame:
+        return (days.select(F.inline(parts(kind))).where("n > 0")
+                    .groupBy("order_type").agg(F.sum("n").alias(name)))
+
+    first_retained = days.where((F.col("type_b") == "retained") | (F.col("n_rows") > 1)).agg(F.min(S.DATE)).scalar()
+    openers = days.where(F.col("type_b") != "retained")
+    sample_open = openers.groupBy(F.col("type_b").alias("order_type")).agg(
+        F.min_by(F.col("first_order_uuid"), F.struct(S.DATE, "first_order_uuid")).alias("sample_order_uuid"))
+    not_retained = openers.where(F.col(S.DATE) == first_retained).select(F.col("first_order_uuid").alias(S.ORDER))
+    sample_retained = (clean.where(F.col(S.DATE) == first_retained).select(S.ORDER)
+                       .join(not_retained, S.ORDER, "left_anti")
+                       .agg(F.min(S.ORDER).alias("sample_order_uuid"))
+                       .select(F.lit("retained").alias("order_type"), "sample_order_uuid"))
+    a = counts("type_a", f"orders_gap{gap_a}")
+    b = counts("type_b", f"orders_gap{gap_b}").join(sample_open.unionByName(sample_retained), "order_type", "left")
+    return a.join(b, "order_type", "full")

@@ -3,12 +3,12 @@ drift, freshness and diagnostic breakdowns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortline import schema as S
 from cohortline.functions.money import pct_1dp, to_cents
-from cohortline.operators.classify import classify_orders, sample_order_per_type
+from cohortline.operators.classify import compare_gaps
 from cohortline.operators.cleaning import DataQualityError
 from cohortline.operators.marts import _platform_metrics, customer_platform
 
@@ -38,8 +38,10 @@ def grain_check(df: DataFrame, key: str = S.USER) -> DataFrame:
 
 def redemption_rate(df: DataFrame) -> DataFrame:
     """Customers overall vs customers with at least one redeemed order."""
-    red = F.count_distinct(F.when(F.col(S.STATUS) == "redeemed", F.col(S.USER)))
-    agg = df.agg(F.count_distinct(S.USER).alias("all_customers"), red.alias("customers_with_redemption"))
+    per_user = (df.where(F.col(S.USER).isNotNull()).groupBy(S.USER)
+                  .agg(F.bool_or(F.coalesce(F.col(S.STATUS) == "redeemed", F.lit(False))).alias("redeemed")))
+    agg = per_user.agg(F.count(F.lit(1)).alias("all_customers"),
+                       F.count_if("redeemed").alias("customers_with_redemption"))
     share = F.try_divide(F.col("customers_with_redemption") * F.lit(100.0), F.col("all_customers").cast("double"))
     return agg.select("*", share.alias("redemption_share"),
                       pct_1dp(F.col("customers_with_redemption"), F.col("all_customers")).alias("redemption_pct"))
@@ -47,18 +49,49 @@ def redemption_rate(df: DataFrame) -> DataFrame:
 
 # ── D5 ──────────────────────────────────────────────────────────────────────
 
+RUN_LOG_SCHEMA = "run_id bigint, row_count bigint"
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The persisted (run_id, row_count) log; empty where no run has written one."""
+    from cohortline.plans.materialize import path_exists
+
+    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path) if path_exists(spark, path) \
+        else spark.createDataFrame([], RUN_LOG_SCHEMA)
+
+
+def _change_pct(count: Column, previous: Column) -> Column:
+    return F.try_divide((count - previous) * F.lit(100.0), previous.cast("double"))
+
+
+def assert_drift_and_log(current: DataFrame, path: str, tolerance_pct: float = 5.0) -> int:
+    """Compare the row count with the last logged run's, raise if it moved more than
+    ``tolerance_pct``, else log it under the next run id (returned).  A refused run is
+    not logged: the next one is held against the last accepted run."""
+    spark = current.sparkSession
+    log = read_run_log(spark, path)
+    last = log.orderBy(F.col("run_id").desc()).limit(1).select("run_id", "row_count").first()
+    n = current.count()
+    run_id = 1 if last is None else last["run_id"] + 1
+    if last is not None:
+        moved = abs(n - last["row_count"]) * 100.0
+        if (moved > tolerance_pct * last["row_count"]) if last["row_count"] else n > 0:
+            raise DataQualityError(f"row count drift: {last['row_count']} rows in run {last['run_id']}, now {n}")
+    spark.createDataFrame([(run_id, n)], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return run_id
+
+
 def row_drift_check(current: DataFrame, run_log: DataFrame, tolerance_pct: float = 5.0) -> DataFrame:
-    """Append this run's row count to a (run_id, row_count) log and flag runs
-    whose count moved more than ``tolerance_pct`` against the previous run."""
+    """This run's row count after those of a (run_id, row_count) log, with the runs
+    flagged whose count moved more than ``tolerance_pct`` against the run before.
+    Run ids follow each other without gaps, as ``assert_drift_and_log`` gives them."""
     next_id = run_log.agg(F.coalesce(F.max("run_id"), F.lit(0)) + 1).scalar()
     this_run = current.agg(F.count(F.lit(1)).alias("row_count")).select(next_id.cast("bigint").alias("run_id"),
                                                                        "row_count")
     runs = run_log.select(F.col("run_id").cast("bigint"), F.col("row_count").cast("bigint")).unionByName(this_run)
-    w = Window.orderBy("run_id")  # one row per run: tiny
-    prev = F.lag("row_count").over(w)
-    change = F.try_divide((F.col("row_count") - F.col("prev_row_count")) * F.lit(100.0),
-                          F.col("prev_row_count").cast("double"))
-    return (runs.withColumn("prev_row_count", prev)
+    before = runs.select((F.col("run_id") + 1).alias("run_id"), F.col("row_count").alias("prev_row_count"))
+    change = _change_pct(F.col("row_count"), F.col("prev_row_count"))
+    return (runs.join(before, "run_id", "left")
                 .withColumn("change_pct", F.round(change * 10) / 10)
                 .withColumn("within_tolerance",
                             F.coalesce(F.abs(change) <= F.lit(tolerance_pct), F.lit(True))))
@@ -95,13 +128,23 @@ def reconciliation(clean: DataFrame, mct: DataFrame) -> DataFrame:
                       ((raw_c - model_c).cast("double") / 100).alias("difference"))
 
 
+def assert_reconciled(clean: DataFrame, mct: DataFrame) -> None:
+    row = reconciliation(clean, mct).first()
+    if row["difference"]:
+        raise DataQualityError(f"the customer table holds {row['model_total']} USD, the orders {row['raw_total']}")
+
+
+def assert_grain(df: DataFrame, key: str = S.USER) -> None:
+    row = grain_check(df, key).first()
+    if row is not None:
+        raise DataQualityError(f"{key} {row[key]!r} has {row['row_count']} rows, one expected")
+
+
 # ── D8 ──────────────────────────────────────────────────────────────────────
 
 def classification_compare(clean: DataFrame, gap_a: int = S.REACTIVATION_GAP_DAYS, gap_b: int = 180) -> DataFrame:
     """Orders per type under two reactivation gaps, and a sample order under ``gap_b``."""
-    a = classify_orders(clean, gap_a).groupBy("order_type").agg(F.count(F.lit(1)).alias(f"orders_gap{gap_a}"))
-    b = sample_order_per_type(classify_orders(clean, gap_b)).withColumnRenamed("orders", f"orders_gap{gap_b}")
-    return a.join(b, "order_type", "full")
+    return compare_gaps(clean, gap_a, gap_b)
 
 
 # ── D9 ──────────────────────────────────────────────────────────────────────
@@ -114,6 +157,12 @@ def freshness_check(clean: DataFrame, as_of: DataFrame, max_lag_days: int = 1) -
                         lag.alias("lag_days"), (lag <= F.lit(max_lag_days)).alias("is_fresh"))
 
 
+def assert_fresh(clean: DataFrame, as_of: str, max_lag_days: int = 1) -> None:
+    row = freshness_check(clean, literal_frame(clean.sparkSession, [(as_of,)], "as_of string"), max_lag_days).first()
+    if not row["is_fresh"]:
+        raise DataQualityError(f"newest order of {row['max_order_date']} is {row['lag_days']} days behind {as_of}")
+
+
 # ── D11 ─────────────────────────────────────────────────────────────────────
 
 def first_order_facts(clean: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ it is computed once and its lineage cut with a reliable ``checkpoint()``
 into the cluster's shared ``spark.checkpoint.dir``, so the three marts are
 cheap aggregations over the checkpointed day rows and a lost executor re-reads
 files instead of recomputing the classification.
+
+The build stops on a failed gate: grain and contracts of the customer table, its
+reconciliation with the orders, and, where the caller names a run log or a date,
+row-count drift and freshness.
 """
 
 from __future__ import annotations
@@ -14,18 +18,33 @@ from pyspark.sql import DataFrame
 
 from cohortline import schema as S
 from cohortline.operators import marts as M
+from cohortline.operators import trust as T
 from cohortline.operators.classify import classified_days
 from cohortline.session import ensure_checkpoint_dir
 
 
-def build_marts(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS, as_of=None) -> dict[str, DataFrame]:
-    """M1–M5 (and the M2/M4 variants) as DataFrames sharing one day classification."""
+def build_marts(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS, as_of=None,
+                run_log: str | None = None, drift_tolerance_pct: float = 5.0,
+                fresh_as_of: str | None = None, max_lag_days: int = 1) -> dict[str, DataFrame]:
+    """M1–M5 (and the M2/M4 variants) as DataFrames sharing one day classification.
+
+    ``run_log`` is the folder of the persisted (run_id, row_count) log and switches the
+    drift gate on; ``fresh_as_of`` (a date) switches the freshness gate on.  Every failed gate
+    raises ``DataQualityError``; the run is logged only when all the others hold."""
     ensure_checkpoint_dir(clean.sparkSession)
+    if fresh_as_of is not None:
+        T.assert_fresh(clean, fresh_as_of, max_lag_days)
     cdays = classified_days(clean, gap_days).checkpoint(eager=True)
+    mct = M.master_customer_table(clean, as_of=as_of, cdays=cdays).checkpoint(eager=True)
+    T.assert_grain(mct)
+    T.assert_contracts(mct)
+    T.assert_reconciled(clean, mct)
+    if run_log is not None:
+        T.assert_drift_and_log(clean, run_log, drift_tolerance_pct)
     return {
-        "master_customer_table": M.master_customer_table(clean, as_of=as_of, cdays=cdays),
+        "master_customer_table": mct,
         "revenue_mix_6m": M.revenue_mix_6m(clean, cdays=cdays),
-        "revenue_mix_6m_exact": M.revenue_mix_6m(clean, round_first=False, cdays=cdays),
+        "revenue_mix_6m_exact": M.revenue_mix_6m(clean, round_first=False),
         "revenue_mix_monthly": M.revenue_mix_monthly(clean, cdays=cdays),
         "platform_summary": M.platform_summary(clean),
         "platform_summary_rounded": M.platform_summary(clean, round_first=True),
