@@ -1,19 +1,6 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""The size up to which a lookup may be broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 # Largest lookup we hand to executors as a broadcast.
 MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``small`` only after proving it has at most ``max_rows``.
-
-    The check reads at most ``max_rows + 1`` rows.  Larger inputs are returned
-    unhinted so the planner uses a shuffle join instead.
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small

@@ -37,6 +37,16 @@ def to_cents(x) -> Column:
     return F.round(_c(x) * F.lit(100.0)).cast("bigint")
 
 
+def to_micros(x) -> Column:
+    """Exact integer millionths of an amount that has at most 6 decimals."""
+    return F.round(_c(x) * F.lit(1e6)).cast("bigint")
+
+
+def micros_to_usd(micros) -> Column:
+    """``ROUND(SUM(x), 2)`` from an exact total in millionths."""
+    return F.round(_c(micros).cast("double") / F.lit(1e4)) / F.lit(100.0)
+
+
 def cents_to_usd(cents) -> Column:
     """Cent total back to a 2-decimal double (null stays null)."""
     return _c(cents).cast("double") / F.lit(100.0)

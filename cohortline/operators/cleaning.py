@@ -95,11 +95,13 @@ def fix_missing_country(df: DataFrame, lookup: DataFrame | None = None,
 
 def country_fill_summary(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """C4: nulls before the lookup, filled by it, still null after (one row)."""
-    fixed = fix_missing_country(raw.select(S.CITY, S.COUNTRY), lookup)
-    still_null = fixed.agg(F.count_if(F.col(S.COUNTRY).isNull())).scalar()
-    before = raw.agg(F.count_if(F.col(S.COUNTRY).isNull()).alias("null_before"))
-    return before.select("null_before", (F.col("null_before") - still_null).alias("filled"),
-                         still_null.alias("still_null"))
+    if lookup is None:
+        lookup = default_city_lookup(raw.sparkSession)
+    missing = F.col(S.COUNTRY).isNull()
+    found = F.col("_lk_country").isNotNull()
+    return _lookup_join(raw.select(S.CITY, S.COUNTRY), lookup, S.CITY).agg(
+        F.count_if(missing).alias("null_before"), F.count_if(missing & found).alias("filled"),
+        F.count_if(missing & ~found).alias("still_null"))
 
 
 # ── C5 ──────────────────────────────────────────────────────────────────────
@@ -147,7 +149,7 @@ def assert_not_null(df: DataFrame, columns: list[str] = S.KEY_COLUMNS) -> DataFr
     """Row-level guard evaluated lazily wherever the column is computed:
     a null key aborts the job instead of flowing into a mart."""
     guards: dict[str, Column] = {
-        c: F.coalesce(F.col(c), F.raise_error(F.lit(f"CRITICAL: null value in '{c}'")).cast(df.schema[c].dataType))
+        c: F.coalesce(F.col(c), F.raise_error(F.lit(f"cleaned orders need a value in {c}")).cast(df.schema[c].dataType))
         for c in columns if c in df.columns
     }
     return df.withColumns(guards)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline import schema as S
@@ -47,13 +47,15 @@ def orders_histogram(mct: DataFrame) -> DataFrame:
 
 
 def orders_histogram_bins(mct: DataFrame, bins: int = 12) -> DataFrame:
-    """Equal-width bins over [min, max] of total_orders (bounds as scalar subqueries)."""
-    lo = mct.agg(F.min("total_orders")).scalar()
-    hi = mct.agg(F.max("total_orders")).scalar()
-    b = F.width_bucket(F.col("total_orders"), lo, hi + 1, F.lit(bins))
-    return mct.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers"),
-                                           F.min("total_orders").alias("min_orders"),
-                                           F.max("total_orders").alias("max_orders")).orderBy("bin")
+    """Equal-width bins over [min, max] of total_orders, from its exact frequencies
+    (one row per different order count)."""
+    freq = mct.groupBy("total_orders").agg(F.count(F.lit(1)).alias("customers"))
+    every = Window.partitionBy()  # over the frequencies, not the customers
+    n = F.col("total_orders")
+    b = F.width_bucket(n, F.min(n).over(every), F.max(n).over(every) + 1, F.lit(bins))
+    return (freq.withColumn("bin", b).groupBy("bin")
+                .agg(F.sum("customers").alias("customers"), F.min(n).alias("min_orders"),
+                     F.max(n).alias("max_orders")).orderBy("bin"))
 
 
 def profitability_points(mct: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from cohortline import schema as S
 from cohortline.functions.dates import month_start
-from cohortline.functions.money import cents_to_usd, mean_cents_to_usd, pct_1dp, round_half_up, to_cents
-from cohortline.operators.classify import classified_days, day_type_contributions
+from cohortline.functions.money import (cents_to_usd, mean_cents_to_usd, micros_to_usd, pct_1dp, round_half_up,
+                                        to_cents, to_micros)
+from cohortline.operators.classify import classified_days, day_type, day_type_contributions
 
 
 def dataset_max_date(clean: DataFrame) -> Column:
@@ -165,22 +166,43 @@ def top_customers(mct: DataFrame, n: int | None = None) -> DataFrame:
 
 # ── M2 / M3 ─────────────────────────────────────────────────────────────────
 
+def _days_after(clean: DataFrame, cutoff: Column, gap_days: int, unit) -> DataFrame:
+    """Classified days after ``cutoff``.  Of the history before it only each
+    customer's last active day matters, so that part is one date per customer."""
+    d = F.col(S.DATE)
+    history = (clean.where(d <= cutoff).groupBy(S.USER).agg(F.max(S.DATE).alias(S.DATE))
+                    .withColumn("n_rows", F.lit(0).cast("bigint")))
+    amount = unit(S.GROSS_USD)
+    days = clean.where(d > cutoff).groupBy(S.USER, S.DATE).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(amount).alias("gb_c"), F.count(S.GROSS_USD).alias("gb_n"),
+        F.min_by(amount, F.col(S.ORDER)).alias("first_gb_c"))
+    every = days.unionByName(history, allowMissingColumns=True)
+    prev = F.lag(S.DATE).over(Window.partitionBy(S.USER).orderBy(S.DATE))
+    return (every.withColumn("prev_day", prev).where("n_rows > 0")
+                 .withColumn("day_type", day_type(gap_days)))
+
+
 def revenue_mix_6m(clean: DataFrame, months: int = 6, round_first: bool = True,
                    gap_days: int = S.REACTIVATION_GAP_DAYS, cdays: DataFrame | None = None) -> DataFrame:
     """M2/M2b: bookings by order type for dates strictly after max − ``months``.
 
-    The filter sits *after* the per-customer window (history decides the type).
-    ``round_first`` selects share-of-rounded-sums (True) or of raw sums (False);
-    on cent totals both are the same number.
+    History decides an order's type, so each customer's last day before the cutoff
+    takes part in the per-customer window.  ``round_first`` takes the amounts as
+    cents (M2); without it they are summed unrounded, in exact millionths, and the
+    share comes from those sums (M2b).  ``cdays`` (cent amounts) serves M2 only.
     """
-    if cdays is None:
-        cdays = classified_days(clean, gap_days)
+    if cdays is not None and not round_first:
+        raise ValueError("classified days hold cents; the unrounded mix starts from the orders")
     cutoff = F.add_months(dataset_max_date(clean), -months)  # one-column scan
-    parts = day_type_contributions(cdays).where(F.col(S.DATE) > cutoff)
-    by_type = parts.groupBy("order_type").agg(F.sum("gb_c").alias("gb_c"))
+    if cdays is None:
+        recent = _days_after(clean, cutoff, gap_days, to_cents if round_first else to_micros)
+    else:
+        recent = cdays.where(F.col(S.DATE) > cutoff)
+    by_type = (day_type_contributions(recent).groupBy("order_type")
+               .agg(F.sum(F.col("gb_c").cast("decimal(28,0)")).alias("gb_c")))
     total = F.sum("gb_c").over(Window.partitionBy())  # ≤ 3 rows
-    return (by_type.select("order_type", cents_to_usd("gb_c").alias(S.GROSS_USD),
-                           pct_1dp(F.col("gb_c"), total).alias("pct_share"))
+    usd = cents_to_usd("gb_c") if round_first else micros_to_usd("gb_c")
+    return (by_type.select("order_type", usd.alias(S.GROSS_USD), pct_1dp(F.col("gb_c"), total).alias("pct_share"))
                    .orderBy(F.col("pct_share").desc_nulls_last(), "order_type"))
 
 
@@ -213,31 +235,37 @@ def customer_platform(clean: DataFrame, extra_keys: list | None = None) -> DataF
     )
 
 
+# A customer's mean order value is kept in this fraction of a cent, as an integer.
+MEAN_UNITS_PER_CENT = 1_000_000
+
+
 def _platform_metrics(cp: DataFrame, keys: list[str], round_first: bool) -> DataFrame:
-    aov_c = F.try_divide(F.col("gb_c").cast("double"), F.col("gb_n").cast("double"))
-    if round_first:
-        # .sql form: per-customer AVG and SUM rounded before the outer aggregate
-        aov_c = F.round(aov_c)
-        booked = F.col("orders") * aov_c
-    else:
-        # orders × avg = the customer's cent total whenever no amount is null
-        booked = F.when(F.col("gb_n") == F.col("orders"), F.col("gb_c").cast("double")) \
-                  .otherwise(F.col("orders") * aov_c)
-    per = cp.select(*keys, S.USER, "orders", aov_c.alias("aov_c"), F.col("gp_c"), booked.alias("booked_c"))
+    """All sums run over integers (``decimal(38,0)``), so their order does not matter."""
+    unit = 1 if round_first else MEAN_UNITS_PER_CENT   # round_first: whole cents per customer
+    wide = "decimal(19,0)"
+    mean = F.round(F.try_divide(F.col("gb_c").cast("double") * F.lit(float(unit)), F.col("gb_n").cast("double")))
+    aov = mean.cast(wide)
+    booked = F.col("orders").cast(wide) * aov
+    if not round_first:
+        # orders × mean = the customer's cent total whenever no amount is null
+        booked = F.when(F.col("gb_n") == F.col("orders"), F.col("gb_c").cast(wide) * F.lit(unit).cast(wide)) \
+                  .otherwise(booked)
+    per = cp.select(*keys, S.USER, "orders", aov.alias("aov"), F.col("gp_c"), booked.alias("booked"))
     agg = per.groupBy(*keys).agg(
         F.count(S.USER).alias("unique_customers"),  # (customer, group) rows are unique
         F.sum("orders").alias("orders_sum"), F.count("orders").alias("orders_n"),
-        F.sum("aov_c").alias("aov_sum"), F.count("aov_c").alias("aov_n"),
-        F.sum("gp_c").alias("gp_sum"), F.count("gp_c").alias("gp_n"),
-        F.sum("booked_c").alias("booked_c"),
+        F.sum("aov").alias("aov_sum"), F.count("aov").alias("aov_n"),
+        F.sum(F.col("gp_c").cast("decimal(28,0)")).alias("gp_sum"), F.count("gp_c").alias("gp_n"),
+        F.sum("booked").alias("booked"),
     )
     return agg.select(
         *keys, "unique_customers",
         round_half_up(F.try_divide(F.col("orders_sum").cast("double"), F.col("orders_n").cast("double")))
         .alias("avg_orders_per_customer"),
-        (F.round(F.try_divide(F.col("aov_sum"), F.col("aov_n").cast("double"))) / 100.0).alias("avg_order_value_usd"),
+        (F.round(F.try_divide(F.col("aov_sum").cast("double"), F.col("aov_n").cast("double") * float(unit))) / 100.0)
+        .alias("avg_order_value_usd"),
         mean_cents_to_usd("gp_sum", "gp_n").alias("avg_gross_profit_per_customer_usd"),
-        (F.round(F.col("booked_c")) / 100.0).alias("total_gross_bookings_usd"),
+        (F.round(F.col("booked").cast("double") / float(unit)) / 100.0).alias("total_gross_bookings_usd"),
     )
 
 

@@ -79,8 +79,15 @@ register("master_customer_table", O.master_customer_sql())(
 register("master_customer_join", O.master_customer_sql())(
     lambda s, d: M.master_customer_table(cleaned_table(s, d), method="join"))
 register("revenue_mix_6m", O.revenue_mix_6m_sql())(lambda s, d: M.revenue_mix_6m(cleaned_table(s, d)))
-register("revenue_mix_6m_exact", O.revenue_mix_6m_sql())(
-    lambda s, d: M.revenue_mix_6m(cleaned_table(s, d), round_first=False))
+
+
+def unrounded_bookings(clean: DataFrame) -> DataFrame:
+    """Cleaned orders whose USD bookings keep all decimals of amount × rate."""
+    return clean.withColumn(S.GROSS_USD, F.col(S.GROSS_OP) * F.col(S.FX))
+
+
+register("revenue_mix_6m_exact", O.revenue_mix_6m_exact_sql())(
+    lambda s, d: M.revenue_mix_6m(unrounded_bookings(cleaned(s, d, None)), round_first=False))
 register("revenue_mix_monthly", O.revenue_mix_monthly_sql())(lambda s, d: M.revenue_mix_monthly(cleaned_table(s, d)))
 register("platform_summary", O.platform_summary_sql())(lambda s, d: M.platform_summary(cleaned_table(s, d)))
 register("platform_summary_rounded", O.platform_summary_sql(round_first=True))(
@@ -100,8 +107,10 @@ def _typed_raw(df: DataFrame) -> DataFrame:
 
 @register("scan_raw", O.raw_all_sql())
 def _scan_raw(spark, sf_dir):
-    """S1: the two raw files written as CSV, scanned back with the all-text schema."""
+    """S1: the two raw files written as CSV, the second with its columns in another
+    order, and scanned back by header name with the all-text schema."""
     hist, recent = raw_files(spark, sf_dir)
+    recent = recent.select(*reversed(recent.columns))
     hp, rp = scratch_path(spark, "raw_hist"), scratch_path(spark, "raw_recent")
     IO.write_csv(hist, hp)
     IO.write_csv(recent, rp)
@@ -121,8 +130,13 @@ register("merge_files", O.raw_all_sql())(lambda s, d: C.merge_files(*raw_files(s
 register("fix_date", O.fix_date_sql())(lambda s, d: C.fix_date_column(raw_orders(s, d)))
 register("fix_country", O.fix_country_sql())(
     lambda s, d: C.fix_missing_country(raw_orders(s, d), city_country_lookup(s, d)))
+def partial_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A city lookup that knows the cities of two regions only."""
+    return city_country_lookup(spark, sf_dir).where(F.col("country").isin("ASIA", "EUROPE"))
+
+
 register("residual_null_country", O.residual_null_country_sql())(
-    lambda s, d: C.country_fill_summary(raw_orders(s, d)))
+    lambda s, d: C.country_fill_summary(raw_orders(s, d), partial_lookup(s, d)))
 register("fix_promo", O.fix_promo_sql())(lambda s, d: C.fix_promo_code(raw_orders(s, d)))
 register("standardise_types", O.standardise_types_sql())(lambda s, d: C.standardise_column_types(raw_orders(s, d)))
 register("add_usd", O.add_usd_sql())(
@@ -154,7 +168,8 @@ register("usd_formula_check", O.usd_formula_check_sql())(
 
 @register("type_profile", O.type_profile_sql())
 def _type_profile(spark, sf_dir):
-    return Q.type_profile(cleaned_table(spark, sf_dir))
+    """Q12: what the values of the raw columns read as."""
+    return Q.type_profile(raw_orders(spark, sf_dir))
 
 
 # ── trust checks ────────────────────────────────────────────────────────────
