@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -59,6 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cohortline-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)   # ours alone: goes with the session
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
