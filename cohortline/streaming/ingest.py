@@ -46,7 +46,7 @@ def _batches(spark: SparkSession, out_path: str) -> DataFrame:
 
 def ingested(spark: SparkSession, out_path: str) -> DataFrame:
     """The cleaned table with the rows of every published batch."""
-    return spark.read.schema(S.CLEAN_SCHEMA).parquet(out_path)
+    return _batches(spark, out_path).select(*S.CLEAN_COLUMNS)
 
 
 def append_checked_batch(batch: DataFrame, batch_id: int, out_path: str, check_existing: bool = True) -> None:
