@@ -6,15 +6,18 @@ through tanh, a softmax gives the word's class and another the word within its
 class.  A text's score is the sum over all its words of the log-probability given
 both sides.
 
-What is gathered from the corpus grows with it: counts of all words (the
-``VOCABULARY`` most frequent are modelled by themselves, other words by a class of
-their first letters), and the parameters every task has trained on its whole share of
-the texts.  Training starts from a common network fitted to a bounded sample, then
+The network models the ``VOCABULARY`` most frequent words by themselves and other
+words by a class of their first letters: ``log_likelihood`` and ``mean_log_prob`` are
+of these words and classes.  Every word of such a class has its own probability within
+it, its share of the class's count: ``word_log_likelihood`` and
+``mean_word_log_prob`` have that factor too and so are of the words themselves.  The
+counts of all words are a Spark table that grows with the corpus and is joined by
+word, with the words of a text added up first.  Training starts from a common network fitted to a bounded sample, then
 each task goes once over its own texts and the results are averaged by words seen
 (sums per parameter slice, in two steps).
 
-Defined results.  Null and empty texts and texts without words have 0 words, score 0
-and a null mean.  Repeated rows give repeated rows; with no words in the corpus at
+Defined results.  Null and empty texts and texts without words have 0 words, scores 0
+and null means.  Repeated rows give repeated rows (of equal scores); with no words in the corpus at
 all, or an empty table, nothing is trained and the result has those rows only.  Other
 columns are ignored.
 """
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.tables import doc_text
-from cohortline.llm.textnum import Words, blocks
+from cohortline.llm.tables import doc_text, written
+from cohortline.llm.textnum import Words, blocks, mix, sequence_keys
 
 VOCABULARY = 4096
 RARE = 256               # classes of other words, by their first three letters
@@ -40,21 +43,27 @@ BATCH = 8192
 SAMPLE_TEXTS = 1500      # of the common start
 SLICES = 16
 BLOCK = 1 << 18          # characters worked on at a time
+UNITS = 1e9              # logs of counts are summed in whole 1e-9, whatever their order
 
 IDS = VOCABULARY + RARE
 GROUPS = IDS // GROUP
 
 
+def word_class(words: Words) -> np.ndarray:
+    return (words.prefix % np.uint64(RARE)).astype(np.int64)
+
+
 class Vocabulary:
-    """Word hashes by frequency rank."""
+    """Word hashes by frequency rank, and the count of all other words of each class."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, class_counts: np.ndarray):
         rank = np.arange(len(hashes))
         order = np.argsort(hashes)
         self.hash, self.rank = hashes[order], rank[order]
+        self.log_class = np.round(np.log(np.maximum(class_counts, 1)) * UNITS).astype(np.int64)
 
     def ids(self, words: Words) -> np.ndarray:
-        out = VOCABULARY + (words.prefix % np.uint64(RARE)).astype(np.int64)
+        out = VOCABULARY + word_class(words)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, words.hash), len(self.hash) - 1)
             known = self.hash[at] == words.hash
@@ -169,26 +178,35 @@ def _picked(z: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, n``: every word hash of the corpus with its count."""
+    """``word, class, n``: every word hash of the corpus with its class and count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = b.column("text").to_pylist()
             for lo, hi in blocks(parts, 4 * BLOCK):
-                w, n = np.unique(Words(parts[lo:hi]).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+                words = Words(parts[lo:hi], prefix=3)
+                w, at, n = np.unique(words.hash, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.view(np.int64)), pa.array(word_class(words)[at].astype(np.int32)), pa.array(n.astype(np.int64))],
+                    names=["word", "class", "n"])
 
-    return texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return (texts.select("text").mapInArrow(run, "word bigint, class int, n bigint")
+            .groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n")))
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()     # a bounded head
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()     # a bounded head
+    rest = np.zeros(RARE, np.int64)
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():    # RARE rows
+        rest[r["class"]] = r["n"]
+    for r in top:
+        rest[r["class"]] -= r["n"]
+    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64), rest)
 
 
-def _tokens(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+def _tokens(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, Words, int, int]]:
     for lo, hi in blocks(texts, BLOCK):
         w = Words(texts[lo:hi], prefix=3)
-        yield vocab.ids(w), w.first, lo, hi
+        yield vocab.ids(w), w, lo, hi
 
 
 def train(texts: DataFrame, vocab: Vocabulary) -> Network:
@@ -197,8 +215,8 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Network:
     sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS).select("text")
     start = [r["text"] for r in sample.collect()]
     for _ in range(3):
-        for ids, first, _, _ in _tokens(start, vocab):
-            net.train(ids, contexts(ids, first), 0.1)
+        for ids, w, _, _ in _tokens(start, vocab):
+            net.train(ids, contexts(ids, w.first), 0.1)
     sc = texts.sparkSession.sparkContext
     common = sc.broadcast((vocab, net.flat()))           # about two megabytes
 
@@ -208,9 +226,9 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Network:
         for s in mine.s.values():
             s += 1.0 / BATCH                             # gentle first steps from the common start
         for b in batches:
-            for ids, first, _, _ in _tokens(b.column("text").to_pylist(), voc):
+            for ids, w, _, _ in _tokens(b.column("text").to_pylist(), voc):
                 if len(ids):
-                    mine.train(ids, contexts(ids, first), 0.03)
+                    mine.train(ids, contexts(ids, w.first), 0.03)
                     seen += len(ids)
         if seen:
             parts = np.array_split(mine.flat().astype(np.float64) * seen, SLICES)
@@ -244,29 +262,57 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Network:
     return net
 
 
-def score(texts: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean_log_prob`` of every text."""
+def score(texts: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, mean_log_prob, word_log_likelihood, mean_word_log_prob`` of every text."""
     shared = texts.sparkSession.sparkContext.broadcast((vocab, net.flat()))
 
+    def rows(ids, key, word, n, own, ll):
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(key.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), own, ll],
+            names=["doc_id", "key", "word", "n", "own", "ll"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with ``ll`` for each text, then its words out of the vocabulary with their number."""
         voc, flat = shared.value
         mine = Network().load(flat)
         for b in batches:
-            total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for ids, first, lo, hi in _tokens(b.column("text").to_pylist(), voc):
+            doc_ids = b.column("doc_id")
+            for ids, w, lo, hi in _tokens(b.column("text").to_pylist(), voc):
+                total, own, key = np.zeros(hi - lo), np.zeros(hi - lo, np.int64), sequence_keys(w)[0]
+                other = np.flatnonzero(ids >= VOCABULARY)
                 if len(ids):
-                    lp = mine.log_probs(ids, contexts(ids, first))
-                    n[lo:hi] = np.diff(first)
-                    has = np.flatnonzero(np.diff(first))
-                    total[lo + has] = np.add.reduceat(lp, first[has])
-            mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(total, 4)), mean],
-                                             names=["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
-
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, mean_log_prob double")
+                    has = np.flatnonzero(w.count)
+                    total[has] = np.add.reduceat(mine.log_probs(ids, contexts(ids, w.first)), w.first[has])
+                    np.subtract.at(own, w.doc[other], voc.log_class[ids[other] - VOCABULARY])
+                part = doc_ids.slice(lo, hi - lo)
+                # a text's own row has no word: its place in the join is spread by id and key
+                place = mix(key ^ mix(part.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+                yield rows(part, key, place, w.count, pa.array(own), pa.array(total))
+                if len(other):
+                    order = np.lexsort((w.hash[other], w.doc[other]))
+                    d, h = w.doc[other][order], w.hash[other][order]
+                    cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))))
+                    yield rows(part.take(pa.array(d[cut])), key[d[cut]], h[cut], np.diff(np.append(cut, len(d))),
+                               pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.float64()))
+
+    known = counts.where("n > 1").select("word", F.round(F.log("n") * UNITS).cast("bigint").alias("log_n"))    # log 1 is 0
+    text = F.col("ll").isNotNull()
+    sums = (texts.mapInArrow(run, "doc_id bigint, key bigint, word bigint, n bigint, own bigint, ll double").join(known, "word", "left")
+            .groupBy("doc_id", "key")
+            .agg(F.max(F.when(text, F.col("n"))).alias("n_words"), F.max("ll").alias("ll"), F.count("ll").cast("int").alias("copies"),
+                 F.sum(F.when(text, F.col("own")).otherwise(F.col("n") * F.coalesce("log_n", F.lit(0)))).alias("own")))
+    sums = sums.withColumn("word_ll", F.col("ll") + F.col("own") / F.col("copies") / UNITS)
+
+    def mean(total: str) -> F.Column:
+        return F.when(F.col("n_words") > 0, F.round(F.col(total) / F.col("n_words"), 6))
+
+    return (sums.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+            .select("doc_id", "n_words", F.round("ll", 4).alias("log_likelihood"), mean("ll").alias("mean_log_prob"),
+                    F.round("word_ll", 4).alias("word_log_likelihood"), mean("word_ll").alias("mean_word_log_prob")))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     texts = doc_text(docs)
-    vocab = vocabulary(texts)
-    return score(texts, vocab, train(texts, vocab))
+    counts = written(word_counts(texts), "word-counts")       # read three times below
+    vocab = vocabulary(counts)
+    return score(texts, vocab, train(texts, vocab), counts)

@@ -242,3 +242,21 @@ def test_toxicity_learns_marked_words():
     assert ((m.raw(a, b, first)[300:] > 0) == np.array(y[300:])).mean() > 0.95
     whole = m.raw(a, b, first)
     assert np.allclose(m._raw_long(a, b, first, 7), whole, atol=1e-4)     # pooling in pieces changes nothing
+
+
+def test_lm_scores_each_rare_word_by_its_own_count(spark):
+    from cohortline.llm import pseudo_likelihood as pl
+
+    # the vocabulary is full of words seen 30 times; abcx and abcy share a class, seen 20 times and once
+    common = " ".join(f"w{i}" for i in range(pl.VOCABULARY))
+    texts = [common] * 30 + ["abcx"] * 20 + ["abcy", "abcx abcy abcx", None]
+    rows = pl.pseudo_likelihood(docs_of(spark, texts)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) and got[52]["n_words"] == 0 and got[52]["mean_log_prob"] is None
+    assert got[30]["word_log_likelihood"] - got[50]["word_log_likelihood"] == pytest.approx(np.log(22 / 2), abs=1e-3)
+    assert got[30]["word_log_likelihood"] - got[30]["log_likelihood"] == pytest.approx(np.log(22 / 24), abs=1e-3)
+    assert got[51]["n_words"] == 3 and got[51]["word_log_likelihood"] - got[51]["log_likelihood"] == pytest.approx(
+        2 * np.log(22 / 24) + np.log(2 / 24), abs=1e-3)
+    twice = docs_of(spark, texts).unionByName(docs_of(spark, texts).where("doc_id >= 50"))
+    again = [r["n_words"] for r in pl.pseudo_likelihood(twice).where("doc_id = 51").collect()]
+    assert again == [3, 3]
