@@ -2,14 +2,18 @@
 
 The text view sees hashed words and the make-up of the characters; the metadata
 view sees source, language, length and line layout.  Both start from the labelled
-sample; in every round each gives the other the unlabelled documents it is surest
-of, as many of each class as keeps the labels' rate.  Each view's score is then
+sample; in every round each gives the other all unlabelled documents whose
+calibrated probability is ``SURE`` or more for a class.  Each view's score is then
 calibrated on labelled rows kept apart, the calibrated log-odds are combined, and
 every whole document is scored.
 
-At most ``SAMPLE_LABELLED`` labelled and ``SAMPLE_OTHER`` unlabelled documents are
-fitted (smallest hashes of ids); rows whose crc32(id) mod 5 is 0 are never
-fitted.
+The features of all unlabelled documents are written once (sparse, without texts).
+A round is one pass over them: both views score every document, and for the
+documents given to a view the gradient of its loss and a bound of the curvature are
+summed by feature.  The view is then fitted to the labelled rows' loss and the
+quadratic bound that these sums make; it lies above the loss of the given documents,
+so no step raises it.  At most ``SAMPLE_LABELLED`` labelled documents (smallest hashes
+of ids) are fitted; rows whose crc32(id) mod 5 is 0 are never fitted.
 
 Defined results.  Null and empty texts are scored by their other features.  Without
 labels of both classes every score is the share of label 1 (0 if there are none).
@@ -28,17 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.llm.tables import written
 from cohortline.llm.textnum import Words, blocks, codepoints
 from cohortline.llm.toxicity import FOLD, fold_of, platt_scaling
 
 WORD_SLOTS = 1024
 SAMPLE_LABELLED = 6_000
-SAMPLE_OTHER = 4_000
 ROUNDS = 4
-SURE_PER_ROUND = 200
+SURE = 0.95
+GIVEN = 0.5              # weight of the given documents' mean loss; that of the labelled rows is 1
 META_SLOTS = 48
 TEXT_SIZE = WORD_SLOTS + 48
 META_SIZE = META_SLOTS + 8
+SIZE = TEXT_SIZE + META_SIZE
 
 
 def text_view(texts: list[str]) -> np.ndarray:
@@ -90,14 +96,18 @@ def meta_view(texts: list[str], lang: list, source: list, n_chars: list) -> np.n
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 250) -> np.ndarray:
-    """Weighted ridge logistic regression (full-batch Adam)."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 250,
+             bound: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weighted ridge logistic regression (full-batch Adam); ``bound`` adds a quadratic
+    with its gradient and diagonal curvature at a point."""
     w = np.zeros(x.shape[1], np.float32)
     a, b = np.zeros_like(w), np.zeros_like(w)
     weight = (weight / weight.sum()).astype(np.float32)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + ridge * w
+        if bound is not None:
+            g += bound[0] + bound[1] * (w - bound[2])
         a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
         w -= 0.1 * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.999 ** t)) + 1e-8)
     return w
@@ -128,31 +138,78 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, other_t: np.ndarray, other_m: np.ndarray,
-            rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both views after the exchange of confident pseudo-labels."""
-    rate = y.mean()
-    labels_t = np.full(len(other_t), -1)      # given to the text view by the metadata view
-    labels_m = np.full(len(other_m), -1)
+def packed(xt: np.ndarray, xm: np.ndarray) -> list[bytes]:
+    """Both views of each document in one: places (16 bits) and values (16 bits) other than 0."""
+    out = []
+    for row in np.concatenate([xt, xm], axis=1).astype(np.float16):
+        at = np.flatnonzero(row)
+        out.append(at.astype(np.uint16).tobytes() + row[at].tobytes())
+    return out
 
-    def fit_view(x, x_other, given):
-        at = np.flatnonzero(given >= 0)
-        yy = np.concatenate([y, given[at]])
-        w = np.concatenate([np.ones(len(y)), np.full(len(at), 0.5)])
-        w *= np.where(yy == 1, 0.5 / max(1e-9, rate), 0.5 / max(1e-9, 1 - rate))
-        return logistic(np.concatenate([x, x_other[at]]), yy, w)
 
-    wt, wm = fit_view(xt, other_t, labels_t), fit_view(xm, other_m, labels_m)
+def unpacked(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, values, and the start of each document (none is empty: both views end in a 1)."""
+    n = np.array([len(r) // 4 for r in raw])
+    at = np.frombuffer(b"".join(r[:len(r) // 2] for r in raw), np.uint16).astype(np.int64)
+    v = np.frombuffer(b"".join(r[len(r) // 2:] for r in raw), np.float16).astype(float)
+    return at, v, np.concatenate(([0], np.cumsum(n)[:-1]))
+
+
+def given_sums(raw: list[bytes], w: np.ndarray, cal: tuple, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the documents that one view gives to the other: gradient and curvature by
+    feature of the view it is given to, and the weights of both views (text, metadata)."""
+    at, v, first = unpacked(raw)
+    doc = np.repeat(np.arange(len(raw)), np.diff(np.append(first, len(at))))
+    grad, curve, mass = np.zeros(SIZE), np.zeros(SIZE), np.zeros(2)
+    of_text = at < TEXT_SIZE
+    raw_score = [np.bincount(doc[m], v[m] * w[at[m]], len(raw)) for m in (of_text, ~of_text)]
+    sure = [_sigmoid(a * z + b) for (a, b), z in zip(cal, raw_score)]
+    for k, mine in enumerate((of_text, ~of_text)):
+        p = sure[1 - k]
+        y = p >= SURE
+        c = np.where(y, 0.5 / max(1e-9, rate), 0.5 / max(1e-9, 1 - rate)) * (y | (p <= 1 - SURE))
+        d, j, x = doc[mine], at[mine], v[mine]
+        grad += np.bincount(j, x * (c * (_sigmoid(raw_score[k]) - y))[d], SIZE)
+        length = np.bincount(d, np.abs(x), len(raw))
+        curve += np.bincount(j, np.abs(x) * (c * length / 4)[d], SIZE)
+        mass[k] = c.sum()
+    return grad, curve, mass
+
+
+def all_given(others: DataFrame, w: np.ndarray, cal: tuple, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``given_sums`` over all unlabelled documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grad, curve, mass = np.zeros(SIZE), np.zeros(SIZE), np.zeros(2)
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                g, h, m = given_sums(b.column("x").slice(lo, 4096).to_pylist(), w, cal, rate)
+                grad, curve, mass = grad + g, curve + h, mass + m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 2, dtype=np.int32)), pa.array(np.append(grad, mass)),
+                                          pa.array(np.append(curve, mass))], names=["at", "grad", "curve"])
+
+    rows = others.select("x").mapInArrow(run, "at int, grad double, curve double").groupBy("at").agg(F.sum("grad"), F.sum("curve"))
+    out = np.zeros((2, SIZE + 2))
+    for at, g, h in rows.collect():                    # one row per feature
+        out[:, at] = g, h
+    return out[0, :SIZE], out[1, :SIZE], out[0, SIZE:]
+
+
+def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, calibrate, others: DataFrame,
+            rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both views after the exchange of confident pseudo-labels; ``calibrate``
+    gives both views' scales and shifts for their weights."""
+    rate = y.mean()
+    weight = np.where(y == 1, 0.5 / max(1e-9, rate), 0.5 / max(1e-9, 1 - rate))
+    wt, wm = logistic(xt, y, weight), logistic(xm, y, weight)
     for _ in range(rounds):
-        for score, given in ((other_t @ wt, labels_m), (other_m @ wm, labels_t)):
-            free = np.flatnonzero(given < 0)
-            order = free[np.argsort(score[free], kind="stable")]
-            k = min(SURE_PER_ROUND, len(order) // 2)
-            up, down = int(round(k * rate)), k - int(round(k * rate))
-            sure_up, sure_down = order[len(order) - up:], order[:down]
-            given[sure_up[score[sure_up] > 0]] = 1
-            given[sure_down[score[sure_down] < 0]] = 0
-        wt, wm = fit_view(xt, other_t, labels_t), fit_view(xm, other_m, labels_m)
+        w = np.concatenate([wt, wm])
+        grad, curve, mass = all_given(others, w, calibrate(wt, wm), rate)
+        fitted = []
+        for k, (x, at) in enumerate(((xt, slice(0, TEXT_SIZE)), (xm, slice(TEXT_SIZE, SIZE)))):
+            scale = GIVEN / mass[k] if mass[k] else 0.0
+            bound = tuple(a.astype(np.float32) for a in (scale * grad[at], scale * curve[at], w[at]))
+            fitted.append(logistic(x, y, weight, bound=bound))
+        wt, wm = fitted
     return wt, wm
 
 
@@ -181,9 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         return QualityModel(prior=1.0 if n.get(1) else 0.0)
     key = F.xxhash64("doc_id")
     labelled = usable.where(fold_of("doc_id") != 0).orderBy(key, "doc_id").limit(SAMPLE_LABELLED)
-    others = (base.select("doc_id").where(F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0))
-              .join(usable, "doc_id", "left_anti").orderBy(key, "doc_id").limit(SAMPLE_OTHER)
-              .select("doc_id", F.lit(-1).alias("label")))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed(*_views(part)), pa.binary())], names=["doc_id", "x"])
+
+    # the features, not the texts, meet the labels' ids
+    others = (base.where(F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0)).mapInArrow(features, "doc_id bigint, x binary")
+              .join(usable.select("doc_id"), "doc_id", "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,24 +256,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
                 [b.column("doc_id"), b.column("label"), pa.array([x.astype(np.float16).tobytes() for x in xt], pa.binary()),
                  pa.array([x.tobytes() for x in xm], pa.binary())], names=["doc_id", "label", "xt", "xm"])
 
-    picked = F.broadcast(labelled.unionByName(others).distinct())       # at most the two sample sizes
+    picked = F.broadcast(labelled)                     # at most the sample's size
     rows = base.join(picked, "doc_id").select("doc_id", "label", "text", "lang", "source", "n_chars").mapInArrow(run, _VIEW_DDL).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["xt"]))
     y = np.array([r["label"] for r in rows])
     xt = np.stack([np.frombuffer(r["xt"], np.float16) for r in rows]).astype(np.float32)
     xm = np.stack([np.frombuffer(r["xm"], np.float32) for r in rows])
-    cal = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLD == 1 for r in rows]) & (y >= 0)
-    learn = (y >= 0) & ~cal
+    cal = np.array([zlib.crc32(str(r["doc_id"]).encode()) % FOLD == 1 for r in rows]) 
+    learn = ~cal
     if not learn.any() or len(set(y[learn])) < 2 or len(set(y[cal])) < 2:
-        learn, cal = y >= 0, y >= 0
+        learn = cal = np.ones(len(y), bool)
     share = n[1] / (n[0] + n[1])
     m = QualityModel(prior=share)
     if len(set(y[learn])) < 2:
         return m
-    m.text, m.meta = cotrain(xt[learn], xm[learn], y[learn], xt[y < 0], xm[y < 0])
     yc, ones = y[cal], np.ones(cal.sum())
-    m.text_cal = platt_scaling(xt[cal] @ m.text, yc, ones)
-    m.meta_cal = platt_scaling(xm[cal] @ m.meta, yc, ones)
+
+    def calibrate(wt, wm):
+        return platt_scaling(xt[cal] @ wt, yc, ones), platt_scaling(xm[cal] @ wm, yc, ones)
+
+    m.text, m.meta = cotrain(xt[learn], xm[learn], y[learn], calibrate, written(others, "unlabelled"))    # read every round
+    m.text_cal, m.meta_cal = calibrate(m.text, m.meta)
     z = m.odds(xt[cal], xm[cal])
     blend = logistic(np.column_stack([z, np.ones(len(z))]).astype(np.float32), yc, ones, ridge=1e-2)
     m.blend = np.maximum(blend, [0, 0, -50])           # a view never counts against itself
