@@ -282,3 +282,32 @@ def test_cotraining_offers_every_unlabelled_document(spark):
         assert mass[k] == pytest.approx(c.sum()) and c.sum() > 0
         assert np.allclose(grad[at], x[k].T @ (c * (1 / (1 + np.exp(-z[k])) - (p >= ct.SURE))), atol=1e-6)
         assert np.allclose(curve[at], np.abs(x[k]).T @ (c * np.abs(x[k]).sum(axis=1) / 4), atol=1e-6)
+
+
+def test_license_headers_texts_and_dual_notices(spark):
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main() { return 0; }
+""" + "int other; " * 50
+    isc = """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+    dual = "Released under the MIT License.\nsome words between\nLicensed under CC BY 4.0.\n"
+    texts = [gpl, isc, dual, "plain words\n\nof no licence", "", None] + [" ".join(words(50, k)) for k in range(20)]
+    df = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df, df["doc_id"].cast("string")).collect()}
+    names = [[x["license"] for x in got[i]["licenses"]] for i in range(len(texts))]
+    assert names == [["GPL-3.0"], ["ISC"], ["MIT", "CC-BY-4.0"]] + [[]] * 23
+    at = got[2]["licenses"][1]
+    assert dual[at["start"]:at["end"]] == "Licensed under CC BY 4.0" and at["cosine"] == pytest.approx(1)
