@@ -98,7 +98,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_leaks"),
-                        F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), "starts", "ends", "edits")
+                        F.array_sort(F.array_distinct("item_ids")).alias("item_ids"),
+                        # each leak with its item, in the order found
+                        F.arrays_zip(F.col("item_ids").alias("item_id"), F.col("starts").alias("start"), F.col("ends").alias("end"),
+                                     F.col("edits")).alias("leaks"))
 
 
 # ── op3 ─────────────────────────────────────────────────────────────────────

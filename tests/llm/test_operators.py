@@ -311,3 +311,16 @@ copyright notice and this permission notice appear in all copies."""
     assert names == [["GPL-3.0"], ["ISC"], ["MIT", "CC-BY-4.0"]] + [[]] * 23
     at = got[2]["licenses"][1]
     assert dual[at["start"]:at["end"]] == "Licensed under CC BY 4.0" and at["cosine"] == pytest.approx(1)
+
+
+def test_decontamination_query_keeps_each_leak_with_its_item(spark, tmp_path):
+    from cohortline.llm import queries
+
+    items = {7: "the quick brown fox jumps over the lazy dog again", 2: "many other words stand in this second item here"}
+    text = f"{items[7]} and then {items[2]} and then {items[7]}"
+    docs_of(spark, [text, "clean"]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in queries.op7_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert got[0]["item_ids"] == [2, 7] and got[0]["n_leaks"] == len(got[0]["leaks"]) and got[1]["leaks"] == []
+    assert {x["item_id"] for x in got[0]["leaks"]} == {2, 7}
+    assert all(text[x["start"]:x["end"]] == items[x["item_id"]] and x["edits"] == 0 for x in got[0]["leaks"])
