@@ -12,8 +12,10 @@ from cohortline.llm import html_extract, license_scan, segment
 from cohortline.llm.cotrain import quality
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
+from cohortline.llm.mixing import mix
 from cohortline.llm.near_dup import near_duplicates
 from cohortline.llm.pseudo_likelihood import pseudo_likelihood
+from cohortline.llm.sql_mix import MIX_SQL
 from cohortline.llm.tables import table
 from cohortline.llm.toxicity import toxicity
 from cohortline.llm.url_filter import filter_urls, split_url
@@ -146,3 +148,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ── op12 ────────────────────────────────────────────────────────────────────
+
+@register("op12_source_mixing", MIX_SQL)
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
