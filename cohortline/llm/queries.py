@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm import html_extract, license_scan, segment
+from cohortline.llm.conversation_repair import damaged, repair_report
 from cohortline.llm.cotrain import quality
 from cohortline.llm.decontaminate import leaks
 from cohortline.llm.exact_dedup import exact_dedup
 from cohortline.llm.mixing import mix
 from cohortline.llm.near_dup import near_duplicates
 from cohortline.llm.pseudo_likelihood import pseudo_likelihood
+from cohortline.llm.sql_codes import CODES_SQL
 from cohortline.llm.sql_mix import MIX_SQL
+from cohortline.llm.sql_repair import REPAIR_SQL
 from cohortline.llm.tables import table
 from cohortline.llm.toxicity import toxicity
 from cohortline.llm.url_filter import filter_urls, split_url
+from cohortline.llm.vector_codes import vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +159,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_source_mixing", MIX_SQL)
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+# ── op11 ────────────────────────────────────────────────────────────────────
+
+@register("op11_vector_codes", CODES_SQL)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+# ── op13 ────────────────────────────────────────────────────────────────────
+
+@register("op13_conversation_repair", REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
