@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 TABLE_NAME = "orders"
 
 
-def query_orders(spark: SparkSession, orders: DataFrame, sql: str, name: str = TABLE_NAME) -> DataFrame:
-    """Run ``sql`` with ``orders`` visible as the table ``name``.
+# calls into the JVM from SQL: not part of a query over the orders
+_CALLS = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.IGNORECASE)
 
-    The view is registered only while the statement is analysed; a view that
-    already had that name is put back afterwards, so the session is unchanged.
-    """
-    if not sql or not sql.strip():
+
+def query_orders(spark: SparkSession, orders: DataFrame, sql: str, name: str = TABLE_NAME) -> DataFrame:
+    """Run the query ``sql`` with ``orders`` visible as the table ``name``.
+
+    The text becomes a subquery of a statement that names ``orders`` itself, so only a
+    query can stand there: ``DROP``, ``INSERT``, ``SET``, ``CREATE`` and any other command, or a second
+    statement, do not parse.  The table exists under a name of its own for each call and only while
+    the text is analysed: callers on other threads do not see it, and tables and views of the session stay
+    untouched."""
+    text = (sql or "").strip().rstrip(";").rstrip()
+    if not text:
         raise ValueError("empty SQL statement")
-    previous = None
-    if spark.catalog.tableExists(name) and any(t.name == name and t.isTemporary for t in spark.catalog.listTables()):
-        previous = spark.table(name)
-    orders.createOrReplaceTempView(name)
+    own = f"_{name}_{uuid.uuid4().hex}"
+    orders.createOrReplaceTempView(own)
     try:
-        return spark.sql(sql)
+        try:
+            # alone first: a text must be a whole query, not the end of ours and the start of another
+            spark._jsparkSession.sessionState().sqlParser().parseQuery(text)
+            df = spark.sql(f"WITH {name} AS (SELECT * FROM {own}) SELECT * FROM (\n{text}\n)")
+        except ParseException as e:
+            raise ValueError(f"only a single query can be run here: {e.getMessage() if hasattr(e, 'getMessage') else e}") from e
+        if _CALLS.search(df._jdf.queryExecution().analyzed().toString()):
+            raise ValueError("calls into the JVM are not allowed here")
+        return df
     finally:
-        if previous is not None:
-            previous.createOrReplaceTempView(name)
-        else:
-            try:
-                spark.catalog.dropTempView(name)
-            except AnalysisException:
-                pass
+        spark.catalog.dropTempView(own)
 
 
 # An exact dollar total: the sum runs over integer cents.

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline import schema as S
+from cohortline.functions.joins import lookup_join
 from cohortline.functions.money import to_cents
 from cohortline.operators.sequence import rank_within
 from cohortline.session import scratch_path
@@ -114,39 +115,50 @@ def _finish(j: DataFrame, rank_in_day) -> DataFrame:
     )
 
 
+_DAY_FACTS = ["first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows"]
+
+
+def _ranked_by_window(orders: DataFrame, cdays: DataFrame) -> DataFrame:
+    j = orders.select(*_ORDER_COLS).join(cdays.select(S.USER, S.DATE, *_DAY_FACTS), [S.USER, S.DATE])
+    # the join leaves the rows clustered by (user, date): this window sorts, no shuffle
+    w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
+    return _finish(j, F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day)))
+
+
+def with_day_facts(orders: DataFrame, cdays: DataFrame, hot_day_rows: int = HOT_DAY_ROWS) -> DataFrame:
+    """M0 rows of ``orders`` (all orders of each of their days) from written classified days.
+
+    Days above ``hot_day_rows`` orders, few by construction, are looked up by a broadcast or, past its
+    size bound, by a salted join, and their orders are ranked by :func:`rank_within`, so no task
+    holds a whole oversized day whatever the join strategy."""
+    hot_days = cdays.where(F.col("n_rows") > hot_day_rows).select(S.USER, S.DATE, *_DAY_FACTS)
+    if hot_days.isEmpty():
+        return _ranked_by_window(orders, cdays)
+    marked = lookup_join(orders.select(*_ORDER_COLS), hot_days, [S.USER, S.DATE], S.ORDER)
+    hot = marked.where(F.col("n_rows").isNotNull())
+    payload = [c for c in hot.columns if c not in (S.USER, S.DATE, S.ORDER)]
+    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload)
+    cold = marked.where(F.col("n_rows").isNull())
+    return _ranked_by_window(cold, cdays).unionByName(_finish(ranked, F.col("rank_in_day")))
+
+
 def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
                     hot_day_rows: int = HOT_DAY_ROWS) -> DataFrame:
     """Order-level classification (M0): the 9 order columns plus
     prev_order_date, order_seq and order_type.
 
-    The day facts are written once (one row per customer and day) and joined
-    back on (user, date).  The rank inside a day is a per-day window; the orders
-    of days with more than ``hot_day_rows`` orders are taken out before that join
-    and ranked by :func:`rank_within`, so no task holds a whole oversized day.
+    The day facts are joined back on (user, date) and the rank inside a day is a per-day
+    window.  A table of at most ``hot_day_rows`` orders (a count over Parquet footers) has no
+    oversized day and is planned in one go; for a larger one the day facts are
+    written first and oversized days go their own way (:func:`with_day_facts`).
     Order ids must be unique, which the critical checks of the cleaned table ensure.
     """
-    spark = clean.sparkSession
-    path = scratch_path(spark, "day_facts")
-    (classified_days(clean, gap_days, amounts=False)
-     .select(S.USER, S.DATE, "first_order_uuid", "prev_day", "orders_before", "day_type", "n_rows").write.parquet(path))
-    cdays = spark.read.parquet(path)
-    orders = clean.select(*_ORDER_COLS)
-    hot_days = cdays.where(F.col("n_rows") > hot_day_rows)
-    any_hot = not hot_days.isEmpty()
-    # Spark broadcasts the hot days by their size or shuffles; skewed partitions of these
-    # two joins can be split, as nothing above them needs their clustering
-    cold = orders.join(hot_days.select(S.USER, S.DATE), [S.USER, S.DATE], "left_anti") if any_hot else orders
-    j = cold.join(cdays, [S.USER, S.DATE])
-    # the join output is clustered by (user, date): this window sorts, no shuffle
-    w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
-    rank_in_day = F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day))
-    out = _finish(j, rank_in_day)
-    if not any_hot:
-        return out
-    hot = orders.join(hot_days, [S.USER, S.DATE])
-    payload = [c for c in hot.columns if c not in (S.USER, S.DATE, S.ORDER)]
-    ranked = rank_within(hot, [S.USER, S.DATE], S.ORDER, "rank_in_day", carry=payload)
-    return out.unionByName(_finish(ranked, F.col("rank_in_day")))
+    cdays = classified_days(clean, gap_days, amounts=False)
+    if clean.count() <= hot_day_rows:
+        return _ranked_by_window(clean, cdays)
+    path = scratch_path(clean.sparkSession, "day_facts")
+    cdays.select(S.USER, S.DATE, *_DAY_FACTS).write.parquet(path)
+    return with_day_facts(clean, clean.sparkSession.read.parquet(path), hot_day_rows)
 
 
 def order_gaps(clean: DataFrame) -> DataFrame:

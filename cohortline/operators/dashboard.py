@@ -58,6 +58,26 @@ def orders_histogram_bins(mct: DataFrame, bins: int = 12) -> DataFrame:
                      F.max(n).alias("max_orders")).orderBy("bin"))
 
 
+def orders_histogram_round(mct: DataFrame, most_bins: int = 12) -> DataFrame:
+    """Bins of a round width, the chart's own kind: the least of 1, 2 and 5 times a power of ten that
+    needs at most ``most_bins`` bins with edges at multiples of it.
+
+    ``bin_start`` (included), ``bin_end`` (excluded), ``customers``; empty bins in between are listed.  Works on
+    the exact frequencies, one row per different order count."""
+    freq = orders_histogram(mct).where(F.col("total_orders").isNotNull())
+    widths = F.array(*[F.lit(m * 10 ** k).cast("bigint") for k in range(18) for m in (1, 2, 5)])
+    lo, hi = F.min("total_orders"), F.max("total_orders")
+    span = freq.agg(lo.alias("lo"), hi.alias("hi")).where(F.col("lo").isNotNull())
+    place = lambda x, w: F.floor(x / w)
+    chosen = span.withColumn("w", F.filter(widths, lambda w: place(F.col("hi"), w) - place(F.col("lo"), w) < most_bins)[0])
+    # one row of bounds, at most ``most_bins`` bins
+    bins = chosen.select("w", F.explode(F.sequence(place(F.col("lo"), F.col("w")), place(F.col("hi"), F.col("w")))).alias("b")).select(
+        (F.col("b") * F.col("w")).alias("bin_start"), ((F.col("b") + 1) * F.col("w")).alias("bin_end"))
+    inside = (F.col("total_orders") >= F.col("bin_start")) & (F.col("total_orders") < F.col("bin_end"))
+    return (freq.join(F.broadcast(bins), inside, "right").groupBy("bin_start", "bin_end")
+            .agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("customers")).orderBy("bin_start"))
+
+
 def profitability_points(mct: DataFrame) -> DataFrame:
     return mct.select(S.USER, "total_gross_bookings_usd", "total_gross_profit_usd", "total_orders",
                       "primary_platform", "reactivation_count")

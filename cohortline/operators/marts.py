@@ -33,15 +33,19 @@ def _as_of_column(clean: DataFrame, as_of) -> Column:
 
 # ── M1 ──────────────────────────────────────────────────────────────────────
 
-def primary_platform(clean: DataFrame) -> DataFrame:
-    """A15: most frequent platform per customer; ties go to the smaller name,
-    a null platform sorts last.  Two partial aggregations, no window."""
-    counts = clean.groupBy(S.USER, S.PLATFORM).agg(F.count(F.lit(1)).alias("n"))
+def platform_of_counts(counts: DataFrame) -> DataFrame:
+    """Most frequent platform per customer from ``(user, platform, n)``."""
     best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col(S.PLATFORM).isNull().alias("is_null"),
                           F.col(S.PLATFORM).alias("p")))
     return counts.groupBy(S.USER).agg(best.getField("p").alias("primary_platform"))
 
 
+def primary_platform(clean: DataFrame) -> DataFrame:
+    """A15: most frequent platform per customer; ties go to the smaller name,
+    a null platform sorts last.  Two partial aggregations, no window."""
+    return platform_of_counts(clean.groupBy(S.USER, S.PLATFORM).agg(F.count(F.lit(1)).alias("n")))
+
+
 def primary_platform_ranked(clean: DataFrame) -> DataFrame:
     """The ROW_NUMBER form of A15 (rank 1 per customer), kept for the join variant."""
     counts = clean.groupBy(S.USER, S.PLATFORM).agg(F.count(F.lit(1)).alias("n"))
@@ -102,9 +106,9 @@ def _customer_facts(clean: DataFrame, gap_days: int, as_of) -> DataFrame:
     )
 
 
-def _customer_facts_from_days(clean: DataFrame, cdays: DataFrame, as_of) -> DataFrame:
-    """Customer facts from classified days (day grain with amounts), plus the
-    primary platform from a (customer, platform) aggregate of the orders."""
+def customer_facts_of_days(cdays: DataFrame, platforms: DataFrame, as_of) -> DataFrame:
+    """Customer facts from classified days (day grain with amounts), plus ``platforms``
+    (user, primary_platform); the day table's last day stands for a missing ``as_of``."""
     agg = cdays.groupBy(S.USER).agg(
         F.min(S.DATE).alias("first_order_date"), F.max(S.DATE).alias("last_order_date"),
         F.sum("n_orders").alias("total_orders"),
@@ -121,10 +125,10 @@ def _customer_facts_from_days(clean: DataFrame, cdays: DataFrame, as_of) -> Data
         cents_to_usd("vfm_c").alias("total_vfm_usd"),
         cents_to_usd("gp_c").alias("total_gross_profit_usd"),
         mean_cents_to_usd("gp_c", "gp_n").alias("avg_gross_profit_per_order_usd"),
-        F.datediff(_as_of_column(clean, as_of), F.col("last_order_date")).alias("days_since_last_order"),
+        F.datediff(_as_of_column(cdays, as_of), F.col("last_order_date")).alias("days_since_last_order"),
         "reactivation_count",
     )
-    return facts.join(primary_platform(clean), S.USER, "left")
+    return facts.join(platforms, S.USER, "left")
 
 
 MASTER_COLUMNS = [
@@ -148,7 +152,7 @@ def master_customer_table(clean: DataFrame, as_of=None, gap_days: int = S.REACTI
     join sides are customer-grain aggregates hash-partitioned by user_uuid.
     """
     if cdays is not None:  # classified days computed once for several marts
-        return _customer_facts_from_days(clean, cdays, as_of).select(*MASTER_COLUMNS)
+        return customer_facts_of_days(cdays, primary_platform(clean), as_of).select(*MASTER_COLUMNS)
     facts = _customer_facts(clean, gap_days, as_of)
     if method == "aggregate":
         return facts.select(*MASTER_COLUMNS)

@@ -101,15 +101,13 @@ REPORT_COLUMNS = ["total_rows", "unique_orders", "unique_customers", "date_min",
 
 
 def _report_frame(clean: DataFrame, raw: DataFrame | None, boundary: str) -> DataFrame:
-    """The report plus key-column null counts: one aggregation of the cleaned table, one
-    of its status column and one of the raw rows.  The three lists hold different
+    """The report plus key-column null counts: one aggregation of the cleaned table, narrow ones
+    of its status, order and customer columns and one of the raw rows.  The three lists hold different
     values only; check accepted values first where the domains are not known."""
     d = F.col(S.DATE)
     b = F.lit(boundary).cast("date")
     base = clean.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct(S.ORDER).alias("unique_orders"),
-        F.count_distinct(S.USER).alias("unique_customers"),
         F.date_format(F.min(d), "yyyy-MM-dd").alias("date_min"),
         F.date_format(F.max(d), "yyyy-MM-dd").alias("date_max"),
         F.array_join(F.array_sort(F.collect_set(S.COUNTRY)), ",").alias("countries"),
@@ -121,6 +119,8 @@ def _report_frame(clean: DataFrame, raw: DataFrame | None, boundary: str) -> Dat
     )
     cols = [F.col(c) for c in base.columns]
     cols.append(_status_counts_text(clean).alias("last_status_counts"))
+    # one narrow aggregate each: two distinct columns in one would expand every row before its shuffle
+    cols += [_scalar(clean, F.count_distinct(c)).alias(name) for c, name in ((S.ORDER, "unique_orders"), (S.USER, "unique_customers"))]
     if raw is not None:
         # one subquery with both counts: the raw side is planned once
         nulls = _scalar(raw, F.struct(F.count_if(F.col(S.COUNTRY).isNull()).alias("country"),
@@ -140,7 +140,7 @@ def quality_report(clean: DataFrame, raw: DataFrame | None = None, boundary: str
 def run_quality_checks(clean: DataFrame, raw: DataFrame | None = None, boundary: str = S.FILE_BOUNDARY) -> dict:
     """Raise on duplicate ids or null keys; otherwise return the report as a dict.
 
-    One aggregation job: duplicates (2nd+ copies, nulls equal to each other)
+    Duplicates (2nd+ copies, nulls equal to each other)
     are rows − distinct non-null ids − (1 if any id is null)."""
     row = _report_frame(clean, raw, boundary).first().asDict()
     raise_on_critical({
@@ -209,3 +209,13 @@ def usd_formula_check(df: DataFrame, rate_digits: int | None = None) -> DataFram
     expected = round2_even(F.col(S.GROSS_OP) * rate)
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(~expected.eqNullSafe(F.col(S.GROSS_USD))).alias("mismatches"))
+
+
+# ── Q18 ─────────────────────────────────────────────────────────────────────
+
+def date_bounds_check(df: DataFrame, earliest: str, latest: str) -> DataFrame:
+    """Date range and the rows outside ``[earliest, latest]`` or without a date."""
+    d = F.col(S.DATE)
+    return df.agg(F.min(d).alias("date_min"), F.max(d).alias("date_max"),
+                  F.count_if(d < F.lit(earliest).cast("date")).alias("rows_before"),
+                  F.count_if(d > F.lit(latest).cast("date")).alias("rows_after"), F.count_if(d.isNull()).alias("rows_undated"))

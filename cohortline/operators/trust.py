@@ -3,6 +3,8 @@ drift, freshness and diagnostic breakdowns."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +66,24 @@ def _change_pct(count: Column, previous: Column) -> Column:
     return F.try_divide((count - previous) * F.lit(100.0), previous.cast("double"))
 
 
-def assert_drift_and_log(current: DataFrame, path: str, tolerance_pct: float = 5.0) -> int:
+def assert_drift_and_log(current: DataFrame, path: str, tolerance_pct: float = 5.0, rows: int | None = None) -> int:
     """Compare the row count with the last logged run's, raise if it moved more than
     ``tolerance_pct``, else log it under the next run id (returned).  A refused run is
-    not logged: the next one is held against the last accepted run."""
+    not logged: the next one is held against the last accepted run.  ``rows`` is the count where it is known
+    already (observed while the table was read); a refusal counts again."""
     spark = current.sparkSession
     log = read_run_log(spark, path)
     last = log.orderBy(F.col("run_id").desc()).limit(1).select("run_id", "row_count").first()
-    n = current.count()
     run_id = 1 if last is None else last["run_id"] + 1
-    if last is not None:
+
+    def drifted(n: int) -> bool:
         moved = abs(n - last["row_count"]) * 100.0
-        if (moved > tolerance_pct * last["row_count"]) if last["row_count"] else n > 0:
+        return (moved > tolerance_pct * last["row_count"]) if last["row_count"] else n > 0
+
+    n = current.count() if rows is None else rows
+    if last is not None and drifted(n):
+        n = current.count()
+        if drifted(n):
             raise DataQualityError(f"row count drift: {last['row_count']} rows in run {last['run_id']}, now {n}")
     spark.createDataFrame([(run_id, n)], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return run_id
@@ -112,6 +120,27 @@ def mct_contracts(mct: DataFrame) -> DataFrame:
     return wide.unpivot([], names, "contract", "violations")
 
 
+CUSTOMER_RULES = ["user_uuid_not_null", "first_le_last", "orders_at_least_1", "reactivations_le_orders_minus_1"]
+
+
+def order_totals() -> list[Column]:
+    """Aggregates to observe while the orders are read: rows, cents, last day."""
+    return [F.count(F.lit(1)).alias("orders"), F.coalesce(F.sum(to_cents(S.GROSS_USD)), F.lit(0)).alias("cents"),
+            F.max(S.DATE).alias("last_day")]
+
+
+def customer_totals() -> list[Column]:
+    """Aggregates to observe while the customer table is written: cents and violations per row rule."""
+    rules = (F.col(S.USER).isNull(), ~(F.col("first_order_date") <= F.col("last_order_date")), ~(F.col("total_orders") >= 1),
+             ~(F.col("reactivation_count") <= F.col("total_orders") - 1))
+    return [F.coalesce(F.sum(to_cents("total_gross_bookings_usd")), F.lit(0)).alias("cents"),
+            *[F.count_if(r).alias(n) for n, r in zip(CUSTOMER_RULES, rules)]]
+
+
+def is_fresh(last_day: dt.date | None, as_of: str, max_lag_days: int = 1) -> bool:
+    return last_day is not None and (dt.date.fromisoformat(as_of) - last_day).days <= max_lag_days
+
+
 def assert_contracts(mct: DataFrame) -> None:
     bad = [r for r in mct_contracts(mct).collect() if r["violations"]]
     if bad:
@@ -185,7 +214,7 @@ def customers_by_cohort_country(clean: DataFrame) -> DataFrame:
 def cluster_count(clean: DataFrame) -> DataFrame:
     """User ids vs distinct (first city, first country, first date) clusters."""
     f = first_order_facts(clean)
-    return f.agg(F.count_distinct(S.USER).alias("uuid_count"),
+    return f.agg(F.count(S.USER).alias("uuid_count"),      # one row per id already
                  F.count_distinct(F.struct("first_city", "first_country", "first_order_date")).alias("cluster_count"))
 
 

@@ -229,3 +229,5 @@ for _name in A.EXAMPLES:
     register(_name, _EX_SQL[_name])(lambda s, d, _n=_name: A.run_example(s, cleaned_table(s, d), _n))
 register("ex_order_classification", _EX_SQL["ex_order_classification"])(
     lambda s, d: A.order_classification_example(CL.classify_orders(cleaned_table(s, d))))
+
+from cohortline.plans import registry_more  # noqa: E402,F401  (registers its queries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,25 +90,64 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def publish_table(df: DataFrame, name: str, path: str, comment: str | None = None,
-                  properties: dict[str, str] | None = None) -> DataFrame:
-    """Save ``df`` as catalog table ``name`` stored at ``path`` (Parquet) and
-    annotate it: a table comment plus lineage/ownership/freshness properties
-    (e.g. source tables, refresh schedule, max lag, owner)."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v-"))
+
+
+def _quoted(v: str) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def publish_table(df: DataFrame, name: str, path: str, comment: str | None = None, properties: dict[str, str] | None = None,
+                  check: Callable[[DataFrame], None] | None = None, keep: int = 3) -> DataFrame:
+    """Publish ``df`` as catalog table ``name`` whose data lie below ``path``, all or nothing.
+
+    The rows are written into a new folder ``v-N``, read back and handed to ``check``, which
+    raises to refuse them; only then does one catalog statement point the table there, together with
+    a comment and lineage, refresh, lag and owner properties set right after it.  Readers see the old
+    version or the new one, never a part; a failed write or check leaves the table as it
+    was.  A changed schema is refused.  The last ``keep`` versions stay for readers that still
+    hold an older one."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    number = max(_versions(spark, path), default=0) + 1
+    folder = f"{path}/v-{number:06d}"
+    df.write.parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    if check is not None:
+        check(written)
+    if spark.catalog.tableExists(name):
+        old = [(f.name, f.dataType) for f in spark.table(name).schema]
+        if old != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError(f"{name} has other columns: {old}")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(folder)}")
+        spark.catalog.refreshTable(name)
+    else:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION {_quoted(folder)}")
     # "owner" is reserved by Spark (set to the current user): keep ours apart
     props = {("data_owner" if k == "owner" else k): v for k, v in (properties or {}).items()}
+    props["version"] = str(number)
     if comment:
         props["comment"] = comment
-    if props:
-        def q(v: str) -> str:
-            return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-        kv = ", ".join(f"{q(k)} = {q(v)}" for k, v in props.items())
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({kv})")
+    kv = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in props.items())
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({kv})")
+    current = published_version(spark, name)
+    for old_version in [v for v in _versions(spark, path) if v < current][: -(keep - 1) or None]:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{old_version:06d}")
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
     return spark.table(name)
 
 
+def published_version(spark: SparkSession, name: str) -> int:
+    """Number of the version that the table ``name`` points to."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").collect()
+    return int(rows[0]["data_type"].rstrip("/").rsplit("v-", 1)[1])
+
+
 def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
     """Table properties plus the table comment (under ``comment``)."""
     props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}

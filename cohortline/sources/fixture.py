@@ -97,3 +97,45 @@ def raw_files(spark: SparkSession, sf_dir: str, overlap: bool = False) -> tuple[
     if overlap:
         return raw_orders(spark, sf_dir, "historical_overlap"), raw_orders(spark, sf_dir, "recent_overlap")
     return raw_orders(spark, sf_dir, "historical"), raw_orders(spark, sf_dir, "recent")
+
+
+# ── stand-ins derived from cleaned orders (shared with the SQL oracle) ───────
+
+def reissued_ids(clean: DataFrame) -> DataFrame:
+    """Cleaned orders whose customers get a new id every year and order in changing towns; a third
+    of the customers all order in one crowded town."""
+    customer = F.right(F.col(S.USER), F.lit(9)).cast("int")
+    order = F.substring(S.ORDER, 2, 10).cast("bigint")
+    crowded = customer % 3 == 0
+    town = F.concat(F.lit("T"), ((customer * 7 + (order % 2) * 13) % 300).cast("string"))
+    return clean.withColumns({
+        S.USER: F.concat_ws("-", S.USER, F.year(S.DATE).cast("string")),
+        S.CITY: F.when(crowded, F.lit("HUB")).otherwise(town),
+        S.COUNTRY: F.when(crowded, F.lit("H")).otherwise(F.col(S.COUNTRY))})
+
+
+RUN_CUT, MIGRATION_START = "1999-07-01", "1998-01-01"
+
+
+def migrated_runs(clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(last run's orders, this run's): the later one has all dates, and a migration gave a quarter of
+    one country's customers new ids for their orders from a day on."""
+    d = F.col(S.DATE)
+    moved = (F.right(F.col(S.USER), F.lit(9)).cast("int") % 4 == 1) & (F.col(S.COUNTRY) == "EUROPE") & (d >= F.lit(MIGRATION_START).cast("date"))
+    now = clean.withColumn(S.USER, F.when(moved, F.concat(F.col(S.USER), F.lit("-M"))).otherwise(F.col(S.USER)))
+    return clean.where(d < F.lit(RUN_CUT).cast("date")), now
+
+
+def arriving_batches(clean: DataFrame) -> list[DataFrame]:
+    """The cleaned orders as they might arrive: the first file without a tenth of its orders, the second
+    file, and the missing tenth, whose dates are late by then."""
+    first = F.col(S.DATE) < F.lit(FILE_SPLIT_DATE).cast("date")
+    missing = first & (F.right(F.col(S.ORDER), F.lit(1)) == "3")
+    return [clean.where(first & ~missing), clean.where(~first), clean.where(missing)]
+
+
+def one_large_customer(clean: DataFrame) -> DataFrame:
+    """Cleaned orders of which about a third belong to one customer on one day."""
+    hot = F.right(F.col(S.ORDER), F.lit(1)).isin("0", "3", "6")
+    return clean.withColumns({S.USER: F.when(hot, F.lit("HOT")).otherwise(F.col(S.USER)),
+                              S.DATE: F.when(hot, F.lit("1997-01-01").cast("date")).otherwise(F.col(S.DATE))})
