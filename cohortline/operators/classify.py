@@ -147,18 +147,19 @@ def classify_orders(clean: DataFrame, gap_days: int = S.REACTIVATION_GAP_DAYS,
     """Order-level classification (M0): the 9 order columns plus
     prev_order_date, order_seq and order_type.
 
-    The day facts are joined back on (user, date) and the rank inside a day is a per-day
-    window.  A table of at most ``hot_day_rows`` orders (a count over Parquet footers) has no
-    oversized day and is planned in one go; for a larger one the day facts are
-    written first and oversized days go their own way (:func:`with_day_facts`).
+    The day facts are written once (one row per customer and day) and joined back on
+    (user, date); the rank inside a day is a per-day window.  A table of at most ``hot_day_rows`` orders
+    (a count over Parquet footers) has no oversized day; in a larger one they are looked for and
+    go their own way (:func:`with_day_facts`).
     Order ids must be unique, which the critical checks of the cleaned table ensure.
     """
-    cdays = classified_days(clean, gap_days, amounts=False)
+    spark = clean.sparkSession
+    path = scratch_path(spark, "day_facts")
+    classified_days(clean, gap_days, amounts=False).select(S.USER, S.DATE, *_DAY_FACTS).write.parquet(path)
+    cdays = spark.read.parquet(path)
     if clean.count() <= hot_day_rows:
         return _ranked_by_window(clean, cdays)
-    path = scratch_path(clean.sparkSession, "day_facts")
-    cdays.select(S.USER, S.DATE, *_DAY_FACTS).write.parquet(path)
-    return with_day_facts(clean, clean.sparkSession.read.parquet(path), hot_day_rows)
+    return with_day_facts(clean, cdays, hot_day_rows)
 
 
 def order_gaps(clean: DataFrame) -> DataFrame:
