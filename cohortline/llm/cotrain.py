@@ -13,7 +13,8 @@ documents given to a view the gradient of its loss and a bound of the curvature
 summed by feature.  The view is then fitted to the labelled rows' loss and the
 quadratic bound that these sums make; it lies above the loss of the given documents,
 so no step raises it.  At most ``SAMPLE_LABELLED`` labelled documents (smallest hashes
-of ids) are fitted; rows whose crc32(id) mod 5 is 0 are never fitted.
+of ids) are fitted.  Labelled rows whose crc32(id) mod 5 is 0 are never fitted nor given; every
+document without a label, null ids included, is offered in every round.
 
 Defined results.  Null and empty texts are scored by their other features.  Without
 labels of both classes every score is the share of label 1 (0 if there are none).
@@ -246,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed(*_views(part)), pa.binary())], names=["doc_id", "x"])
 
     # the features, not the texts, meet the labels' ids
-    others = (base.where(F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0)).mapInArrow(features, "doc_id bigint, x binary")
+    others = (base.mapInArrow(features, "doc_id bigint, x binary")
               .join(usable.select("doc_id"), "doc_id", "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -324,3 +324,19 @@ def test_decontamination_query_keeps_each_leak_with_its_item(spark, tmp_path):
     assert got[0]["item_ids"] == [2, 7] and got[0]["n_leaks"] == len(got[0]["leaks"]) and got[1]["leaks"] == []
     assert {x["item_id"] for x in got[0]["leaks"]} == {2, 7}
     assert all(text[x["start"]:x["end"]] == items[x["item_id"]] and x["edits"] == 0 for x in got[0]["leaks"])
+
+
+def test_fit_offers_all_documents_without_a_label(spark, monkeypatch):
+    from cohortline.llm import cotrain as ct
+
+    docs = docs_of(spark, [" ".join(words(20 + k % 30, k)) + ("!" if k % 2 else "?") * 9 for k in range(120)])
+    docs = docs.unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) doc_id", "text", "lang", "source", "n_chars", "fp", "keep_id"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    offered, plain = [], ct.all_given
+
+    def counted(others, *rest):
+        offered.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in others.select("doc_id").collect()))
+        return plain(others, *rest)
+    monkeypatch.setattr(ct, "all_given", counted)
+    ct.fit(docs, labels)
+    assert len(offered) == ct.ROUNDS and all(o == [*((False, k) for k in range(40, 120)), (True, 0)] for o in offered)
