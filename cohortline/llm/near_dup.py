@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.tables import doc_text, key_runs, written
 from cohortline.llm.textnum import Words, blocks, mix, sequence_keys, shingles
+from cohortline.operators.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -114,7 +115,7 @@ def _signature_rows(length: int):
                      pa.array(k1[has].view(np.int64)), pa.array(k2[has].view(np.int64)),
                      pa.ListArray.from_arrays(at, pa.array(node.reshape(-1))),
                      pa.ListArray.from_arrays(at, pa.array(deeper.reshape(-1))),
-                     pa.array([x.tobytes() for x in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary())],
+                     pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary())],
                     names=["doc_id", "k1", "k2", "nodes", "deeper", "sketch"])
     return run
 
@@ -146,32 +147,6 @@ def estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(_estimates, "a bigint, b bigint, est double")
 
 
-# ── components ──────────────────────────────────────────────────────────────
-
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``id, comp``: every linked id with the least id of its component."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
-        # large star: every larger neighbour goes to the least of the neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        # small star: the node and its smaller neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        after = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        if edges.agg(mark).head() == after.agg(mark).head():
-            break
-        edges = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-
-
 # ── candidate groups ────────────────────────────────────────────────────────
 
 def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,16 +172,16 @@ def candidate_groups(reps: DataFrame, sketches: DataFrame) -> DataFrame:
     # the longest prefix
     edges = written(estimate(_stars(members, ["node", "deeper"]).select("a", "b").distinct(), sketches)
                     .where(F.col("est") >= KEEP), "edges").select("a", "b")
-    comps = components(edges)
+    comps = connected_components(edges)
     # the shortened prefix, where it meets several groups
     star = written(_stars(_mixed(members, comps), ["node"]), "stars")
     tested = written(estimate(star.select("a", "b").distinct(), sketches), "tested")
     edges = edges.unionByName(tested.where(F.col("est") >= KEEP).select("a", "b"))
-    comps = components(edges)
+    comps = connected_components(edges)
     # classes not settled by their pivot: no second pivot, the node's rest is one group
     rest = star.join(tested.where(F.col("est") < SETTLED), ["a", "b"]).select("node", F.col("b").alias("id"))
     more = written(_stars(_mixed(rest, comps), ["node"]).select("a", "b").distinct(), "edges")
-    return comps if more.isEmpty() else components(edges.unionByName(more))
+    return comps if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
 # ── exact verification ──────────────────────────────────────────────────────
@@ -293,7 +268,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     reps = signed.join(first, ["doc_id", "k1", "k2"], "left_semi").withColumnRenamed("doc_id", "id")
     groups = candidate_groups(reps.select("id", "nodes", "deeper"), reps.select("id", "sketch").dropDuplicates(["id"]))
     links = written(verified_links(groups, named, similarity), "links")
-    classes = (components(links.select(F.col("id").alias("a"), F.col("peer").alias("b")))
+    classes = (connected_components(links.select(F.col("id").alias("a"), F.col("peer").alias("b")))
                .select(F.col("id").alias("copy_id"), F.col("comp").alias("class_id"))
                .join(links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "copy_id"), "copy_id"))
     member = (signed.select("doc_id", "k1", "k2").distinct()

@@ -114,7 +114,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @register("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.encode(table(spark, sf_dir, "documents")).drop("ids")
+    return segment.encode(table(spark, sf_dir, "documents"), segmentations=True)
 
 
 # ── op2 ─────────────────────────────────────────────────────────────────────

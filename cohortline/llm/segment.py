@@ -14,8 +14,8 @@ them; A* over those is exact.
 
 Defined results.  Null and empty texts have no pieces, score 0 and decode to the
 empty text.  The marker character itself (U+2581) in a text decodes as a blank, as
-in the library; ``round_trip`` is then false.  Ties go to the segmentation whose
-last pieces are longest.  Repeated rows give repeated rows, an empty table an empty
+in the library; ``round_trip`` is then false.  Scores within ``TIE`` are ties; they go to the segmentation
+whose last pieces are longest.  Repeated rows give repeated rows, an empty table an empty
 result; other columns are ignored.
 """
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortline.llm.tables import doc_text
 
@@ -38,6 +39,8 @@ MARK = "▁"
 SIGNS = ".,;:!?|%&*$#()"      # signs that often end a word
 UNKNOWN_PENALTY = 10.0     # below the worst piece, as the library scores unknown characters
 CACHE_WORDS = 400_000
+LONG_WORD = 1024           # longer words keep no edges
+TIE = 1e-6                 # scores nearer than this count as equal in the search
 
 
 def load_vocabulary(model: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -57,6 +60,7 @@ class Segmenter:
         pieces, scores, kinds = vocabulary
         self.n = nbest
         self.piece = {p: (i, s) for i, (p, s, k) in enumerate(zip(pieces, scores, kinds)) if k == 0}
+        self.longest = max(map(len, self.piece), default=1)
         self.byte_id = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
         self.trie: dict = {}
         for p, (i, score) in self.piece.items():
@@ -86,37 +90,60 @@ class Segmenter:
 
     def lattice(self, word: str) -> list[tuple[int, int, tuple[int, ...], float]]:
         """Edges ``(start, end, ids, score)``, by start."""
-        n, edges = len(word), []
-        for i in range(n):
-            node, j, single = self.trie, i, False
-            while j < n:
-                node = node.get(word[j])
-                if node is None:
-                    break
-                j += 1
-                piece = node.get("")
-                if piece is not None:
-                    single = single or j == i + 1
-                    edges.append((i, j, piece[0], piece[1]))
-            if not single:
-                ids = tuple(self.byte_id.get(b, 0) for b in word[i].encode("utf-8", "surrogatepass"))
-                edges.append((i, i + 1, ids, self.unknown))
-        return edges
+        return [(i, j, ids, s) for i in range(len(word)) for j, ids, s in self.edges_from(word, i)]
+
+    def edges_from(self, word: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """``(end, ids, score)`` of the pieces that start at ``i``."""
+        node, j, out = self.trie, i, []
+        while j < len(word):
+            node = node.get(word[j])
+            if node is None:
+                break
+            j += 1
+            piece = node.get("")
+            if piece is not None:
+                out.append((j, *piece))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, *self.unknown_piece(word[i])))
+        return out
+
+    def edges_into(self, word: str, j: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """``(start, ids, score)`` of the pieces that end at ``j``, longest first."""
+        out = []
+        for i in range(max(0, j - self.longest), j):
+            piece = self.piece.get(word[i:j])
+            if piece is not None:
+                out.append((i, (piece[0],), piece[1]))
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, *self.unknown_piece(word[j - 1])))
+        return out
+
+    def unknown_piece(self, c: str) -> tuple[tuple[int, ...], float]:
+        return tuple(self.byte_id.get(b, 0) for b in c.encode("utf-8", "surrogatepass")), self.unknown
+
+    def viterbi(self, word: str) -> list[float]:
+        """Forward scores: the best sum of pieces up to every place."""
+        best = [0.0] + [float("-inf")] * len(word)
+        for i in range(len(word)):
+            here = best[i]
+            for j, _, s in self.edges_from(word, i):
+                if here + s > best[j]:
+                    best[j] = here + s
+        return best
 
     def nbest(self, word: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a word, best first."""
+        """The ``n`` best segmentations of a word, best first: backward A* from the word's end, the
+        forward Viterbi scores as exact estimates of what is left.
+
+        Among paths of equal score (to ``TIE``) the one nearest the word's start goes on, so a
+        word with any number of equally good paths takes about one path's steps per result; last
+        pieces are then longest first.  Edges are looked up where the search comes by."""
         n = n or self.n
-        best = [0.0] + [float("-inf")] * len(word)
-        into: list[list] = [[] for _ in best]
-        for i, j, ids, s in self.lattice(word):                 # forward Viterbi
-            into[j].append((i, ids, s))
-            if best[i] + s > best[j]:
-                best[j] = best[i] + s
-        out = []
-        serial = 0
-        heap = [(-best[-1], 0, len(word), 0.0, None)]           # backward A*
+        best = self.viterbi(word)
+        out, serial = [], 0
+        heap = [(-round(best[-1] / TIE), len(word), 0, 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, score, tail = heapq.heappop(heap)
+            _, at, _, score, tail = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
@@ -124,15 +151,47 @@ class Segmenter:
                     tail = tail[1]
                 out.append((score, tuple(ids)))
                 continue
-            for i, ids, s in into[at]:
+            for i, ids, s in self.edges_into(word, at):
                 serial += 1
-                heapq.heappush(heap, (-(best[i] + s + score), serial, i, score + s, (ids, tail)))
+                heapq.heappush(heap, (-round((best[i] + s + score) / TIE), i, serial, score + s, (ids, tail)))
         return out
 
-    def _word(self, word: str) -> tuple[bytes, float, float]:
-        """Best ids (as bytes), best score, and what the second best loses: the best
+    def _long_word(self, word: str) -> tuple[bytes, float, float, bool]:
+        """As ``_word``, in memory of one number per character: edges are walked twice, not kept."""
+        n, low = len(word), float("-inf")
+        best, back = [0.0] + [low] * n, [None] * (n + 1)
+        for i in range(n):
+            here = best[i]
+            for j, ids, s in self.edges_from(word, i):
+                if here + s > best[j]:
+                    best[j], back[j] = here + s, (i, ids)
+        ids, at, follow = [], n, {}
+        while at:
+            i, piece = back[at]
+            ids.append(piece)
+            follow[i] = at
+            at = i
+        rest, second = [low] * n + [0.0], low
+        for i in range(n - 1, -1, -1):
+            for j, _, s in self.edges_from(word, i):
+                r = s + rest[j]
+                rest[i] = max(rest[i], r)
+                if follow.get(i) != j and best[i] + r > second:
+                    second = best[i] + r
+        whole = [x for piece in reversed(ids) for x in piece]
+        return np.array(whole, np.int32).tobytes(), best[n], max(0.0, best[n] - second), self.gives(whole, word)
+
+    def gives(self, ids: list[int], word: str) -> bool:
+        """Whether the ids decode to the word."""
+        of = self.bytes_of
+        return b"".join([of[i] for i in ids]) == word.replace(MARK, " ").encode("utf-8", "surrogatepass")
+
+    def _word(self, word: str) -> tuple[bytes, float, float, bool]:
+        """Best ids (as bytes), best score, whether they decode to the word, and what the second best loses: the best
         path over any edge off the best path, by forward and backward scores."""
         n = len(word)
+        if n > LONG_WORD:
+            return self._long_word(word)         # not remembered: such words hardly come again
         low = float("-inf")
         best, back = [low] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
@@ -178,7 +237,7 @@ class Segmenter:
                 rest[i] = r + piece[1]
             if v + r > second and id(e) not in on:
                 second = v + r
-        entry = (np.array(ids, np.int32).tobytes(), best[n], max(0.0, best[n] - second))
+        entry = (np.array(ids, np.int32).tobytes(), best[n], max(0.0, best[n] - second), self.gives(ids, word))
         if len(self.cache) >= CACHE_WORDS:
             self.older = self.cache              # words met again come back from the older half
             self.cache = {}
@@ -204,28 +263,32 @@ class Segmenter:
 
     def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
         """Ids of the best segmentation and the scores of the N best."""
-        units = self.units(text)
-        entries = self._entries(units)
-        if not entries:
-            return np.zeros(0, np.int32), [0.0]
-        ids = np.frombuffer(b"".join([e[0] for e in entries]), np.int32)
-        total = float(sum([e[1] for e in entries]))
-        return ids, [total - x for x, _ in self._least(units, entries)]
+        ranked, _ = self.ranked(text)
+        return np.frombuffer(ranked[0][1], np.int32), [score for score, _ in ranked]
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a text: ``(score, ids)``."""
+        return [(score, np.frombuffer(raw, np.int32).tolist()) for score, raw in self.ranked(text)[0]]
+
+    def ranked(self, text: str) -> tuple[list[tuple[float, bytes]], bool]:
+        """The N best segmentations, ids as bytes, and whether the best one's ids decode to the text:
+        its words' ids do, and its words are the text."""
         units = self.units(text)
+        if not units:
+            return [(0.0, b"")], not text
         entries = self._entries(units)
-        if not entries:
-            return [(0.0, [])]
-        total = float(sum(e[1] for e in entries))
+        total = float(sum([e[1] for e in entries]))
+        best = [e[0] for e in entries]
         out = []
         for x, swaps in self._least(units, entries):
-            ids: list[int] = []
-            for k, e in enumerate(entries):
-                ids.extend(swaps[k] if k in swaps else np.frombuffer(e[0], np.int32).tolist())
-            out.append((total - x, ids))
-        return out
+            if swaps:
+                parts = best.copy()
+                for k, ids in swaps.items():
+                    parts[k] = np.array(ids, np.int32).tobytes()
+            else:
+                parts = best
+            out.append((total - x, b"".join(parts)))
+        return out, MARK not in text and all([e[3] for e in entries]) and "".join(units) == MARK + text.replace(" ", MARK)
 
     def _least(self, units: list[str], entries: list[tuple]) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The N least losses over all words' choices, with the words not at their best."""
@@ -254,9 +317,10 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
-_DDL = "doc_id bigint, ids array<int>, n_pieces bigint, score double, nbest_scores array<double>, ids_crc bigint, round_trip boolean"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("score", pa.float64()),
-                    ("nbest_scores", pa.list_(pa.float64())), ("ids_crc", pa.int64()), ("round_trip", pa.bool_())])
+_NBEST = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+_COLUMNS = {"doc_id": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": ("bigint", pa.int64()),
+            "score": ("double", pa.float64()), "nbest_scores": ("array<double>", pa.list_(pa.float64())), "ids_crc": ("bigint", pa.int64()),
+            "round_trip": ("boolean", pa.bool_()), "nbest": ("array<struct<score:double,ids:array<int>>>", _NBEST)}
 _SEGMENTERS: dict[tuple, Segmenter] = {}
 
 
@@ -268,11 +332,13 @@ def _segmenter(shared, model: str, nbest: int) -> Segmenter:
     return _SEGMENTERS[key]
 
 
-def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
-    """``doc_id, ids, n_pieces, score, nbest_scores, ids_crc, round_trip`` of every document.
+def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentations: bool = False) -> DataFrame:
+    """``doc_id, ids, n_pieces, score, nbest_scores, ids_crc, round_trip`` of every document, and with
+    ``segmentations`` also ``nbest``, the score and ids of each of the ``nbest`` best segmentations.
 
     ``round_trip`` says whether decoding the ids gives the very text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))    # the vocabulary: under 1 MB
+    names = [c for c in _COLUMNS if segmentations or c != "nbest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _segmenter(shared, model, nbest)
@@ -280,25 +346,36 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame
             # results go on in pieces: a batch's ids are as many as its characters at worst
             rows, size = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids, scores = sp.encode(text)
-                rows.append((doc_id, ids, len(ids), scores[0], scores, zlib.crc32(ids.tobytes()), sp.decode(ids.tolist()) == text))
-                size += len(ids)
-                if size > 2_000_000:
-                    yield _batch(rows)
+                ranked, same = sp.ranked(text)
+                rows.append((doc_id, ranked, same))
+                size += len(ranked[0][1])
+                if size > 8_000_000:
+                    yield _batch(rows, names)
                     rows, size = [], 0
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, names)
+
+    return doc_text(docs).mapInArrow(run, ", ".join(f"{c} {_COLUMNS[c][0]}" for c in names))
+
 
-    return doc_text(docs).mapInArrow(run, _DDL)
+def _lists(raw: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    offsets = np.concatenate(([0], np.cumsum(cols[2]))).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[1])))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int64()), ids, *[pa.array(c, f.type) for c, f in zip(cols[2:], list(_ARROW)[2:])]],
-        schema=_ARROW)
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    ids, ranked, same = zip(*rows)
+    best = [r[0][1] for r in ranked]
+    scores = [[s for s, _ in r] for r in ranked]
+    columns = {"doc_id": ids, "n_pieces": [len(x) // 4 for x in best], "score": [s[0] for s in scores], "nbest_scores": scores,
+               "ids_crc": [zlib.crc32(x) for x in best], "round_trip": same}
+    out = {c: pa.array(v, _COLUMNS[c][1]) for c, v in columns.items()}
+    out["ids"] = _lists(best)
+    if "nbest" in names:
+        each = pa.StructArray.from_arrays([pa.array([s for x in scores for s in x], pa.float64()), _lists([raw for r in ranked for _, raw in r])],
+                                          names=["score", "ids"])
+        out["nbest"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in ranked]))).astype(np.int32)), each)
+    return pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -316,16 +393,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def nbest_segmentations(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
     """``doc_id, place, score, ids`` of the ``nbest`` best segmentations of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _segmenter(shared, model, nbest)
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                got = sp.segmentations(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id] * len(got), pa.int64()), pa.array(range(1, len(got) + 1), pa.int32()),
-                     pa.array([s for s, _ in got], pa.float64()), pa.array([i for _, i in got], pa.list_(pa.int32()))],
-                    names=["doc_id", "place", "score", "ids"])
-
-    return doc_text(docs).mapInArrow(run, "doc_id bigint, place int, score double, ids array<int>")
+    every = encode(docs, model, nbest, segmentations=True).select("doc_id", F.posexplode("nbest").alias("at", "n"))
+    return every.select("doc_id", (F.col("at") + 1).alias("place"), F.col("n.score").alias("score"), F.col("n.ids").alias("ids"))

@@ -340,3 +340,49 @@ def test_fit_offers_all_documents_without_a_label(spark, monkeypatch):
     monkeypatch.setattr(ct, "all_given", counted)
     ct.fit(docs, labels)
     assert len(offered) == ct.ROUNDS and all(o == [*((False, k) for k in range(40, 120)), (True, 0)] for o in offered)
+
+
+def test_runs_of_equal_characters_segment_quickly():
+    import time
+    import tracemalloc
+
+    sp = segment.Segmenter(segment.load_vocabulary())
+    for text in ("x" * 100_000, "-" * 100_000, "ab" * 20_000, "x" * 3000 + " and " + "-" * 3000):
+        began = time.time()
+        ranked, same = sp.ranked(text)
+        assert same and len(ranked) == 4 and time.time() - began < 20
+        assert all(sp.decode(np.frombuffer(raw, np.int32).tolist()) == text for _, raw in ranked)
+        assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True) and len({raw for _, raw in ranked}) == 4
+    peaks = []
+    for n in (5_000, 20_000):
+        tracemalloc.start()
+        sp.ranked("x" * n)
+        peaks.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]                                # memory in proportion to the run
+
+
+def test_long_words_are_segmented_like_short_ones(monkeypatch):
+    sp = segment.Segmenter(segment.load_vocabulary())
+    texts = ["unbelievably", "aaaaabaaaaa", "日本語x", "Grüße--__--", "1234512345"]
+    short = [sp._word(t) for t in texts]
+    monkeypatch.setattr(segment, "LONG_WORD", 0)
+    for t, s in zip(texts, short):
+        got = sp._word(t)
+        assert (got[0], got[3]) == (s[0], s[3]) and got[1:3] == pytest.approx(s[1:3])
+
+
+def test_tied_segmentations_have_their_longest_pieces_last():
+    toy = segment.Segmenter((["<unk>", "a", "aa", "aaa"], [0.0, -1.0, -2.0, -3.0], [2, 0, 0, 0]))     # every way of 5 costs 5
+    best = [ids for _, ids in toy.nbest("aaaaa", 3)]
+    assert best == [(2, 3), (1, 1, 3), (3, 2)]
+    assert len(toy.nbest("aaaaa", 100)) == 13                       # all compositions of 5 into 1, 2 and 3
+
+
+def test_sentencepiece_query_lists_all_segmentations(spark):
+    rows = {r["doc_id"]: r for r in segment.encode(docs_of(spark, ["the cats", "", None]), segmentations=True).collect()}
+    assert [list(x["ids"]) for x in rows[0]["nbest"]][0] == list(rows[0]["ids"]) and len(rows[0]["nbest"]) == 4
+    assert [x["score"] for x in rows[0]["nbest"]] == list(rows[0]["nbest_scores"])
+    assert [(x["score"], list(x["ids"])) for x in rows[1]["nbest"]] == [(0.0, [])] and rows[1]["round_trip"] and rows[2]["round_trip"]
+    flat = segment.nbest_segmentations(docs_of(spark, ["the cats"])).orderBy("place").collect()
+    assert [(r["place"], list(r["ids"])) for r in flat] == [(k + 1, list(x["ids"])) for k, x in enumerate(rows[0]["nbest"])]
