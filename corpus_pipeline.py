@@ -11,12 +11,17 @@ return the columns of ``documents`` as they were (further columns too).
 4. decontamination: documents that hold a benchmark item go.
 5. sentencepiece: ids, scores and round trip of every document that is left.
 
-Rows with a null ``doc_id`` can't be named as dropped and stay; rows that repeat an id
-share its fate; an empty table passes through as empty.
+Every row has its own fate, whatever its id: exact dedup decides by (id, digest of the
+text), near duplicates by a number that each row gets.  Rows of equal text and equal id are one
+document to exact dedup and stay together there; the next stage leaves one of them.  Of equal texts, rows
+without id go if a row with an id is there and stay otherwise; of near duplicates a row with an id stays before one without.
+Further columns, whatever their names, pass through; an empty table passes through as empty.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +33,11 @@ from cohortline.llm.tables import table, written
 from cohortline.llm.toxicity import drop_toxic, fit
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``dropped.gone_id`` (columns and their order unchanged)."""
-    return docs.join(dropped.distinct(), docs["doc_id"] == F.col("gone_id"), "left_anti")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +45,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")))
+    gone = (exact_dedup(docs).where("keep_id IS NOT NULL AND NOT doc_id <=> keep_id")
+            .select("doc_id", "text_sha256").distinct().toDF(gone_id := _fresh(docs, "gone_id"), gone_text := _fresh(docs, "gone_text")))
+    normal = F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col(gone_id)) & (F.sha2(normal.cast("binary"), 256) == F.col(gone_text))
+    return docs.join(gone, same, "left_anti")
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")))
+    row = _fresh(docs, "row_number")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")   # fixed from here on
+    classes = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "class_id")
+    ids = numbered.select(F.col(row).alias("n"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    # classes of one row need no look at their ids
+    several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = written(classes.join(several, "class_id").join(ids, "n"), "pipeline-members")
+    stays = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("n")))["n"].alias("n"))
+    gone = members.join(stays, "n", "left_anti").select(F.col("n").alias(gone_row := _fresh(numbered, "gone_row")))
+    return numbered.join(gone, numbered[row] == F.col(gone_row), "left_anti").drop(row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
