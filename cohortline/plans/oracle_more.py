@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortline.plans.oracle import _master_customer_parts, base_ctes, cents, mct_ctes, with_
+from cohortline.plans.oracle import _master_customer_parts, base_ctes, cents, mct_ctes, raw_all_sql, with_
 
 # ── identity linking: pairs and label propagation ───────────────────────────
 
@@ -128,3 +128,7 @@ def orders_histogram_round_sql(most: int = 12) -> str:
 )""", "bins AS (SELECT unnest(range(lo // w, hi // w + 1)) AS b, w FROM w)"], """
 SELECT CAST(b * w AS BIGINT) AS bin_start, CAST((b + 1) * w AS BIGINT) AS bin_end, count(total_orders) AS customers
 FROM bins LEFT JOIN mct ON total_orders // w = b GROUP BY b, w""")
+
+
+def raw_broken_sql() -> str:
+    return f"""SELECT * REPLACE (customer_city || chr(10) || '"' || platform || '", x' AS customer_city) FROM ({raw_all_sql()})"""

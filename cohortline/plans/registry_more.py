@@ -131,3 +131,17 @@ register("master_customer_today", OM.master_customer_today_sql())(
     lambda s, d: M.master_customer_table(cleaned_table(s, d), as_of="current_date"))
 register("orders_histogram_round", OM.orders_histogram_round_sql())(
     lambda s, d: P.orders_histogram_round(M.master_customer_table(cleaned_table(s, d))))
+
+
+# ── raw files of any layout (S1) ────────────────────────────────────────────
+
+@register("scan_raw_any_layout", OM.raw_broken_sql())
+def scan_raw_any_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both raw files in one folder, the second with its columns in another order, and with line
+    breaks, quotes and commas inside a field."""
+    path = scratch_path(spark, "raw_folder")
+    for name, part in zip(("hist", "recent"), FX.raw_files(spark, sf_dir)):
+        part = part.withColumn(S.CITY, F.concat(S.CITY, F.lit('\n"'), S.PLATFORM, F.lit('", x')))
+        IO.write_csv(part if name == "hist" else part.select(*reversed(part.columns)), f"{path}/{name}")
+    raw = IO.read_raw_csv_any(spark, path)
+    return raw.withColumns({c: raw[c].cast("double") for c in S.AMOUNT_COLUMNS})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline import schema as S
+from cohortline.sources import quoted_csv
 
 # '' and null must survive a CSV round trip: nulls are written as \N and
 # only \N is read back as null, so an empty promo code stays ''.
@@ -47,6 +48,12 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return _read_by_header(spark, path, S.RAW_SCHEMA, multi_line)
 
 
+def read_raw_csv_any(spark: SparkSession, path: str) -> DataFrame:
+    """Raw order files whose headers may differ and whose quoted fields may hold line breaks; large
+    files are split all the same (:mod:`cohortline.sources.quoted_csv`)."""
+    return quoted_csv.read_csv(spark, path, S.RAW_SCHEMA, {"nullValue": NULL_TOKEN, "escape": '"'})
+
+
 def load_raw(spark: SparkSession, hist_path: str, recent_path: str,
              multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     return read_raw_csv(spark, hist_path, multi_line), read_raw_csv(spark, recent_path, multi_line)
