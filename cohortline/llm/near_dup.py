@@ -19,7 +19,11 @@ similarity of their shingle sets is ``SIMILARITY`` or more.
 4. Exact verification: all classes of a candidate group are compared on their whole
    shingle sets, in blocks of ``BLOCK`` against blocks, a block pair per task step.  Each
    gives link counts and a spanning set of the links per class: no pair becomes a row.
-5. Verified links are closed to components by large- and small-star steps.
+5. Verified links are closed to components (:mod:`cohortline.operators.components`).
+
+A trie is held as the hashes of its nodes at two depths, the whole signature and the prefix
+shortened to the target recall, and sorted by Spark's grouping of those hashes; there are no
+pointers and no further depths, as exact verification makes shorter prefixes needless.
 
 Defined results.  Null and empty texts, texts without words and null ids stand alone
 (class of its own, no links).  A text of fewer than ``SHINGLE`` words has one
