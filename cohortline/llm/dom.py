@@ -1,7 +1,7 @@
 """A small forgiving HTML reader: elements in document order as parallel lists.
 
 Comments, declarations and the insides of scripts, styles and other unshown
-elements are left out; unclosed paragraphs, list items and table cells end where
+elements are left out (formulas are shown); unclosed paragraphs, list items and table cells end where
 the next begins; an end tag without its start tag is ignored."""
 
 from __future__ import annotations
@@ -12,17 +12,21 @@ from dataclasses import dataclass, field
 
 # fixed values: element names by how HTML treats them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike "
+MATH = "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover mpadded mphantom semantics"
+INLINE = frozenset(f"{MATH} a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr del br img".split())
-UNSHOWN = frozenset("script style noscript template title iframe object canvas svg textarea select math audio video".split())
+UNSHOWN = frozenset("script style noscript template title iframe object canvas svg textarea select annotation annotation-xml audio video".split())
+# of these only the end tag ends, whatever the start tag looks like
+RAW_TEXT = frozenset("script style noscript template title iframe textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
                      "h6 header hr main menu nav ol p pre section table ul".split())
 SIBLING_END = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
                "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
                "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-                     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*>", re.S)
+# a quote opens a value only right after the equals sign; elsewhere it is a character like any other
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*>", re.S)
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
@@ -55,18 +59,22 @@ def parse(source: str) -> Page:
         if m.start() > at:
             runs.append((stack[-1], source[at:m.start()]))
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if name is None:
             continue
         name = name.lower()
-        if m[1] or m[4]:                                  # an end tag
+        if m[1]:                                          # an end tag
             _end(name, stack, tags, runs)
             continue
-        raw = m[3] if m[2] else m[6]
+        raw = m[3]
         if name in UNSHOWN:
-            if not raw.endswith("/"):
+            closed = raw.endswith("/") and name not in RAW_TEXT and not _UNQUOTED_SLASH.search(raw)
+            if not closed:
                 end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                if end:
+                    at = end.end()
+                elif name in RAW_TEXT:
+                    at = len(source)
             continue
         if name in CLOSES_P:
             _close(stack, tags, runs, {"p"}, {"button", "table", "td", "li", "div", "article", "section"})

@@ -2,11 +2,14 @@
 
 Every element has a hidden label, content or not.  Its own features give a unary
 potential, and each parent-child pair a potential by the child's kind (text-level,
-sectioning or other block).  One sum-product pass up the tree and one down give
+set apart, container, list or other).  One sum-product pass up the tree and one down give
 every element's content marginal; text in elements above one half is kept.
 
+No feature knows how long a text is by itself, only its part of the page's and of its
+parent's, so that short articles are articles too.
+
 The weights are the maximum-likelihood fit (gradient: label counts less expected
-counts from the same message passing) to labelled pages: ``LABELLED`` below, marked
+counts from the same message passing) to labelled pages: ``LABELLED`` and ``practice_pages`` below, marked
 by hand, and a sample of at most ``SAMPLE_PAGES`` pages of the table itself that
 have a sectioning ``article`` or ``main`` and so label themselves.
 
@@ -33,7 +36,7 @@ ROUNDS = 250
 BATCH_NODES = 60_000
 
 # fixed values: element names and words of class, id and role attributes that the features look at
-TAG_GROUPS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "label"),
+TAG_GROUPS = [("article",), ("main",), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button", "label"),
               ("h1", "h2", "h3", "h4", "h5", "h6"), ("p", "blockquote", "pre"), ("ul", "ol", "li", "dl", "dt", "dd"),
               ("table", "tr", "td", "th", "tbody", "thead"), ("a",), ("div", "section", "body", "html"), ("head",),
               ("figure", "figcaption"), ("dialog",)]
@@ -43,7 +46,13 @@ AGAINST = frozenset("ad ads advert advertisement advertising banner breadcrumb b
                     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget "
                     "contentinfo complementary site topbar".split())
 FOR = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
-SECTIONING = frozenset("article aside body dialog div footer form header html main nav section table ul ol".split())
+# of AGAINST, what an article or main element itself is not named for its place or layout by
+APART = frozenset("ad ads advert advertisement advertising banner comment comments consent cookie cookies disclaimer disqus gdpr login modal "
+                  "newsletter notice notification alert overlay popup promo promotion recommended related reply replies respond signup "
+                  "sponsor sponsored subscribe widget".split())
+# kinds of children that have potentials of their own towards their parent: text-level, set apart, containers, lists and tables, others
+KINDS = [INLINE, frozenset("aside dialog footer form header menu nav".split()), frozenset("article body div html main section".split()),
+         frozenset("dd dl dt li ol table tbody td th thead tr ul".split())]
 
 _TOKENS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -72,6 +81,43 @@ LABELLED = [
 ]
 
 
+# Practice pages are put together from these parts: containers of the article, articles, and what stands around them.
+_S = "A short one."
+_LINKS = '<ul><li><a href="a">First link</a></li><li><a href="b">Second link</a></li><li><a href="c">Third</a></li></ul>'
+CONTAINERS = ["<article data-c=1>{}</article>", "<main data-c=1>{}</main>", '<div class="post" data-c=1>{}</div>', '<div id=content data-c=1>{}</div>',
+              '<article class="search-result" data-c=1>{}</article>', "<main data-c=1><article>{}</article></main>", "<section data-c=1>{}</section>",
+              '<div role="main" data-c=1>{}</div>', '<div class="entry-content" data-c=1>{}</div>', "<div><div data-c=1>{}</div></div>",
+              '<article class="post has-sidebar" id="p1" data-c=1>{}</article>']
+ARTICLES = [f"<p>{_P}</p>", f"<h1>T</h1><p>{_P}</p><p>{_P}</p>", f"<p>{_S}</p>", f"<p>{_P}</p><p>{_S}</p><div><p>{_P}</p></div>", f"<h2>T</h2><p>{_S}</p><p>{_S}</p>",
+            f"<h1>T</h1><p>{_P}</p>{_LINKS}", f"<p>{_P}</p><ul><li>{_S}</li><li>{_P}</li></ul>", f"{_P}<br>{_S}", f"<p>{_P}</p><blockquote><p>{_P}</p></blockquote>",
+            f'<p>{_P} <a href="x">linked words</a> {_S}</p><table><tr><td>1</td><td>{_S}</td></tr></table>', f"<h1>T</h1><p>{_P}</p><p>{_P}</p><p>{_P}</p><p>{_P}</p>",
+            f"<p>{_P}</p><figure><figcaption>{_S}</figcaption></figure><pre>code</pre>", f'<div class="story"><p>{_P}</p><p>{_P}</p></div>']
+INSIDE = ["", f'<div class="ad" data-c=0><p>{_P}</p></div>', "", f"<aside data-c=0><p>{_P}</p></aside>", '<div class="share" data-c=0><a href="s">Share</a></div>', "",
+          f'<form data-c=0><label>Mail</label><p>{_S}</p></form>', f'<div class="related" data-c=0><h3>Related</h3>{_LINKS}</div>', "", f"<footer data-c=0><p>{_S}</p></footer>",
+          f'<div class="notice" data-c=0>{_P}</div>', f'<section class="comments" data-c=0><h2>Comments</h2><p>{_P}</p></section>', f"<nav data-c=0>{_LINKS}</nav>"]
+BEFORE = [f"<nav>{_LINKS}</nav>", f'<header class="site-header"><h1>Site</h1><p>{_S}</p></header>', "", f'<div class="menu">{_LINKS}</div>', f'<div class="cookie-notice"><p>{_P}</p></div>',
+          f'<div class="ad">{_P}</div>', f"<form><p>{_S}</p><label>Word</label></form>", f'<header><nav>{_LINKS}</nav></header><div class="banner"><p>{_P} {_P}</p></div>']
+AFTER = [f"<footer><p>{_S}</p></footer>", f'<div class="sidebar"><h3>About</h3><p>{_P}</p><p>{_P}</p></div>', f"<aside><p>{_P}</p>{_LINKS}</aside>",
+         f'<div class="comments"><div class="comment"><p>{_P}</p></div><div class="comment"><p>{_P} {_P}</p></div></div>', f'<div class="footer">{_S} {_P}</div>',
+         f'<section class="reader-comments"><article><p>{_P}</p></article><article class="comment"><p>{_P}</p></article></section>', "",
+         f'<div class="newsletter"><p>{_P}</p></div><footer><p>{_P}</p></footer>', f'<dialog><p>{_P}</p></dialog><div role="contentinfo"><p>{_P}</p></div>']
+
+
+def practice_pages(n: int = 180) -> list[str]:
+    """Marked pages of varied layouts and lengths: the parts' lists are gone through side by side at different steps."""
+    def part(parts: list[str], k: int) -> str:
+        return parts[k % len(parts)]
+
+    out = []
+    for k in range(n):
+        body = part(ARTICLES, k + k // len(ARTICLES))
+        inside = part(INSIDE, 3 * k + k // 7)
+        body = inside + body if k % 4 == 3 else body + inside
+        out.append(f"<body>{part(BEFORE, k + k // 5)}{part(BEFORE, 5 * k + 3) if k % 2 else ''}{part(CONTAINERS, k + k // 3).format(body)}"
+                   f"{part(AFTER, 2 * k + k // 9)}{part(AFTER, 7 * k + 1) if k % 3 else ''}</body>")
+    return out
+
+
 def n_features() -> int:
     return len(TAG_GROUPS) + 9
 
@@ -80,7 +126,7 @@ _GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 
 
 def kind(tag: str) -> int:
-    return 0 if tag in INLINE else 1 if tag in SECTIONING else 2
+    return next((k for k, tags in enumerate(KINDS) if tag in tags), len(KINDS))
 
 
 @dataclass
@@ -93,13 +139,14 @@ class Forest:
     first: np.ndarray       # each page's first element (its root)
 
 
-def hints(raw: str) -> tuple[bool, bool]:
-    """Whether class, id or role speak for or against content."""
+def hints(raw: str, tag: str = "") -> tuple[bool, bool]:
+    """Whether class, id or role speak for or against content; an article, a main part and the body are
+    taken by what they are, not by words for their layout."""
     if not raw or "=" not in raw:
         return False, False
     a = attributes(raw)
     words = {w.lower() for k in ("class", "id", "role") if a.get(k) for w in _TOKENS.findall(a[k])}
-    return bool(words & FOR), bool(words & AGAINST)
+    return bool(words & FOR), bool(words & (APART if tag in ("article", "main", "body", "html") else AGAINST))
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -123,7 +170,7 @@ def forest(pages: list[Page]) -> Forest:
             if c is not None:
                 x[lo + i, c] = 1
             if p.attrs[i]:
-                for_it, against = hints(p.attrs[i])
+                for_it, against = hints(p.attrs[i], t)
                 x[lo + i, g] = for_it and not against
                 x[lo + i, g + 1] = against
         for i, t in p.runs:
@@ -137,13 +184,19 @@ def forest(pages: list[Page]) -> Forest:
         np.add.at(total, parent[at], total[at])
         np.add.at(in_links, parent[at], in_links[at])
     share = in_links / np.maximum(total, 1)
+    page = np.repeat(total[first[:-1]], np.diff(first))
+    above = np.where(parent >= 0, total[parent], total)
     x[:, g + 2] = (share > 0.5) & (total > 0)
-    x[:, g + 3] = (own > 0) & (own < 25)
-    x[:, g + 4] = (own >= 25) & (own < 100)
-    x[:, g + 5] = own >= 100
-    x[:, g + 6] = np.minimum(np.log1p(total) / 8, 1.5)
-    x[:, g + 7] = depth <= 2
-    x[:, g + 8] = 1
+    x[:, g + 3] = own > 0
+    x[:, g + 4] = total / np.maximum(page, 1)
+    x[:, g + 5] = total / np.maximum(above, 1)
+    x[:, g + 6] = depth <= 2
+    x[:, g + 7] = 1
+    # an article or main part that stands in nothing set apart (comments hold articles too)
+    apart = (x[:, g + 1] > 0) | (kinds == 1)
+    for at in _levels(depth)[1:]:
+        apart[at] |= apart[parent[at]]
+    x[:, g + 8] = (x[:, 0] + x[:, 1] > 0) & ~apart
     return Forest(parent, depth, kinds, x, first)
 
 
@@ -183,7 +236,7 @@ def sum_product(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
 @dataclass
 class ContentModel:
     weights: np.ndarray     # (features,): score of label 1
-    pair: np.ndarray        # (3, 2, 2)
+    pair: np.ndarray        # (kinds, 2, 2)
 
     def unary(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.zeros(len(x)), x @ self.weights], axis=1)
@@ -211,7 +264,7 @@ def sectioned_labels(page: Page) -> np.ndarray | None:
     seen = False
     for i in range(1, len(y)):
         t = page.tag[i]
-        if t in apart or hints(page.attrs[i])[1]:
+        if t in apart or hints(page.attrs[i], t)[1]:
             y[i] = -1
         elif y[page.parent[i]] == -1:
             y[i] = -1
@@ -231,18 +284,19 @@ def train(pages: list[Page], labels: list[np.ndarray], weight: list[float], roun
     onehot = np.eye(2)[y]
     seen = np.zeros((len(y), 2, 2))
     seen[np.flatnonzero(inner), y[f.parent[inner]], y[inner]] = 1
-    m = ContentModel(np.zeros(f.x.shape[1]), np.zeros((3, 2, 2)))
-    theta = np.zeros(m.weights.size + 12)
+    n_kinds = len(KINDS) + 1
+    m = ContentModel(np.zeros(f.x.shape[1]), np.zeros((n_kinds, 2, 2)))
+    theta = np.zeros(m.weights.size + 4 * n_kinds)
     a, b = np.zeros_like(theta), np.zeros_like(theta)
     total = wt.sum()
     for t in range(1, rounds + 1):
         p, edge = sum_product(f, m.unary(f.x), m.pair)
         gw = f.x.T @ ((onehot - p)[:, 1] * wt)
-        gp = np.stack([((seen - edge) * (wt * (inner & (f.kind == k)))[:, None, None]).sum(axis=0) for k in range(3)])
+        gp = np.stack([((seen - edge) * (wt * (inner & (f.kind == k)))[:, None, None]).sum(axis=0) for k in range(n_kinds)])
         g = np.concatenate([gw, gp.ravel()]) / total - 1e-4 * theta
         a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
         theta += 0.1 * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.999 ** t)) + 1e-9)
-        m = ContentModel(theta[:m.weights.size], theta[m.weights.size:].reshape(3, 2, 2))
+        m = ContentModel(theta[:m.weights.size], theta[m.weights.size:].reshape(n_kinds, 2, 2))
     return m
 
 
@@ -259,8 +313,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", h
             parsed.append(p)
             labels.append(y)
     weight = [1.0] * len(parsed)
-    share = max(1.0, len(parsed) / len(LABELLED))      # both kinds of labelled pages count alike
-    for source in LABELLED:
+    marked = LABELLED + practice_pages()
+    share = max(1.0, len(parsed) / len(marked))        # both kinds of labelled pages count alike
+    for source in marked:
         p = parse(source)
         parsed.append(p)
         labels.append(marked_labels(p))

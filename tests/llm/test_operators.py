@@ -172,7 +172,7 @@ def test_sum_product_equals_enumeration():
     page = dom.parse("<div><p>a <b>b</b></p><ul><li>c</li></ul></div>")
     f = html_extract.forest([page])
     rng = np.random.default_rng(1)
-    unary, pair = rng.normal(size=(len(f.parent), 2)), rng.normal(size=(3, 2, 2))
+    unary, pair = rng.normal(size=(len(f.parent), 2)), rng.normal(size=(len(html_extract.KINDS) + 1, 2, 2))
     p, _ = html_extract.sum_product(f, unary, pair)
     total = np.zeros_like(unary)
     for y in itertools.product((0, 1), repeat=len(unary)):
@@ -386,3 +386,72 @@ def test_sentencepiece_query_lists_all_segmentations(spark):
     assert [(x["score"], list(x["ids"])) for x in rows[1]["nbest"]] == [(0.0, [])] and rows[1]["round_trip"] and rows[2]["round_trip"]
     flat = segment.nbest_segmentations(docs_of(spark, ["the cats"])).orderBy("place").collect()
     assert [(r["place"], list(r["ids"])) for r in flat] == [(k + 1, list(x["ids"])) for k, x in enumerate(rows[0]["nbest"])]
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    """Fitted to the marked pages alone, and with the given table's pages."""
+    import pyarrow.parquet as pq
+
+    def fitted(rows):
+        pages = [dom.parse(r) for r in rows]
+        pairs = [(p, y) for p in pages if (y := html_extract.sectioned_labels(p)) is not None]
+        marked = html_extract.LABELLED + html_extract.practice_pages()
+        weight = [1.0] * len(pairs) + [max(1.0, len(pairs) / len(marked))] * len(marked)
+        pairs += [(p, html_extract.marked_labels(p)) for p in map(dom.parse, marked)]
+        return html_extract.train([p for p, _ in pairs], [y for _, y in pairs], weight)
+    return fitted(pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()[:250])
+
+
+_PROSE = "Eighteen words stand in this paragraph, as it were, so that it is neither long nor very short."
+
+
+@pytest.mark.parametrize("body, text", [
+    (f'<nav><ul><li><a href="1">Home</a></li></ul></nav><div class="ad"><p>{_PROSE}</p></div><article><p>{_PROSE}</p></article><footer><p>f {_PROSE}</p></footer>', _PROSE),
+    (f'<nav><a href="1">Home</a></nav><article><p>{_PROSE}</p><p>{_PROSE}</p></article><div class="sidebar"><p>{_PROSE}</p></div>', f"{_PROSE} {_PROSE}"),
+    (f'<article class="search-result"><p>{_PROSE}</p><p>{_PROSE}</p></article>', f"{_PROSE} {_PROSE}"),
+    ("<main><p data-x=don't>first it's here</p><p>two</p><p>three</p></main>", "first it's here two three"),
+    ("<article><p>Text.</p><script src=/js/>var a=1;</script><p>More.</p></article>", "Text. More."),
+    (f"<article><h1>T</h1><p>{_PROSE}</p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></article><footer>f</footer>", f"T {_PROSE} one two"),
+    ("<article><p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be.</p></article>", "Let x be."),
+    ("<header><h1>S</h1></header><main><p>Hi.</p></main>", "Hi."),
+    (f'<div class=nav><a href=1>x</a></div><div class=post><p>Just this.</p></div><div class=comments><p>{_PROSE}</p><p>{_PROSE}</p></div>', "Just this."),
+    (f'<main><article><p>{_PROSE}</p></article></main><section class="reader-comments"><article><p>{_PROSE}</p></article></section>', _PROSE),
+    (f"<article><p>{_PROSE}</p><video src=a/><p>After.</p><svg a=b/><p>End.</p></article>", f"{_PROSE} After. End."),
+])
+def test_articles_of_other_layouts_are_kept(page_model, body, text):
+    page = dom.parse(f"<body>{body}</body>")
+    assert " ".join(dom.block_texts(page, page_model.keep([page])[0])) == text
+
+
+def test_fit_climbs_the_likelihood_of_the_marked_pages(page_model):
+    right = 0
+    marked = html_extract.LABELLED + html_extract.practice_pages()
+    for source in marked:
+        page = dom.parse(source)
+        y = html_extract.marked_labels(page).astype(bool)
+        right += dom.block_texts(page, page_model.keep([page])[0]) == dom.block_texts(page, y)
+    assert right >= 0.93 * len(marked)
+
+
+def test_gradient_of_the_page_model():
+    """The gradient that train() follows, against differences of the likelihood by enumeration."""
+    page = dom.parse("<div><p>a <b>b</b></p><ul><li>c</li></ul></div>")
+    f = html_extract.forest([page])
+    rng = np.random.default_rng(5)
+    w, pair, y = rng.normal(size=f.x.shape[1]), rng.normal(size=(len(html_extract.KINDS) + 1, 2, 2)), rng.integers(0, 2, len(f.parent))
+
+    def likelihood(w, pair):
+        def score(y):
+            return sum(f.x[i] @ w * v for i, v in enumerate(y)) + sum(pair[f.kind[i], y[f.parent[i]], y[i]] for i in range(1, len(y)))
+        return score(y) - np.logaddexp.reduce([score(z) for z in itertools.product((0, 1), repeat=len(y))])
+    p, edge = html_extract.sum_product(f, html_extract.ContentModel(w, pair).unary(f.x), pair)
+    grad = f.x.T @ (y - p[:, 1])
+    for j in range(len(w)):
+        e = np.eye(len(w))[j] * 1e-5
+        assert grad[j] == pytest.approx((likelihood(w + e, pair) - likelihood(w - e, pair)) / 2e-5, abs=1e-4)
+    k, a, b = f.kind[1], 1, 0
+    want = sum((y[f.parent[i]] == a and y[i] == b) - edge[i, a, b] for i in range(1, len(y)) if f.kind[i] == k)
+    e = np.zeros_like(pair)
+    e[k, a, b] = 1e-5
+    assert want == pytest.approx((likelihood(w, pair + e) - likelihood(w, pair - e)) / 2e-5, abs=1e-4)
