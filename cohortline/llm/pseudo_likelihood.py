@@ -2,19 +2,23 @@
 
 A small network sees the ``WINDOW`` words on either side of a masked word and
 predicts it: the context words' embeddings (one table per place) are summed
-through tanh, a softmax gives the word's class and another the word within its
-class.  A text's score is the sum over all its words of the log-probability given
-both sides.
-
-The network models the ``VOCABULARY`` most frequent words by themselves and other
-words by a class of their first letters: ``log_likelihood`` and ``mean_log_prob`` are
-of these words and classes.  Every word of such a class has its own probability within
-it, its share of the class's count: ``word_log_likelihood`` and
-``mean_word_log_prob`` have that factor too and so are of the words themselves.  The
-counts of all words are a Spark table that grows with the corpus and is joined by
-word, with the words of a text added up first.  Training starts from a common network fitted to a bounded sample, then
-each task goes once over its own texts and the results are averaged by words seen
-(sums per parameter slice, in two steps).
+through tanh, and three softmaxes lead down a tree with a leaf for each of the ``VOCABULARY``
+most frequent words and for ``RARE`` classes of all others (by their first letters).
+A word of such a class has its share of the class's count over all documents as its
+probability within the class, so every word has a probability of its own.
+A text's score is the sum over all its words of the log-probability given both sides:
+``log_likelihood`` and ``mean_log_prob``.  ``class_log_likelihood`` and ``mean_class_log_prob`` leave
+out which word of its class a rare word is.
+
+The tree's size is the network's, at every size of the corpus; the counts of all words are a
+Spark table that grows with it.  The ``KNOWN`` most frequent words' counts are handed to every task (a
+bounded table), those of the others are joined by word, with the words of a text added up first.
+
+Training starts from a common network, fitted by one task to a bounded sample; then
+each task goes once over its own texts (at most ``TRAINERS`` tasks, partitions are put together
+beyond) and the results are averaged by words seen, in two steps of sums per
+parameter slice.  The network, and so the scores, depend on how the texts are dealt to tasks; with the
+same partitions they are the same.
 
 Defined results.  Null and empty texts and texts without words have 0 words, scores 0
 and null means.  Repeated rows give repeated rows (of equal scores); with no words in the corpus at
@@ -36,17 +40,22 @@ from cohortline.llm.textnum import Words, blocks, mix, sequence_keys
 
 VOCABULARY = 4096
 RARE = 256               # classes of other words, by their first three letters
-GROUP = 64               # words per output class
+FAN = 16                 # children of a node below the tree's root
 WINDOW = 2
-DIM = 24
-BATCH = 8192
+DIM = 16
+BATCH = 32_768
 SAMPLE_TEXTS = 1500      # of the common start
+START_WORDS = 2_000_000  # of the common start, at most
+TRAINERS = 4096
+KNOWN = 262_144          # words whose counts every task holds (4 MB)
 SLICES = 16
 BLOCK = 1 << 18          # characters worked on at a time
 UNITS = 1e9              # logs of counts are summed in whole 1e-9, whatever their order
 
 IDS = VOCABULARY + RARE
-GROUPS = IDS // GROUP
+#: nodes of the tree's levels: the root, its children, theirs; a leaf's path is its id in digits of ``FAN``
+NODES = (1, IDS // FAN ** 2, IDS // FAN)
+WIDTH = (IDS // FAN ** 2, FAN, FAN)
 
 
 def word_class(words: Words) -> np.ndarray:
@@ -54,48 +63,51 @@ def word_class(words: Words) -> np.ndarray:
 
 
 class Vocabulary:
-    """Word hashes by frequency rank, and the count of all other words of each class."""
+    """Word hashes by frequency rank with their counts, and the count of all words of each class
+    beyond the ``VOCABULARY`` first."""
 
-    def __init__(self, hashes: np.ndarray, class_counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, class_counts: np.ndarray, counts: np.ndarray | None = None):
         rank = np.arange(len(hashes))
         order = np.argsort(hashes)
         self.hash, self.rank = hashes[order], rank[order]
+        counts = np.ones(len(hashes), np.int64) if counts is None else counts
+        self.log_count = np.round(np.log(np.maximum(counts[order], 1)) * UNITS).astype(np.int64)
         self.log_class = np.round(np.log(np.maximum(class_counts, 1)) * UNITS).astype(np.int64)
 
-    def ids(self, words: Words) -> np.ndarray:
-        out = VOCABULARY + word_class(words)
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of every word, and its place in ``log_count`` (-1 where its count is not held)."""
+        leaf = VOCABULARY + word_class(words)
+        place = np.full(len(leaf), -1)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, words.hash), len(self.hash) - 1)
             known = self.hash[at] == words.hash
-            out[known] = self.rank[at[known]]
-        return out
+            place[known] = at[known]
+            rank = np.where(known, self.rank[at], VOCABULARY)
+            leaf = np.where(rank < VOCABULARY, rank, leaf)
+        return leaf.astype(np.uint16), place
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Context ids ``(words, 2 * WINDOW)``; ``IDS`` beyond a text's ends."""
+    """Context ids ``(2 * WINDOW, words)``; ``IDS`` beyond a text's ends."""
     n = len(ids)
-    out = np.full((n, 2 * WINDOW), IDS, np.int64)
-    lo = np.repeat(first[:-1], np.diff(first))
-    hi = np.repeat(first[1:], np.diff(first))
-    here = np.arange(n)
+    out = np.full((2 * WINDOW, n), IDS, np.uint16)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for k, step in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        at = here + step
-        ok = (at >= lo) & (at < hi)
-        out[ok, k] = ids[at[ok]]
+        if abs(step) >= n:
+            continue
+        here, there = (slice(-step, n), slice(0, n + step)) if step < 0 else (slice(0, n - step), slice(step, n))
+        same = text[here] == text[there]
+        out[k, here][same] = ids[there][same]
     return out
 
 
 class Network:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.p = {
-            "emb": rng.normal(0, 0.1, (2 * WINDOW, IDS + 1, DIM)).astype(np.float32),
-            "hid": np.zeros(DIM, np.float32),
-            "cls": rng.normal(0, 0.1, (DIM, GROUPS)).astype(np.float32),
-            "cls_b": np.zeros(GROUPS, np.float32),
-            "mem": rng.normal(0, 0.1, (GROUPS, DIM, GROUP)).astype(np.float32),
-            "mem_b": np.zeros((GROUPS, GROUP), np.float32),
-        }
+        self.p = {"emb": rng.normal(0, 0.1, (2 * WINDOW, IDS + 1, DIM)).astype(np.float32), "hid": np.zeros(DIM, np.float32)}
+        for k, (n, m) in enumerate(zip(NODES, WIDTH)):
+            self.p[f"w{k}"] = rng.normal(0, 0.1, (n, DIM, m)).astype(np.float32)
+            self.p[f"b{k}"] = np.zeros((n, m), np.float32)
         self.s = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
@@ -110,71 +122,88 @@ class Network:
         return self
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.p["emb"][0][ctx[:, 0]] + self.p["hid"]
+        h = np.take(self.p["emb"][0], ctx[0], axis=0)
+        h += self.p["hid"]
         for k in range(1, 2 * WINDOW):
-            h += self.p["emb"][k][ctx[:, k]]
-        return np.tanh(h)
+            h += np.take(self.p["emb"][k], ctx[k], axis=0)
+        return np.tanh(h, out=h)
+
+    def levels(self, y: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+        """For each level of the tree, leaves ``y`` in ascending order and their hidden vectors as columns: the
+        runs ``(node, start, end)`` of words that pass through a node, their scores over its children (a row
+        per child), and the child taken."""
+        y = y.astype(np.int32)
+        for k in range(3):
+            at = y // FAN ** (2 - k)
+            node = at // WIDTH[k]
+            z = np.empty((WIDTH[k], len(y)), np.float32)
+            cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            runs = list(zip(node[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(y)]))
+            w, b = self.p[f"w{k}"], self.p[f"b{k}"]
+            for g, lo, hi in runs:
+                np.matmul(w[g].T, h[:, lo:hi], out=z[:, lo:hi])
+                z[:, lo:hi] += b[g][:, None]
+            np.clip(z, -60, 60, out=z)                   # exp() needs no shift then
+            yield k, runs, z, at - node * WIDTH[k]
 
     def log_probs(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Log-probability of every word given its context."""
+        """Log-probability of every word's leaf given its context."""
         out = np.empty(len(ids))
         for lo in range(0, len(ids), BATCH):
-            y, h = ids[lo:lo + BATCH], self.hidden(ctx[lo:lo + BATCH])
-            c, m = np.divmod(y, GROUP)
-            out[lo:lo + BATCH] = _picked(h @ self.p["cls"] + self.p["cls_b"], c)
-            order = np.argsort(c, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-                g = c[at[0]]
-                out[lo + at] += _picked(h[at] @ self.p["mem"][g] + self.p["mem_b"][g], m[at])
+            order = np.argsort(ids[lo:lo + BATCH], kind="stable")      # 16-bit ids: sorted by digits
+            y, here = ids[lo:lo + BATCH][order], np.arange(len(order))
+            h = np.ascontiguousarray(self.hidden(ctx[:, lo:lo + BATCH][:, order]).T)
+            total = np.zeros(len(y))
+            for _, _, z, child in self.levels(y, h):
+                total += z[child, here]
+                total -= np.log(np.exp(z, out=z).sum(axis=0))
+            out[lo + order] = total
         return out
 
-    def step(self, y: np.ndarray, ctx: np.ndarray, rate: float) -> None:
-        """One Adagrad step on a batch."""
-        h = self.hidden(ctx)
+    def gradients(self, y: np.ndarray, ctx: np.ndarray) -> dict:
+        """Of the mean loss; those of the embeddings as ``(ids, rows)`` per place."""
         n = len(y)
-        c, m = np.divmod(y, GROUP)
-        d = _softmax(h @ self.p["cls"] + self.p["cls_b"])
-        d[np.arange(n), c] -= 1
-        dh = d @ self.p["cls"].T
-        self._update("cls", h.T @ d / n, rate)
-        self._update("cls_b", d.sum(axis=0) / n, rate)
-        order = np.argsort(c, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-            g, hg = c[at[0]], h[at]
-            e = _softmax(hg @ self.p["mem"][g] + self.p["mem_b"][g])
-            e[np.arange(len(at)), m[at]] -= 1
-            dh[at] += e @ self.p["mem"][g].T
-            self._update("mem", hg.T @ e / n, rate, g)
-            self._update("mem_b", e.sum(axis=0) / n, rate, g)
+        order = np.argsort(y, kind="stable")
+        y, ctx, here = y[order], ctx[:, order], np.arange(n)
+        h = np.ascontiguousarray(self.hidden(ctx).T)
+        dh, grads = np.zeros_like(h), {}
+        for k, runs, z, child in self.levels(y, h):
+            np.exp(z, out=z)
+            z /= z.sum(axis=0) * n
+            z[child, here] -= 1 / n
+            w = self.p[f"w{k}"]
+            gw, gb = np.zeros_like(w), np.zeros_like(self.p[f"b{k}"])
+            for g, lo, hi in runs:
+                part = z[:, lo:hi]
+                gw[g] = h[:, lo:hi] @ part.T
+                gb[g] = part.sum(axis=1)
+                dh[:, lo:hi] += w[g] @ part
+            grads[f"w{k}"], grads[f"b{k}"] = gw, gb
         dh *= 1 - h * h
-        dh /= n
-        self._update("hid", dh.sum(axis=0), rate)
+        grads["hid"] = dh.sum(axis=1)
+        dh = np.ascontiguousarray(dh.T)
         for k in range(2 * WINDOW):
-            order = np.argsort(ctx[:, k], kind="stable")
-            ids = ctx[order, k]
+            order = np.argsort(ctx[k], kind="stable")
+            ids = ctx[k][order]
             cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            self._update("emb", np.add.reduceat(dh[order], cut, axis=0), rate, (k, ids[cut]))
+            grads["emb", k] = (ids[cut], np.add.reduceat(np.take(dh, order, axis=0), cut, axis=0))
+        return grads
+
+    def step(self, y: np.ndarray, ctx: np.ndarray, rate: float) -> None:
+        """One Adagrad step on a batch."""
+        for name, grad in self.gradients(y, ctx).items():
+            if isinstance(name, tuple):
+                self._update(name[0], grad[1], rate, (name[1], grad[0]))
+            else:
+                self._update(name, grad, rate)
 
     def _update(self, name: str, grad: np.ndarray, rate: float, at=Ellipsis) -> None:
         self.s[name][at] += grad * grad
-        self.p[name][at] -= (rate * grad / np.sqrt(self.s[name][at])).astype(np.float32)
+        self.p[name][at] -= rate * grad / np.sqrt(self.s[name][at])
 
     def train(self, ids: np.ndarray, ctx: np.ndarray, rate: float) -> None:
         for lo in range(0, len(ids), BATCH):
-            self.step(ids[lo:lo + BATCH], ctx[lo:lo + BATCH], rate)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _picked(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    picked = z[np.arange(len(z)), k]
-    return (picked - top - np.log(np.exp(z - top[:, None]).sum(axis=1))).astype(float)
+            self.step(ids[lo:lo + BATCH], ctx[:, lo:lo + BATCH], rate)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -194,42 +223,81 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()     # a bounded head
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow().sort_by([("n", "descending"), ("word", "ascending")])     # a bounded head
+    word, kind, n = (top.column(c).to_numpy().astype(np.int64) for c in ("word", "class", "n"))
     rest = np.zeros(RARE, np.int64)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():    # RARE rows
         rest[r["class"]] = r["n"]
-    for r in top:
-        rest[r["class"]] -= r["n"]
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64), rest)
+    np.subtract.at(rest, kind[:VOCABULARY], n[:VOCABULARY])
+    return Vocabulary(word.view(np.uint64), rest, n)
 
 
-def _tokens(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, Words, int, int]]:
+def _tokens(texts: list[str], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, Words, int, int]]:
     for lo, hi in blocks(texts, BLOCK):
         w = Words(texts[lo:hi], prefix=3)
-        yield vocab.ids(w), w, lo, hi
+        yield *vocab.find(w), w, lo, hi
+
+
+class _Batches:
+    """Blocks of words put together to whole training batches."""
+
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.held, self.size, self.seen = net, rate, [], 0, 0
+
+    def add(self, ids: np.ndarray, first: np.ndarray) -> None:
+        if len(ids):
+            self.held.append((ids, contexts(ids, first)))
+            self.size += len(ids)
+            self.seen += len(ids)
+        if self.size >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.net.train(np.concatenate([x for x, _ in self.held]), np.concatenate([c for _, c in self.held], axis=1), self.rate)
+            self.held, self.size = [], 0
+
+
+def common_start(texts: DataFrame, shared) -> np.ndarray:
+    """The network fitted by one task to at most ``SAMPLE_TEXTS`` texts, whole, in order of their hashes, until
+    ``START_WORDS`` words are reached."""
+    key = F.xxhash64("doc_id", "text")
+    few = texts.select(key.alias("k")).orderBy("k").limit(SAMPLE_TEXTS).distinct()          # keys, not texts
+    sample = texts.withColumn("k", key).join(F.broadcast(few), "k", "left_semi").dropDuplicates(["k"]).coalesce(1).sortWithinPartitions("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, words = Network(), 0
+        small = [(ids, w.first) for b in batches for ids, _, w, _, _ in _tokens(b.column("text").to_pylist(), shared.value)
+                 if (words := words + len(ids)) <= START_WORDS + 2 * BLOCK]
+        for _ in range(3):
+            todo = _Batches(net, 0.1)
+            for ids, first in small:
+                todo.add(ids, first)
+                if todo.size >= BATCH // 4:              # many small steps to begin with
+                    todo.flush()
+            todo.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([net.flat().tobytes()], pa.binary())], names=["net"])
+
+    got = sample.select("text").mapInArrow(run, "net binary").collect()
+    return np.frombuffer(got[0]["net"], np.float32) if got else Network().flat()
 
 
 def train(texts: DataFrame, vocab: Vocabulary) -> Network:
     """The averaged network of all tasks, each trained on its whole share."""
-    net = Network()
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS).select("text")
-    start = [r["text"] for r in sample.collect()]
-    for _ in range(3):
-        for ids, w, _, _ in _tokens(start, vocab):
-            net.train(ids, contexts(ids, w.first), 0.1)
     sc = texts.sparkSession.sparkContext
-    common = sc.broadcast((vocab, net.flat()))           # about two megabytes
+    words = sc.broadcast(vocab)
+    common = sc.broadcast(common_start(texts, words))    # about two megabytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = common.value
-        mine, seen = Network().load(flat), 0
+        voc, mine = words.value, Network().load(common.value)
         for s in mine.s.values():
-            s += 1.0 / BATCH                             # gentle first steps from the common start
+            s += 1.0 / 8192                              # gentle first steps from the common start
+        todo = _Batches(mine, 0.03)
         for b in batches:
-            for ids, w, _, _ in _tokens(b.column("text").to_pylist(), voc):
-                if len(ids):
-                    mine.train(ids, contexts(ids, w.first), 0.03)
-                    seen += len(ids)
+            for ids, _, w, _, _ in _tokens(b.column("text").to_pylist(), voc):
+                todo.add(ids, w.first)
+        todo.flush()
+        seen = todo.seen
         if seen:
             parts = np.array_split(mine.flat().astype(np.float64) * seen, SLICES)
             yield pa.RecordBatch.from_arrays(
@@ -252,18 +320,18 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Network:
                 names=["slice", "seen", "total"])
 
     ddl = "slice int, seen bigint, total binary"
-    rows = texts.select("text").mapInArrow(run, ddl)
+    rows = texts.select("text").coalesce(TRAINERS).mapInArrow(run, ddl)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("total"), F.lit(SLICES))).repartition("slice", "salt").drop("salt")
     rows = rows.mapInArrow(add, ddl).repartition("slice").mapInArrow(add, ddl)
     got = {r["slice"]: (r["seen"], r["total"]) for r in rows.collect()}       # one network
+    net = Network().load(common.value)
     if got:
-        flat = np.concatenate([np.frombuffer(got[k][1], np.float32) / got[k][0] for k in range(SLICES)])
-        net.load(flat)
+        net.load(np.concatenate([np.frombuffer(got[k][1], np.float32) / got[k][0] for k in range(SLICES)]))
     return net
 
 
 def score(texts: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean_log_prob, word_log_likelihood, mean_word_log_prob`` of every text."""
+    """``doc_id, n_words, log_likelihood, mean_log_prob, class_log_likelihood, mean_class_log_prob`` of every text."""
     shared = texts.sparkSession.sparkContext.broadcast((vocab, net.flat()))
 
     def rows(ids, key, word, n, own, ll):
@@ -272,22 +340,26 @@ def score(texts: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame)
             names=["doc_id", "key", "word", "n", "own", "ll"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with ``ll`` for each text, then its words out of the vocabulary with their number."""
+        """A row with ``ll`` for each text, then its words whose counts are not held here, with their number."""
         voc, flat = shared.value
         mine = Network().load(flat)
         for b in batches:
             doc_ids = b.column("doc_id")
-            for ids, w, lo, hi in _tokens(b.column("text").to_pylist(), voc):
+            for ids, place, w, lo, hi in _tokens(b.column("text").to_pylist(), voc):
                 total, own, key = np.zeros(hi - lo), np.zeros(hi - lo, np.int64), sequence_keys(w)[0]
                 other = np.flatnonzero(ids >= VOCABULARY)
                 if len(ids):
                     has = np.flatnonzero(w.count)
                     total[has] = np.add.reduceat(mine.log_probs(ids, contexts(ids, w.first)), w.first[has])
-                    np.subtract.at(own, w.doc[other], voc.log_class[ids[other] - VOCABULARY])
+                    within = -voc.log_class[ids[other].astype(np.int64) - VOCABULARY]
+                    held = place[other] >= 0
+                    within[held] += voc.log_count[place[other][held]]
+                    np.add.at(own, w.doc[other], within)
+                    other = other[~held]
                 part = doc_ids.slice(lo, hi - lo)
                 # a text's own row has no word: its place in the join is spread by id and key
-                place = mix(key ^ mix(part.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-                yield rows(part, key, place, w.count, pa.array(own), pa.array(total))
+                spread = mix(key ^ mix(part.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+                yield rows(part, key, spread, w.count, pa.array(own), pa.array(total))
                 if len(other):
                     order = np.lexsort((w.hash[other], w.doc[other]))
                     d, h = w.doc[other][order], w.hash[other][order]
@@ -307,8 +379,8 @@ def score(texts: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame)
         return F.when(F.col("n_words") > 0, F.round(F.col(total) / F.col("n_words"), 6))
 
     return (sums.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-            .select("doc_id", "n_words", F.round("ll", 4).alias("log_likelihood"), mean("ll").alias("mean_log_prob"),
-                    F.round("word_ll", 4).alias("word_log_likelihood"), mean("word_ll").alias("mean_word_log_prob")))
+            .select("doc_id", "n_words", F.round("word_ll", 4).alias("log_likelihood"), mean("word_ll").alias("mean_log_prob"),
+                    F.round("ll", 4).alias("class_log_likelihood"), mean("ll").alias("mean_class_log_prob")))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

@@ -222,7 +222,8 @@ def test_classifiers_and_lm_on_small_tables(spark):
     assert (q.predicted == q.quality).mean() > 0.95
     lm = pseudo_likelihood(docs.unionByName(docs.limit(1).selectExpr("-1L doc_id", "'' text", "lang", "source", "n_chars"))).toPandas().set_index("doc_id")
     assert lm.loc[-1, "n_words"] == 0 and np.isnan(lm.loc[-1, "mean_log_prob"]) and len(lm) == 1001
-    assert lm.mean_log_prob.mean() > -np.log(4352) + 1                    # well above a uniform guess
+    assert lm.mean_class_log_prob.mean() > -np.log(4352) + 1              # well above a uniform guess
+    assert (lm.log_likelihood <= lm.class_log_likelihood + 1e-3).all()
     none = toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()
     assert [r["score"] for r in none] == [0.0] * 5
 
@@ -244,24 +245,63 @@ def test_toxicity_learns_marked_words():
     assert np.allclose(m._raw_long(a, b, first, 7), whole, atol=1e-4)     # pooling in pieces changes nothing
 
 
-def test_lm_scores_each_rare_word_by_its_own_count(spark):
+def test_lm_scores_each_rare_word_by_its_own_count(spark, monkeypatch):
     from cohortline.llm import pseudo_likelihood as pl
 
-    # the vocabulary is full of words seen 30 times; abcx and abcy share a class, seen 20 times and once
+    # the vocabulary is full of words seen 30 times; abcx and abcy share a class, seen 22 times and twice
     common = " ".join(f"w{i}" for i in range(pl.VOCABULARY))
     texts = [common] * 30 + ["abcx"] * 20 + ["abcy", "abcx abcy abcx", None]
-    rows = pl.pseudo_likelihood(docs_of(spark, texts)).collect()
-    got = {r["doc_id"]: r for r in rows}
-    assert len(rows) == len(texts) and got[52]["n_words"] == 0 and got[52]["mean_log_prob"] is None
-    assert got[30]["word_log_likelihood"] - got[50]["word_log_likelihood"] == pytest.approx(np.log(22 / 2), abs=1e-3)
-    assert got[30]["word_log_likelihood"] - got[30]["log_likelihood"] == pytest.approx(np.log(22 / 24), abs=1e-3)
-    assert got[51]["n_words"] == 3 and got[51]["word_log_likelihood"] - got[51]["log_likelihood"] == pytest.approx(
-        2 * np.log(22 / 24) + np.log(2 / 24), abs=1e-3)
+    for known in (pl.KNOWN, pl.VOCABULARY):                      # counts held by every task, and joined
+        monkeypatch.setattr(pl, "KNOWN", known)
+        rows = pl.pseudo_likelihood(docs_of(spark, texts)).collect()
+        got = {r["doc_id"]: r for r in rows}
+        assert len(rows) == len(texts) and got[52]["n_words"] == 0 and got[52]["mean_log_prob"] is None
+        assert got[30]["log_likelihood"] - got[50]["log_likelihood"] == pytest.approx(np.log(22 / 2), abs=1e-3)
+        assert got[30]["log_likelihood"] - got[30]["class_log_likelihood"] == pytest.approx(np.log(22 / 24), abs=1e-3)
+        assert got[51]["n_words"] == 3 and got[51]["log_likelihood"] - got[51]["class_log_likelihood"] == pytest.approx(
+            2 * np.log(22 / 24) + np.log(2 / 24), abs=1e-3)
     twice = docs_of(spark, texts).unionByName(docs_of(spark, texts).where("doc_id >= 50"))
     again = [r["n_words"] for r in pl.pseudo_likelihood(twice).where("doc_id = 51").collect()]
     assert again == [3, 3]
 
 
+def test_lm_network_is_a_distribution_and_its_gradient_is_right():
+    from cohortline.llm import pseudo_likelihood as pl
+
+    rng = np.random.default_rng(8)
+    net = pl.Network()
+    for k in net.p:
+        net.p[k] = rng.normal(0, 0.4, net.p[k].shape).astype(np.float32)
+    ids = np.sort(rng.integers(0, pl.IDS, 40)).astype(np.uint16)[rng.permutation(40)]
+    ctx = pl.contexts(ids, np.array([0, 1, 9, 40]))
+    by_hand = np.full((4, 40), pl.IDS)
+    for lo, hi in ((0, 1), (1, 9), (9, 40)):
+        for i in range(lo, hi):
+            for k, step in enumerate((-2, -1, 1, 2)):
+                if lo <= i + step < hi:
+                    by_hand[k, i] = ids[i + step]
+    assert (ctx == by_hand).all()
+    every = net.log_probs(np.arange(pl.IDS, dtype=np.uint16), np.repeat(ctx[:, :1], pl.IDS, axis=1))
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+    # one word by hand: tanh of the summed embeddings, a softmax at each of the three nodes
+    h = np.tanh(sum(net.p["emb"][k][ctx[k, 3]] for k in range(4)) + net.p["hid"]).astype(float)
+    path = [(0, ids[3] // 256), (ids[3] // 256, ids[3] // 16 % 16), (ids[3] // 16, ids[3] % 16)]
+    want = 0.0
+    for k, (node, child) in enumerate(path):
+        z = h @ net.p[f"w{k}"][node] + net.p[f"b{k}"][node]
+        want += z[child] - np.log(np.exp(z).sum())
+    assert net.log_probs(ids, ctx)[3] == pytest.approx(want, abs=1e-4)
+    grads = net.gradients(ids, ctx)
+    for name, at in (("hid", (2,)), ("w0", (0, 3, int(ids[0]) // 256)), ("b1", (int(ids[5]) // 256, 4)), ("w2", (int(ids[7]) // 16, 1, 2)), ("emb", (1, int(ctx[1, 9]), 5))):
+        value, slopes = net.p[name][at], []
+        for e in (1e-2, -1e-2):
+            net.p[name][at] = value + e
+            slopes.append(-net.log_probs(ids, ctx).mean())
+        net.p[name][at] = value
+        found = grads[name][at] if name != "emb" else grads["emb", 1][1][np.flatnonzero(grads["emb", 1][0] == at[1])[0], at[2]]
+        assert found == pytest.approx((slopes[0] - slopes[1]) / 2e-2, abs=2e-4), name
+
+
 def test_cotraining_offers_every_unlabelled_document(spark):
     from cohortline.llm import cotrain as ct
 
