@@ -9,8 +9,9 @@ a leak when it needs no more than ``e`` edits.  Both sides are compared lower-ca
 with white space runs as one space; spans are offsets in the text as given.
 
 The benchmark is the stated query set.  It is read in blocks of at most
-``BLOCK_BYTES`` of text (a broadcast of a proven bound); each block is a step of
-its own over all documents, so any number of items is searched.
+``BLOCK_BYTES`` of text (a broadcast of a proven bound), one of which the driver holds at
+a time; each block is a step of its own over all documents, so any number of items is
+searched.  A text's matches are worked on in slices of bounded size.
 
 Defined results.  Null or empty texts have no leak, null or empty items are never
 found; items shorter than ``Q`` characters are found by exact search.  Repeated rows give
@@ -20,6 +21,7 @@ result or no leaks.  Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,7 @@ from cohortline.llm.textnum import blocks, codepoints
 Q = 8
 EDIT_RATE = 0.10
 BLOCK_BYTES = 4 << 20
+MATCHES = 1 << 20        # q-gram matches held at a time
 _TABLE_BITS = 22
 _EDIT = 1 << 32          # one edit, above the start offset kept in the low bits
 
@@ -149,39 +152,45 @@ class BenchIndex:
         lo = np.searchsorted(self.hash, h[hit], "left")
         n = np.searchsorted(self.hash, h[hit], "right") - lo
         hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-        if not len(hit):
-            return []
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, pos = self.item[entry], self.pos[entry]
-        diagonal = np.repeat(hit, n) - pos + int(self.length.max())       # not negative
-        half = self.budget[item] + 1
-        band = diagonal // half
-        n_bands = len(c) + int(self.length.max()) + 2
-        key = np.concatenate([item * n_bands + band, item * n_bands + band - 1])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        pos2 = np.concatenate([pos, pos])[order]
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(cut, len(key)))
-        enough = size >= self.bound[key[cut] // n_bands]
-        regions = []
-        for a, k in zip(cut[enough], size[enough]):
-            which, b = divmod(int(key[a]), n_bands)
-            if len(np.unique(pos2[a:a + k])) >= self.bound[which]:        # different q-grams of the item
-                regions.append((which, b))
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for which, b in regions:
+        for which, b in sorted(self._regions(len(c), hit, lo, n)):
             self._verify(c, first, ends, which, b, found)
         leaks = []
         for (d, which), spans in found.items():
-            spans.sort(key=lambda s: (s[2], s[0], s[1]))
-            taken: list[tuple[int, int, int]] = []
-            for s in spans:                                    # neighbouring bands find a region twice
-                if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-                    taken.append(s)
-            leaks += [(d, which, *s) for s in taken]
+            leaks += [(d, which, *s) for s in _apart(sorted(set(spans), key=lambda s: (s[2], s[0], s[1])))]
         return leaks
 
+    def _regions(self, size: int, hit: np.ndarray, lo: np.ndarray, n: np.ndarray) -> set[tuple[int, int]]:
+        """``(item, band)`` of all bands that reach their bound.  Matches are worked on in slices of about
+        ``MATCHES`` of them; slices overlap by a band's reach, so each band is whole in one."""
+        regions: set[tuple[int, int]] = set()
+        if not len(hit):
+            return regions
+        longest = int(self.length.max())
+        reach = longest + 4 * (int(self.budget.max()) + 1) + Q
+        before = np.concatenate(([0], np.cumsum(n)))
+        n_bands = size + longest + 2
+        a = 0
+        while a < len(hit):
+            z = max(int(np.searchsorted(before, before[a] + MATCHES, "right")) - 1, int(np.searchsorted(hit, hit[a] + 2 * reach)), a + 1)
+            z = min(z, len(hit))
+            entry = np.repeat(lo[a:z], n[a:z]) + np.arange(before[z] - before[a]) - np.repeat(before[a:z] - before[a], n[a:z])
+            item, pos = self.item[entry], self.pos[entry]
+            diagonal = np.repeat(hit[a:z], n[a:z]) - pos + longest            # not negative
+            band = diagonal // (self.budget[item] + 1)
+            key = np.concatenate([item * n_bands + band, item * n_bands + band - 1])
+            order = np.lexsort((np.concatenate([pos, pos]), key))
+            key, pos = key[order], np.concatenate([pos, pos])[order]
+            other = np.concatenate(([True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])))   # different q-grams of the item
+            key = key[other]
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            enough = np.diff(np.append(cut, len(key))) >= self.bound[key[cut] // n_bands]
+            regions.update(divmod(int(k), n_bands) for k in key[cut[enough]])
+            if z == len(hit):
+                break
+            a = max(a + 1, int(np.searchsorted(hit, hit[z - 1] - reach)))
+        return regions
+
     def _verify(self, c, first, ends, which, band, found):
         m, e = int(self.length[which]), int(self.budget[which])
         half = e + 1
@@ -203,6 +212,18 @@ class BenchIndex:
                 found.setdefault((d, which), []).append((lo + got[0], lo + got[1], got[2]))
 
 
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in order, without those that overlap one taken before (neighbouring bands find a region twice)."""
+    taken: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for s in spans:
+        k = bisect_left(starts, s[0])
+        if (k == 0 or taken[k - 1][1] <= s[0]) and (k == len(taken) or taken[k][0] >= s[1]):
+            taken.insert(k, s)
+            starts.insert(k, s[0])
+    return sorted(taken, key=lambda s: (s[2], s[0], s[1]))
+
+
 def _find(c: np.ndarray, want: np.ndarray) -> int:
     text, w = c.tobytes(), want.tobytes()
     p = text.find(w)
@@ -251,17 +272,18 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string())] +
 
 
 def bench_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                 block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes`` of text, by id."""
+                 block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_bytes`` of text, by id; one block is held at a time."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    out, held, size = [], [], 0
+    held, size = [], 0
     for r in items.where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"]) * 4
         if size >= block_bytes:
-            out.append(held)
+            yield held
             held, size = [], 0
-    return out + [held] if held else out
+    if held:
+        yield held
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:

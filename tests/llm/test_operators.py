@@ -495,3 +495,37 @@ def test_gradient_of_the_page_model():
     e = np.zeros_like(pair)
     e[k, a, b] = 1e-5
     assert want == pytest.approx((likelihood(w, pair + e) - likelihood(w, pair - e)) / 2e-5, abs=1e-4)
+
+
+def test_matches_in_slices_find_what_one_pass_finds(monkeypatch):
+    rnd = random.Random(9)
+    items = [(k, " ".join(words(rnd.randint(12, 40), 300 + k))) for k in range(6)] + [(6, "x" * 200), (7, "ab" * 60)]
+    texts = []
+    for k in range(24):
+        s = list(items[k % 8][1])
+        for _ in range(rnd.randint(0, 12)):
+            p = rnd.randrange(len(s))
+            s[p:p + 1] = rnd.choice([[], ["#"], [s[p], "#"]])
+        texts.append(" ".join(words(40, k)) + " " + "".join(s) + " " + " ".join(words(20, 700 + k)))
+    texts += ["x" * 3000, "ab" * 1500 + "x" * 400, ""]
+    index = decontaminate.BenchIndex(items)
+    monkeypatch.setattr(decontaminate, "MATCHES", 1 << 40)
+    whole = [sorted(t) for t in index.search(texts)]
+    monkeypatch.setattr(decontaminate, "MATCHES", 50)
+    assert [sorted(t) for t in index.search(texts)] == whole and sum(map(bool, whole)) > 12
+
+
+def test_periodic_items_and_texts_stay_in_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.BenchIndex([(1, "x" * 200)])
+    tracemalloc.start()
+    found = index.search(["x" * 100_000])[0]
+    assert len(found) > 400 and tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+
+
+def test_benchmark_blocks_come_one_at_a_time(spark):
+    bench = spark.createDataFrame([(i, "word " * 20 + str(i)) for i in range(50)], "item_id bigint, text string")
+    got = list(decontaminate.bench_blocks(bench, block_bytes=2000))
+    assert len(got) > 5 and sorted(i for b in got for i, _ in b) == list(range(50))
