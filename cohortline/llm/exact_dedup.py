@@ -7,7 +7,9 @@ remainders; fingerprints seen more than once go to byte verification.
    any size is one slot with a count in each filter, so it never makes a hot task.
 3. Rows whose fingerprint counts more than one are compared byte for byte: their
    whole normalised texts are grouped (pre-aggregated before the shuffle, and the
-   rows salted, so that a group with a third of all rows is spread).
+   rows salted, so that a group with a third of all rows is spread).  The other rows are
+   left out before it, by a broadcast of the repeated fingerprints up to ``MAX_BROADCAST`` of them and by a
+   salted join beyond.
 4. All rows learn their group by (fingerprint, digest).
 
 Defined results.  Null text counts as empty, and empty texts are equal to one
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.quotient_filter import CountingQuotientFilter, split_blocks
-from cohortline.llm.tables import doc_text
+from cohortline.llm.tables import doc_text, written
 
 BLOCK_BITS = 11          # 2,048 blocks: at 10^10 texts about five million slots (80 MB) meet in a task
 FILTER_ROWS = 1 << 20    # a task hands on its filters after so many fingerprints
 SALTS = 8
+MAX_BROADCAST = 1_000_000    # fingerprints of 8 bytes handed to every task; more are joined
 
 
 def _digests(texts: pa.Array) -> list[bytes]:
@@ -109,11 +112,15 @@ def repeated_fingerprints(texts: DataFrame) -> DataFrame:
 
 def copy_groups(texts: DataFrame) -> DataFrame:
     """Verified groups of equal texts: ``(fp, text_sha256, keep_id, group_size)``."""
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    repeated = repeated_fingerprints(texts).select("fp", F.explode(salts).alias("salt"))
+    repeated = written(repeated_fingerprints(texts).select("fp"), "repeated")
     rows = (texts.mapInArrow(_candidate_rows, "doc_id bigint, fp bigint, norm string")
-            .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-            .join(repeated, ["fp", "salt"], "left_semi"))
+            .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    if repeated.count() <= MAX_BROADCAST:
+        # rows that occur once go in the task that reads them
+        rows = rows.join(F.broadcast(repeated), "fp", "left_semi")
+    else:
+        salts = F.array(*[F.lit(i) for i in range(SALTS)])
+        rows = rows.join(repeated.select("fp", F.explode(salts).alias("salt")), ["fp", "salt"], "left_semi")
     # byte verification: equal fingerprint and equal whole text; first within a salt, then over all
     part = rows.groupBy("fp", "salt", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     return (part.groupBy("fp", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))

@@ -529,3 +529,12 @@ def test_benchmark_blocks_come_one_at_a_time(spark):
     bench = spark.createDataFrame([(i, "word " * 20 + str(i)) for i in range(50)], "item_id bigint, text string")
     got = list(decontaminate.bench_blocks(bench, block_bytes=2000))
     assert len(got) > 5 and sorted(i for b in got for i, _ in b) == list(range(50))
+
+
+def test_exact_dedup_with_many_repeated_fingerprints(spark, monkeypatch):
+    from cohortline.llm import exact_dedup as ed
+
+    docs = docs_of(spark, [f"text {i % 40}" for i in range(100)] + [None, "", "TEXT 1"])
+    few = sorted(map(str, ed.exact_dedup(docs).collect()))
+    monkeypatch.setattr(ed, "MAX_BROADCAST", 3)
+    assert sorted(map(str, ed.exact_dedup(docs).collect())) == few
