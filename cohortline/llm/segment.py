@@ -25,11 +25,11 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cohortline.llm.tables import doc_text
 
@@ -263,32 +263,32 @@ class Segmenter:
 
     def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
         """Ids of the best segmentation and the scores of the N best."""
-        ranked, _ = self.ranked(text)
-        return np.frombuffer(ranked[0][1], np.int32), [score for score, _ in ranked]
+        raw, ranked, _ = self.ranked(text)
+        return np.frombuffer(raw, np.int32), [score for score, _ in ranked]
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a text: ``(score, ids)``."""
-        return [(score, np.frombuffer(raw, np.int32).tolist()) for score, raw in self.ranked(text)[0]]
-
-    def ranked(self, text: str) -> tuple[list[tuple[float, bytes]], bool]:
-        """The N best segmentations, ids as bytes, and whether the best one's ids decode to the text:
-        its words' ids do, and its words are the text."""
+        raw, ranked, _ = self.ranked(text)
+        best = np.frombuffer(raw, np.int32).tolist()
+        return [(score, with_edits(best, edits)) for score, edits in ranked]
+
+    def ranked(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]:
+        """The best ids as bytes; the N best segmentations by score, each as edits of the best ids ``(at, drop,
+        ids)``: at place ``at``, ``drop`` ids give way to others; and whether the best ids decode to the text: its
+        words' ids do, and its words are the text."""
         units = self.units(text)
         if not units:
-            return [(0.0, b"")], not text
+            return b"", [(0.0, [])], not text
         entries = self._entries(units)
+        raw = [e[0] for e in entries]
         total = float(sum([e[1] for e in entries]))
-        best = [e[0] for e in entries]
-        out = []
+        out, before = [], None
         for x, swaps in self._least(units, entries):
-            if swaps:
-                parts = best.copy()
-                for k, ids in swaps.items():
-                    parts[k] = np.array(ids, np.int32).tobytes()
-            else:
-                parts = best
-            out.append((total - x, b"".join(parts)))
-        return out, MARK not in text and all([e[3] for e in entries]) and "".join(units) == MARK + text.replace(" ", MARK)
+            if swaps and before is None:
+                before = list(accumulate(map(len, raw), initial=0))
+            out.append((total - x, [(before[k] // 4, len(raw[k]) // 4, swaps[k]) for k in sorted(swaps)] if swaps else []))
+        same = MARK not in text and all([e[3] for e in entries]) and "".join(units) == MARK + text.replace(" ", MARK)
+        return b"".join(raw), out, same
 
     def _least(self, units: list[str], entries: list[tuple]) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The N least losses over all words' choices, with the words not at their best."""
@@ -317,10 +317,21 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
-_NBEST = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+def with_edits(best: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+    """The ids of a segmentation that differs from the best ids by ``edits`` (in order of their places)."""
+    out, done = [], 0
+    for at, drop, ids in edits:
+        out += best[done:at]
+        out += ids
+        done = at + drop
+    return out + best[done:]
+
+
+_EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_NBEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))]))
 _COLUMNS = {"doc_id": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": ("bigint", pa.int64()),
             "score": ("double", pa.float64()), "nbest_scores": ("array<double>", pa.list_(pa.float64())), "ids_crc": ("bigint", pa.int64()),
-            "round_trip": ("boolean", pa.bool_()), "nbest": ("array<struct<score:double,ids:array<int>>>", _NBEST)}
+            "round_trip": ("boolean", pa.bool_()), "nbest": ("array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>", _NBEST)}
 _SEGMENTERS: dict[tuple, Segmenter] = {}
 
 
@@ -334,7 +345,8 @@ def _segmenter(shared, model: str, nbest: int) -> Segmenter:
 
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentations: bool = False) -> DataFrame:
     """``doc_id, ids, n_pieces, score, nbest_scores, ids_crc, round_trip`` of every document, and with
-    ``segmentations`` also ``nbest``, the score and ids of each of the ``nbest`` best segmentations.
+    ``segmentations`` also ``nbest``: for each of the ``nbest`` best segmentations its score and where its ids
+    differ from ``ids`` (at place ``at``, ``drop`` ids give way to others; none for the best).
 
     ``round_trip`` says whether decoding the ids gives the very text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))    # the vocabulary: under 1 MB
@@ -346,9 +358,8 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentation
             # results go on in pieces: a batch's ids are as many as its characters at worst
             rows, size = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ranked, same = sp.ranked(text)
-                rows.append((doc_id, ranked, same))
-                size += len(ranked[0][1])
+                rows.append((doc_id, *sp.ranked(text)))
+                size += len(rows[-1][1])
                 if size > 8_000_000:
                     yield _batch(rows, names)
                     rows, size = [], 0
@@ -358,23 +369,17 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentation
     return doc_text(docs).mapInArrow(run, ", ".join(f"{c} {_COLUMNS[c][0]}" for c in names))
 
 
-def _lists(raw: list[bytes]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-
-
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    ids, ranked, same = zip(*rows)
-    best = [r[0][1] for r in ranked]
+    doc_ids, best, ranked, same = zip(*rows)
     scores = [[s for s, _ in r] for r in ranked]
-    columns = {"doc_id": ids, "n_pieces": [len(x) // 4 for x in best], "score": [s[0] for s in scores], "nbest_scores": scores,
+    sizes = [len(x) // 4 for x in best]
+    columns = {"doc_id": doc_ids, "n_pieces": sizes, "score": [s[0] for s in scores], "nbest_scores": scores,
                "ids_crc": [zlib.crc32(x) for x in best], "round_trip": same}
-    out = {c: pa.array(v, _COLUMNS[c][1]) for c, v in columns.items()}
-    out["ids"] = _lists(best)
     if "nbest" in names:
-        each = pa.StructArray.from_arrays([pa.array([s for x in scores for s in x], pa.float64()), _lists([raw for r in ranked for _, raw in r])],
-                                          names=["score", "ids"])
-        out["nbest"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in ranked]))).astype(np.int32)), each)
+        columns["nbest"] = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in r] for r in ranked]
+    out = {c: pa.array(v, _COLUMNS[c][1]) for c, v in columns.items()}
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    out["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(best), np.int32)))
     return pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
 
 
@@ -392,6 +397,17 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def nbest_segmentations(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
-    """``doc_id, place, score, ids`` of the ``nbest`` best segmentations of every document."""
-    every = encode(docs, model, nbest, segmentations=True).select("doc_id", F.posexplode("nbest").alias("at", "n"))
-    return every.select("doc_id", (F.col("at") + 1).alias("place"), F.col("n.score").alias("score"), F.col("n.ids").alias("ids"))
+    """``doc_id, place, score, ids`` of the ``nbest`` best segmentations of every document, ids in full."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _segmenter(shared, model, nbest)
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                got = sp.segmentations(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id] * len(got), pa.int64()), pa.array(range(1, len(got) + 1), pa.int32()),
+                     pa.array([s for s, _ in got], pa.float64()), pa.array([i for _, i in got], pa.list_(pa.int32()))],
+                    names=["doc_id", "place", "score", "ids"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id bigint, place int, score double, ids array<int>")

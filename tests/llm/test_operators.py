@@ -389,10 +389,12 @@ def test_runs_of_equal_characters_segment_quickly():
     sp = segment.Segmenter(segment.load_vocabulary())
     for text in ("x" * 100_000, "-" * 100_000, "ab" * 20_000, "x" * 3000 + " and " + "-" * 3000):
         began = time.time()
-        ranked, same = sp.ranked(text)
+        best, ranked, same = sp.ranked(text)
         assert same and len(ranked) == 4 and time.time() - began < 20
-        assert all(sp.decode(np.frombuffer(raw, np.int32).tolist()) == text for _, raw in ranked)
-        assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True) and len({raw for _, raw in ranked}) == 4
+        best = np.frombuffer(best, np.int32).tolist()
+        every = [segment.with_edits(best, edits) for _, edits in ranked]
+        assert all(sp.decode(ids) == text for ids in every) and len(set(map(tuple, every))) == 4
+        assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True)
     peaks = []
     for n in (5_000, 20_000):
         tracemalloc.start()
@@ -420,12 +422,16 @@ def test_tied_segmentations_have_their_longest_pieces_last():
 
 
 def test_sentencepiece_query_lists_all_segmentations(spark):
-    rows = {r["doc_id"]: r for r in segment.encode(docs_of(spark, ["the cats", "", None]), segmentations=True).collect()}
-    assert [list(x["ids"]) for x in rows[0]["nbest"]][0] == list(rows[0]["ids"]) and len(rows[0]["nbest"]) == 4
-    assert [x["score"] for x in rows[0]["nbest"]] == list(rows[0]["nbest_scores"])
-    assert [(x["score"], list(x["ids"])) for x in rows[1]["nbest"]] == [(0.0, [])] and rows[1]["round_trip"] and rows[2]["round_trip"]
-    flat = segment.nbest_segmentations(docs_of(spark, ["the cats"])).orderBy("place").collect()
-    assert [(r["place"], list(r["ids"])) for r in flat] == [(k + 1, list(x["ids"])) for k, x in enumerate(rows[0]["nbest"])]
+    texts = ["the cats", "", None, "several words, of which any may differ; even two"]
+    rows = {r["doc_id"]: r for r in segment.encode(docs_of(spark, texts), segmentations=True).collect()}
+    full = {}
+    for r in segment.nbest_segmentations(docs_of(spark, texts)).orderBy("place").collect():
+        full.setdefault(r["doc_id"], []).append((r["score"], list(r["ids"])))
+    for i, r in rows.items():
+        got = [(x["score"], segment.with_edits(list(r["ids"]), [(e["at"], e["drop"], e["ids"]) for e in x["edits"]])) for x in r["nbest"]]
+        assert got == full[i] and got[0][1] == list(r["ids"]) and r["round_trip"]
+        assert [s for s, _ in got] == list(r["nbest_scores"])
+    assert len(full[0]) == len(full[3]) == 4 and full[1] == [(0.0, [])]
 
 
 @pytest.fixture(scope="module")
