@@ -25,6 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortline.functions.joins import MAX_BROADCAST_ROWS
 from cohortline.llm import segment
 from cohortline.llm.decontaminate import drop_contaminated
 from cohortline.llm.exact_dedup import exact_dedup
@@ -44,25 +45,36 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _sized(dropped: DataFrame) -> DataFrame:
+    """A written list of rows to drop, broadcast if it is small and joined as it is if not."""
+    return F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_ROWS else dropped
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone_id, gone_text = _fresh(docs, "gone_id"), _fresh(docs, "gone_text")
     gone = (exact_dedup(docs).where("keep_id IS NOT NULL AND NOT doc_id <=> keep_id")
-            .select("doc_id", "text_sha256").distinct().toDF(gone_id := _fresh(docs, "gone_id"), gone_text := _fresh(docs, "gone_text")))
+            .select("doc_id", "text_sha256").distinct().toDF(gone_id, gone_text))
     normal = F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col(gone_id)) & (F.sha2(normal.cast("binary"), 256) == F.col(gone_text))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(_sized(written(gone, "pipeline-gone")), same, "left_anti")
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    doc_id = F.col("doc_id").cast("bigint")
+    repeated = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     row = _fresh(docs, "row_number")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")   # fixed from here on
+    # ids that name their rows serve as they are; else the rows get numbers, fixed by writing them
+    numbered = (docs.withColumn(row, doc_id) if repeated.isEmpty()
+                else written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered"))
     classes = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "class_id")
-    ids = numbered.select(F.col(row).alias("n"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    ids = numbered.select(F.col(row).alias("n"), doc_id.alias("doc_id"))
     # classes of one row need no look at their ids
+    classes = written(classes, "pipeline-classes")
     several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = written(classes.join(several, "class_id").join(ids, "n"), "pipeline-members")
     stays = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("n")))["n"].alias("n"))
     gone = members.join(stays, "n", "left_anti").select(F.col("n").alias(gone_row := _fresh(numbered, "gone_row")))
-    return numbered.join(gone, numbered[row] == F.col(gone_row), "left_anti").drop(row)
+    return numbered.join(_sized(written(gone, "pipeline-gone")), numbered[row] == F.col(gone_row), "left_anti").drop(row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
