@@ -38,7 +38,7 @@ NBEST = 4
 MARK = "▁"
 SIGNS = ".,;:!?|%&*$#()"      # signs that often end a word
 UNKNOWN_PENALTY = 10.0     # below the worst piece, as the library scores unknown characters
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000      # in each of two halves: about 100 MB a worker
 LONG_WORD = 1024           # longer words keep no edges
 TIE = 1e-6                 # scores nearer than this count as equal in the search
 
