@@ -119,7 +119,7 @@ _DAY_FACTS = ["first_order_uuid", "prev_day", "orders_before", "day_type", "n_ro
 
 
 def _ranked_by_window(orders: DataFrame, cdays: DataFrame) -> DataFrame:
-    j = orders.select(*_ORDER_COLS).join(cdays.select(S.USER, S.DATE, *_DAY_FACTS), [S.USER, S.DATE])
+    j = orders.select(*_ORDER_COLS).join(cdays.select(S.USER, S.DATE, *_DAY_FACTS).hint("merge"), [S.USER, S.DATE])
     # the join leaves the rows clustered by (user, date): this window sorts, no shuffle
     w_day = Window.partitionBy(S.USER, S.DATE).orderBy(S.ORDER)
     return _finish(j, F.when(F.col("n_rows") == 1, F.lit(1)).otherwise(F.row_number().over(w_day)))

@@ -2,9 +2,15 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from cohortline import schema as S
+from cohortline.functions import joins as J
 from cohortline.operators import classify as CL
 from cohortline.operators import marts as M
+from cohortline.operators.incremental import State, refresh_classified
 from cohortline.plans.registry import cleaned_table
+from cohortline.session import scratch_path
 from cohortline.sources.fixture import raw_orders
 from tests.conftest import SF_SMALL
 
@@ -49,3 +55,26 @@ def test_platform_marts_skip_classification_and_prune_columns(spark):
 def test_date_slice_filter_reaches_the_scan(spark):
     plan = _plan(raw_orders(spark, SF_SMALL, "historical"))
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", plan)
+
+
+def test_large_lookups_are_merged_not_broadcast(spark, monkeypatch):
+    """Lookups past the broadcast bound never reach the driver, however small Spark takes their files for."""
+    monkeypatch.setattr(J, "MAX_BROADCAST_ROWS", 10)
+    lookup = spark.range(50).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    rows = spark.range(200).select((F.col("id") % 60).alias("k"), F.col("id").alias("n"))
+    for spread in ("n", None):
+        got = J.lookup_join(rows, lookup, "k", spread)
+        assert "BroadcastHashJoin" not in _plan(got)
+        assert got.count() == 200 and got.where("v IS NULL").count() == sum(i % 60 >= 50 for i in range(200))
+
+
+def test_refreshes_broadcast_no_table_of_customers(spark, monkeypatch):
+    monkeypatch.setattr(J, "MAX_BROADCAST_ROWS", 0)
+    clean = cleaned_table(spark, SF_SMALL)
+    late = F.right(F.col(S.ORDER), F.lit(1)) == "3"
+    state = State(spark, scratch_path(spark, "state"))
+    first, second = clean.where(~late), clean.where(late)
+    state.refresh(first)
+    out = refresh_classified(state, CL.classify_orders(first), first, second)
+    assert "BroadcastHashJoin" not in _plan(out)
+    assert out.count() == clean.count()
