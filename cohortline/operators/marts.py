@@ -128,7 +128,7 @@ def customer_facts_of_days(cdays: DataFrame, platforms: DataFrame, as_of) -> Dat
         F.datediff(_as_of_column(cdays, as_of), F.col("last_order_date")).alias("days_since_last_order"),
         "reactivation_count",
     )
-    return facts.join(platforms, S.USER, "left")
+    return facts.join(platforms.hint("merge"), S.USER, "left")      # a row per customer: never broadcast
 
 
 MASTER_COLUMNS = [

@@ -78,3 +78,5 @@ def test_refreshes_broadcast_no_table_of_customers(spark, monkeypatch):
     out = refresh_classified(state, CL.classify_orders(first), first, second)
     assert "BroadcastHashJoin" not in _plan(out)
     assert out.count() == clean.count()
+    platforms = M.primary_platform(clean)
+    assert "BroadcastHashJoin" not in _plan(M.customer_facts_of_days(CL.classified_days(clean), platforms.checkpoint(), None))
