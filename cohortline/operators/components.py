@@ -62,12 +62,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _looked_up(rows: DataFrame, col: str, hooks: DataFrame) -> DataFrame:
-    """``rows`` with ``col`` replaced by its hook; many rows may share a value."""
+    """``rows`` with ``col`` replaced by its hook; many rows may share a value.  Hooks grow with the nodes:
+    merged, never broadcast by the size of their files."""
     other = [c for c in rows.columns if c != col]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = hooks.select(F.col("id").alias(col), F.col("to").alias("_to"),
                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return salted.join(copies, [col, "_salt"], "left").select(*other, F.coalesce("_to", col).alias(col)).select(*rows.columns)
+    return salted.join(copies.hint("merge"), [col, "_salt"], "left").select(*other, F.coalesce("_to", col).alias(col)).select(*rows.columns)
 
 
 def connected_components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:

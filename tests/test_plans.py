@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cohortline import schema as S
 from cohortline.functions import joins as J
 from cohortline.operators import classify as CL
+from cohortline.operators import components as CO
+from cohortline.operators import identity as ID
 from cohortline.operators import marts as M
 from cohortline.operators.incremental import State, refresh_classified
 from cohortline.plans.registry import cleaned_table
@@ -66,6 +68,8 @@ def test_large_lookups_are_merged_not_broadcast(spark, monkeypatch):
         got = J.lookup_join(rows, lookup, "k", spread)
         assert "BroadcastHashJoin" not in _plan(got)
         assert got.count() == 200 and got.where("v IS NULL").count() == sum(i % 60 >= 50 for i in range(200))
+    hooks = spark.range(50).select(F.col("id"), F.lit(0).cast("bigint").alias("to"))
+    assert "BroadcastHashJoin" not in _plan(CO._looked_up(rows, "k", hooks))
 
 
 def test_refreshes_broadcast_no_table_of_customers(spark, monkeypatch):
@@ -80,3 +84,13 @@ def test_refreshes_broadcast_no_table_of_customers(spark, monkeypatch):
     assert out.count() == clean.count()
     platforms = M.primary_platform(clean)
     assert "BroadcastHashJoin" not in _plan(M.customer_facts_of_days(CL.classified_days(clean), platforms.checkpoint(), None))
+
+
+def test_identity_clusters_broadcast_no_table_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(J, "MAX_BROADCAST_ROWS", 10)
+    clean = cleaned_table(spark, SF_SMALL)
+    for overlap in ("span", "day"):
+        got = ID.identity_clusters(clean, overlap)
+        assert "BroadcastHashJoin" not in _plan(got)
+        assert got.count() == clean.select(S.USER).distinct().count()
+    assert "BroadcastHashJoin" not in _plan(ID.visits(clean))
