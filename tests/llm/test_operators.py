@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortline.llm import decontaminate, dom, html_extract, license_scan, near_dup, segment, toxicity
 from cohortline.llm import url_filter as UF
@@ -245,6 +246,63 @@ def test_toxicity_learns_marked_words():
     assert np.allclose(m._raw_long(a, b, first, 7), whole, atol=1e-4)     # pooling in pieces changes nothing
 
 
+def test_toxicity_takes_every_labelled_row(spark, monkeypatch):
+    """Training, calibration and thresholds are of all labelled rows, over several tasks."""
+    monkeypatch.setattr(toxicity, "TRAINER_ROWS", 2000)
+    rnd = random.Random(3)
+    rows = []
+    for k in range(9000):
+        w = words(rnd.randint(2, 6), k)
+        y = int(k % 15 == 0)
+        if y:
+            w[rnd.randrange(len(w))] = rnd.choice(["badword", "worseword"])
+        rows.append((k, " ".join(w), "en", y))
+    # the rows that the least hashes of ids leave out of 6,000 have a word of their own
+    ids = spark.range(9000).where(toxicity.fold_of("id") > 1).where("id % 15 > 0").orderBy(F.xxhash64("id").desc()).limit(20)
+    late = {r[0] for r in ids.collect()}
+    rows = [(k, t + " lateword" if k in late else t, lang, y) for k, t, lang, y in rows]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int").repartition(4)
+    m = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    a, b, first = toxicity.word_ids(["lateword", "badword"])
+    assert (m.row_of[a] < len(m.emb) - 1).all()
+    # each of the calibration's sums is of its whole fold
+    sums = []
+    monkeypatch.setattr(toxicity, "_sums", lambda r, of, f=toxicity._sums: sums.append((r.count(), f(r, of))) or sums[-1][1])
+    m = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    fold = table.where(toxicity.fold_of("doc_id") == 1).count()
+    assert sums[0][1][1] == fold and {n for n, _ in sums} == {fold}
+    got = m.scores([t for _, t, _, _ in rows]) >= 0.5
+    assert (got == np.array([y for *_, y in rows], bool)).mean() > 0.99
+    assert m.thresholds["en"] >= 0.5
+
+
+def test_toxicity_scaling_thresholds_and_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 2, 500)
+    y = (z + rng.normal(0, 1, 500) > 1).astype(int)
+    table = spark.createDataFrame([("en", int(b), float(a)) for a, b in zip(z, y)], "lang string, label int, z double").repartition(3)
+    weight = (1.25, 0.5)
+    platt = toxicity.scaling_of(table, weight)
+    assert platt == pytest.approx(toxicity.platt_scaling(z, y, np.where(y == 1, 0.5, 1.25)), rel=1e-6)
+    cut = toxicity.language_thresholds(table, platt, weight)["en"]
+    score = 1 / (1 + np.exp(-(platt[0] * z + platt[1])))
+
+    def errors(at):
+        return (1.25 * ((score >= at) & (y == 0)) + 0.5 * ((score < at) & (y == 1))).sum()
+    assert errors(cut) == pytest.approx(min(errors(c) for c in [*score[score >= 0.5], 0.5, 1.1]))
+    # where filters are greatest does not depend on the pieces a text is searched in
+    texts = [" ".join(words(n, n)) for n in (40, 3, 0, 25, 9)]
+    a, b, first = toxicity.word_ids(texts)
+    t = toxicity.Training(np.arange(toxicity.WORD_SLOTS + toxicity.PREFIX_SLOTS + 1) < toxicity.WORD_SLOTS + toxicity.PREFIX_SLOTS)
+    whole = t._tops(t.m.row_of[a], t.m.row_of[b], first)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 5)
+    pieces = t._tops(t.m.row_of[a], t.m.row_of[b], first)
+    assert all(np.array_equal(x, y) for x, y in zip(whole[0], pieces[0])) and all(np.allclose(x, y) for x, y in zip(whole[1], pieces[1]))
+    flat = t.flat()
+    t.load(flat)
+    assert np.array_equal(t.flat(), flat)
+
+
 def test_lm_scores_each_rare_word_by_its_own_count(spark, monkeypatch):
     from cohortline.llm import pseudo_likelihood as pl
 
