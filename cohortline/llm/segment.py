@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 import numpy as np
@@ -38,7 +40,8 @@ NBEST = 4
 MARK = "▁"
 SIGNS = ".,;:!?|%&*$#()"      # signs that often end a word
 UNKNOWN_PENALTY = 10.0     # below the worst piece, as the library scores unknown characters
-CACHE_WORDS = 150_000      # in each of two halves: about 100 MB a worker
+CACHE_WORDS = 400_000      # in each of two halves: about 270 MB a worker while it segments
+IDLE_S = 3.0               # seconds after which a worker that segments no more forgets its words
 LONG_WORD = 1024           # longer words keep no edges
 TIE = 1e-6                 # scores nearer than this count as equal in the search
 
@@ -335,12 +338,24 @@ _COLUMNS = {"doc_id": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.
 _SEGMENTERS: dict[tuple, Segmenter] = {}
 
 
-def _segmenter(shared, model: str, nbest: int) -> Segmenter:
-    """One segmenter (and its remembered words) per Python worker."""
-    key = (model, nbest)
-    if key not in _SEGMENTERS:
-        _SEGMENTERS[key] = Segmenter(shared.value, nbest)
-    return _SEGMENTERS[key]
+_RESTING: list[threading.Timer] = []
+
+
+@contextmanager
+def _segmenter(shared, model: str, nbest: int) -> Iterator[Segmenter]:
+    """One segmenter (and its remembered words) per Python worker, kept from task to task.  Spark keeps idle workers and
+    gives them other operators' tasks: words are forgotten once no task has asked for them for ``IDLE_S``."""
+    while _RESTING:
+        _RESTING.pop().cancel()
+    sp = _SEGMENTERS.get((model, nbest)) or Segmenter(shared.value, nbest)
+    _SEGMENTERS[model, nbest] = sp
+    try:
+        yield sp
+    finally:
+        rest = threading.Timer(IDLE_S, _SEGMENTERS.clear)
+        rest.daemon = True
+        _RESTING.append(rest)
+        rest.start()
 
 
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentations: bool = False) -> DataFrame:
@@ -353,18 +368,18 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentation
     names = [c for c in _COLUMNS if segmentations or c != "nbest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _segmenter(shared, model, nbest)
-        for batch in batches:
-            # results go on in pieces: a batch's ids are as many as its characters at worst
-            rows, size = [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                rows.append((doc_id, *sp.ranked(text)))
-                size += len(rows[-1][1])
-                if size > 8_000_000:
+        with _segmenter(shared, model, nbest) as sp:
+            for batch in batches:
+                # results go on in pieces: a batch's ids are as many as its characters at worst
+                rows, size = [], 0
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    rows.append((doc_id, *sp.ranked(text)))
+                    size += len(rows[-1][1])
+                    if size > 8_000_000:
+                        yield _batch(rows, names)
+                        rows, size = [], 0
+                if rows:
                     yield _batch(rows, names)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, names)
 
     return doc_text(docs).mapInArrow(run, ", ".join(f"{c} {_COLUMNS[c][0]}" for c in names))
 
@@ -388,10 +403,10 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _segmenter(shared, model, NBEST)
-        for batch in batches:
-            texts = [sp.decode(x or []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        with _segmenter(shared, model, NBEST) as sp:
+            for batch in batches:
+                texts = [sp.decode(x or []) for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
@@ -401,13 +416,13 @@ def nbest_segmentations(docs: DataFrame, model: str = MODEL, nbest: int = NBEST)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _segmenter(shared, model, nbest)
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                got = sp.segmentations(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id] * len(got), pa.int64()), pa.array(range(1, len(got) + 1), pa.int32()),
-                     pa.array([s for s, _ in got], pa.float64()), pa.array([i for _, i in got], pa.list_(pa.int32()))],
-                    names=["doc_id", "place", "score", "ids"])
+        with _segmenter(shared, model, nbest) as sp:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    got = sp.segmentations(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * len(got), pa.int64()), pa.array(range(1, len(got) + 1), pa.int32()),
+                         pa.array([s for s, _ in got], pa.float64()), pa.array([i for _, i in got], pa.list_(pa.int32()))],
+                        names=["doc_id", "place", "score", "ids"])
 
     return doc_text(docs).mapInArrow(run, "doc_id bigint, place int, score double, ids array<int>")

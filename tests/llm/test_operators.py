@@ -246,6 +246,22 @@ def test_toxicity_learns_marked_words():
     assert np.allclose(m._raw_long(a, b, first, 7), whole, atol=1e-4)     # pooling in pieces changes nothing
 
 
+def test_segmenter_forgets_its_words_when_idle(monkeypatch):
+    import time
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(segment, "IDLE_S", 0.3)
+    shared = SimpleNamespace(value=(["▁", "a"], [-1.0, -2.0], [0, 0]))
+    with segment._segmenter(shared, "m", 2) as one:
+        one.encode("a a")
+    with segment._segmenter(shared, "m", 2) as two:
+        assert two is one and two.cache                     # the next task finds the words
+        time.sleep(0.6)
+        assert segment._SEGMENTERS                          # not while it works
+    time.sleep(0.9)
+    assert not segment._SEGMENTERS
+
+
 def test_toxicity_takes_every_labelled_row(spark, monkeypatch):
     """Training, calibration and thresholds are of all labelled rows, over several tasks."""
     monkeypatch.setattr(toxicity, "TRAINER_ROWS", 2000)
