@@ -31,6 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows handed to a Python worker at a time where executors' memory is tight.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of about ``BATCH_BYTES`` from now on, unless the session has a limit of its own.
+
+    By default a batch is 10,000 rows, some 30 MB of long texts, of which a task holds several copies outside
+    the heap: in Spark's buffers, in the worker's and as Python strings, before and after the operator."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Split sorted batches into one table per run of equal leading key columns.
 

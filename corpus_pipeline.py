@@ -16,6 +16,9 @@ text), near duplicates by a number that each row gets.  Rows of equal text and e
 document to exact dedup and stay together there; the next stage leaves one of them.  Of equal texts, rows
 without id go if a row with an id is there and stay otherwise; of near duplicates a row with an id stays before one without.
 Further columns, whatever their names, pass through; an empty table passes through as empty.
+
+Stages leave a limit of bytes for the batches of Python workers in the session (``bound_batches``), as they run after
+they return; a limit that the session has already stays.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from cohortline.llm import segment
 from cohortline.llm.decontaminate import drop_contaminated
 from cohortline.llm.exact_dedup import exact_dedup
 from cohortline.llm.near_dup import near_duplicates
-from cohortline.llm.tables import table, written
+from cohortline.llm.tables import bound_batches, table, written
 from cohortline.llm.toxicity import drop_toxic, fit
 
 
@@ -42,6 +45,7 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -51,6 +55,7 @@ def _sized(dropped: DataFrame) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     gone_id, gone_text = _fresh(docs, "gone_id"), _fresh(docs, "gone_text")
     gone = (exact_dedup(docs).where("keep_id IS NOT NULL AND NOT doc_id <=> keep_id")
             .select("doc_id", "text_sha256").distinct().toDF(gone_id, gone_text))
@@ -60,6 +65,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     doc_id = F.col("doc_id").cast("bigint")
     repeated = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     row = _fresh(docs, "row_number")
@@ -78,10 +84,12 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return segment.encode(docs)
 
 

@@ -107,3 +107,29 @@ def test_run_keeps_what_the_stages_keep(spark, tmp_path):
         step = spark.read.parquet(path)
     assert sorted(r["doc_id"] for r in step.collect()) == sorted(ids)
     assert got.where(~F.col("round_trip")).count() == 0
+
+
+def test_stages_bound_the_batches_of_python_workers(spark):
+    from cohortline.llm.tables import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 3000) AS text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.sentencepiece_stage(spark, rows, "")
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
+        spark.conf.set(key, "1000000")
+        corpus_pipeline.sentencepiece_stage(spark, rows, "")
+        assert spark.conf.get(key) == "1000000"                # the session's own limit stays
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
