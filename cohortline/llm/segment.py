@@ -25,25 +25,33 @@ import heapq
 import re
 import threading
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortline.llm.tables import doc_text
+from cohortline.llm.textnum import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
 SIGNS = ".,;:!?|%&*$#()"      # signs that often end a word
 UNKNOWN_PENALTY = 10.0     # below the worst piece, as the library scores unknown characters
-CACHE_WORDS = 400_000      # in each of two halves: about 270 MB a worker while it segments
+CACHE_WORDS = 100_000      # in each of two halves: about 80 MB a worker while it segments
+LEARN_CHARS = 1 << 19      # characters of texts whose unknown words are worked on together
+LEARN_WORDS = 1 << 13      # of them at a time
+NBEST_WORDS = 8_000        # words whose N best are remembered: the least losses of texts are often those of the same words
 IDLE_S = 3.0               # seconds after which a worker that segments no more forgets its words
+SHORT_WORD = 32            # longer words' N best are not remembered
 LONG_WORD = 1024           # longer words keep no edges
 TIE = 1e-6                 # scores nearer than this count as equal in the search
+_IDS, _SCORE, _LOSS, _GIVES = map(itemgetter, range(4))      # of a word's entry
 
 
 def load_vocabulary(model: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -56,6 +64,31 @@ def load_vocabulary(model: str = MODEL) -> tuple[list[str], list[float], list[in
     return [sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], kind
 
 
+def _node_table(pieces: dict[str, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trie of pieces as arrays: sorted keys ``parent << 21 | character`` (a node is its key's place + 1, the root 0),
+    and each node's piece (-1 for none) and score."""
+    prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+    node, keys = {"": 0}, []
+    # parents are numbered before their children and by their own order, so keys come in sorted order
+    by_length: dict[int, list[str]] = {}
+    for p in prefixes:
+        by_length.setdefault(len(p), []).append(p)
+    for level in sorted(by_length):
+        for key, p in sorted((node[p[:-1]] << 21 | ord(p[-1]), p) for p in by_length[level]):
+            keys.append(key)
+            node[p] = len(keys)
+    ids, scores = np.full(len(keys) + 1, -1, np.int64), np.zeros(len(keys) + 1)
+    for p, (i, score) in pieces.items():
+        ids[node[p]], scores[node[p]] = i, score
+    return np.array(keys, np.int64), ids, scores
+
+
+def _groups(place: np.ndarray) -> list[np.ndarray]:
+    """The indexes of each place's members, places ascending."""
+    order = np.argsort(place, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []
+
+
 class Segmenter:
     """N-best segmentation over one vocabulary."""
 
@@ -64,13 +97,14 @@ class Segmenter:
         self.n = nbest
         self.piece = {p: (i, s) for i, (p, s, k) in enumerate(zip(pieces, scores, kinds)) if k == 0}
         self.longest = max(map(len, self.piece), default=1)
+        self.table = _node_table(self.piece)
         self.byte_id = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
-        self.trie: dict = {}
+        self.trie: dict = {}                     # character -> [the next characters' trie, the piece that ends here]
         for p, (i, score) in self.piece.items():
-            node = self.trie
+            node = [self.trie, None]
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = ((i,), score)
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = ((i,), score)
         self.unknown = min((s for _, s in self.piece.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
         inner = any(MARK in p.lstrip(MARK) for p in self.piece)
         if inner:
@@ -81,13 +115,16 @@ class Segmenter:
         # so does a letter before a sign that no piece has after a letter
         follows = {b for p in self.piece for a, b in zip(p, p[1:]) if a.isalpha()}
         signs = "".join(re.escape(c) for c in SIGNS if c not in follows)
-        letters = f"[^\\W\\d_]+(?=[{signs}])|" if signs else ""
-        self.words = re.compile(f"{MARK}+(?:{letters}[^{MARK}{breaks}]*)" + (f"|[{breaks}]" if breaks else "")
-                                + f"|{letters}[^{MARK}{breaks}]+")
+        rest = f"[^{MARK}{breaks}]"
+        # letters are never given back (no sign is a letter); a run of plain ones is matched quickly
+        letters = f"(?:[A-Za-z]++[^\\W\\d_]*+|[^\\W\\d_]++)(?:(?=[{signs}])|{rest}*)|" if signs else ""
+        self.words = re.compile(f"{MARK}+(?:{letters}{rest}*)" + (f"|[{breaks}]" if breaks else "") + f"|{letters}{rest}+")
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if k == 1 else b"" if k == 2 else p.replace(MARK, " ").encode()
                          for p, k in zip(pieces, kinds)]
         self.cache: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.choices: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.lossy = False         # whether any word met so far had ids that don't decode to it
 
     # ── one word ─────────────────────────────────────────────────────────────
 
@@ -98,12 +135,9 @@ class Segmenter:
     def edges_from(self, word: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
         """``(end, ids, score)`` of the pieces that start at ``i``."""
         node, j, out = self.trie, i, []
-        while j < len(word):
-            node = node.get(word[j])
-            if node is None:
-                break
+        while j < len(word) and (found := node.get(word[j])):
+            node, piece = found
             j += 1
-            piece = node.get("")
             if piece is not None:
                 out.append((j, *piece))
         if not out or out[0][0] != i + 1:
@@ -187,7 +221,9 @@ class Segmenter:
     def gives(self, ids: list[int], word: str) -> bool:
         """Whether the ids decode to the word."""
         of = self.bytes_of
-        return b"".join([of[i] for i in ids]) == word.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        same = b"".join([of[i] for i in ids]) == word.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        self.lossy = self.lossy or not same
+        return same
 
     def _word(self, word: str) -> tuple[bytes, float, float, bool]:
         """Best ids (as bytes), best score, whether they decode to the word, and what the second best loses: the best
@@ -196,56 +232,139 @@ class Segmenter:
         if n > LONG_WORD:
             return self._long_word(word)         # not remembered: such words hardly come again
         low = float("-inf")
-        best, back = [low] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
+        best, back = [0.0] + [low] * n, [None] * (n + 1)
         edges = []
         trie, add = self.trie, edges.append
         for i in range(n):                       # lattice and forward Viterbi in one walk
             node, j, here, single = trie, i, best[i], False
-            while j < n:
-                node = node.get(word[j])
-                if node is None:
-                    break
+            while j < n and (found := node.get(word[j])):
+                node, piece = found
                 j += 1
-                piece = node.get("")
                 if piece is not None:
                     if j == i + 1:
                         single = True
-                    v = here + piece[1]
-                    e = (i, j, v, piece)
+                    ids, s = piece
+                    v = here + s
+                    e = (i, j, v, s, ids)
                     add(e)
                     if v > best[j]:
                         best[j] = v
                         back[j] = e
             if not single:
-                piece = (tuple(self.byte_id.get(b, 0) for b in word[i].encode("utf-8", "surrogatepass")), self.unknown)
-                e = (i, i + 1, here + self.unknown, piece)
+                ids, s = self.unknown_piece(word[i])
+                e = (i, i + 1, here + s, s, ids)
                 add(e)
                 if e[2] > best[i + 1]:
                     best[i + 1] = e[2]
                     back[i + 1] = e
-        ids: list[int] = []
-        at, on = n, set()
+        path, at = [], n
         while at:
             e = back[at]
-            ids[:0] = e[3][0]
-            on.add(id(e))
+            path.append(e)
             at = e[0]
+        on = set(map(id, path))
         rest = [low] * n + [0.0]
         second = low
         for e in reversed(edges):
-            i, j, v, piece = e
+            i, j, v, s, _ = e
             r = rest[j]
-            if r + piece[1] > rest[i]:
-                rest[i] = r + piece[1]
+            if r + s > rest[i]:
+                rest[i] = r + s
             if v + r > second and id(e) not in on:
                 second = v + r
-        entry = (np.array(ids, np.int32).tobytes(), best[n], max(0.0, best[n] - second), self.gives(ids, word))
+        ids = [x for e in reversed(path) for x in e[4]]
+        entry = (array("i", ids).tobytes(), best[n], max(0.0, best[n] - second), self.gives(ids, word))
+        self._remember(word, entry)
+        return entry
+
+    def _remember(self, word: str, entry: tuple) -> None:
         if len(self.cache) >= CACHE_WORDS:
             self.older = self.cache              # words met again come back from the older half
             self.cache = {}
         self.cache[word] = entry
-        return entry
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the entries (see ``_word``) of words, all those that are not known worked on together."""
+        new = []
+        for w in words:
+            if w not in self.cache:
+                entry = self.older.pop(w, None)
+                if entry is not None:
+                    self._remember(w, entry)
+                elif len(w) <= SHORT_WORD:
+                    new.append(w)
+        for lo in range(0, len(new), LEARN_WORDS):
+            some = new[lo:lo + LEARN_WORDS]
+            for w, entry in zip(some, self._words(some)):
+                if entry is not None:            # else left to _word
+                    self._remember(w, entry)
+
+    def _words(self, words: list[str]) -> list[tuple | None]:
+        """``_word`` of many short words, with the same sums in the same order; None for words with a character
+        without a piece.  The words' characters stand in one array, place ``length + 1`` of each being its end."""
+        keys, node_id, node_score = self.table
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(length + 1)))
+        chars = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        last = first[1:] - 1
+        of = np.repeat(np.arange(len(words)), length + 1)
+        offset = np.arange(first[-1]) - first[of]
+        # edges: pieces from every place, one character longer at a time
+        start = np.flatnonzero(offset < length[of])
+        node, edges, plain = np.zeros(len(start), np.int64), [], np.ones(len(words), bool)
+        for k in range(self.longest):
+            key = (node << 21) | chars[start + k]
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            go = keys[at] == key
+            if not k:
+                plain[of[start[~go]]] = False
+            start, node = start[go], at[go] + 1
+            hit = node_id[node] >= 0
+            if not k:
+                plain[of[start[~hit]]] = False
+            edges.append((start[hit], start[hit] + k + 1, node[hit]))
+            inside = start + k + 1 < last[of[start]]
+            start, node = start[inside], node[inside]
+            if not len(start):
+                break
+        begin, end, node = (np.concatenate(x) for x in zip(*edges))
+        kept = plain[of[begin]]
+        begin, end, node = begin[kept], end[kept], node[kept]
+        score = node_score[node]
+        low = float("-inf")
+        # forward, by the place of the begin (ends differ there): the first of equal paths stays
+        best, back = np.full(first[-1], low), np.zeros(first[-1], np.int64)
+        best[first[:-1]] = 0.0
+        value = np.empty(len(begin))
+        for e in _groups(offset[begin]):
+            value[e] = v = best[begin[e]] + score[e]
+            e, v = (x[v > best[end[e]]] for x in (e, v))
+            best[end[e]], back[end[e]] = v, e
+        # backward, by the place of the end (begins differ there)
+        rest = np.full(first[-1], low)
+        rest[last] = 0.0
+        for e in reversed(_groups(offset[end])):
+            rest[begin[e]] = np.maximum(rest[begin[e]], rest[end[e]] + score[e])
+        on = np.zeros(len(begin), bool)
+        at = last[plain]
+        while len(at):
+            on[back[at]] = True
+            at = begin[back[at]]
+            at = at[offset[at] > 0]
+        total = value + rest[end]
+        total[on] = low
+        second = np.full(len(words), low)
+        np.maximum.at(second, of[begin], total)
+        path = np.flatnonzero(on)
+        path = path[np.argsort(begin[path])]
+        raw = node_id[node[path]].astype(np.int32).tobytes()
+        cut = 4 * np.concatenate(([0], np.cumsum(np.bincount(of[begin[path]], minlength=len(words)))))
+        top = best[last]
+        with np.errstate(invalid="ignore"):
+            loss = np.maximum(0.0, top - second)
+        return [(raw[a:b], t, x, True) if ok else None
+                for a, b, t, x, ok in zip(cut[:-1].tolist(), cut[1:].tolist(), top.tolist(), loss.tolist(), plain.tolist())]
 
     def _entries(self, units: list[str]) -> list[tuple]:
         get, miss = self.cache.get, self._miss
@@ -256,7 +375,7 @@ class Segmenter:
         if entry is None:
             entry = self.older.pop(word, None)
             if entry is not None:
-                self.cache[word] = entry
+                self._remember(word, entry)
         return entry or self._word(word)
 
     # ── whole texts ──────────────────────────────────────────────────────────
@@ -279,28 +398,51 @@ class Segmenter:
         """The best ids as bytes; the N best segmentations by score, each as edits of the best ids ``(at, drop,
         ids)``: at place ``at``, ``drop`` ids give way to others; and whether the best ids decode to the text: its
         words' ids do, and its words are the text."""
-        units = self.units(text)
+        return self._ranked(text, self.units(text))
+
+    def ranked_all(self, texts: list[str]) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]]:
+        """``ranked`` of every text; unknown words of about ``LEARN_CHARS`` characters of texts are worked on together."""
+        for lo, hi in blocks(texts, LEARN_CHARS):
+            units = [self.units(t) for t in texts[lo:hi]]
+            self.learn(set().union(*units))
+            for text, words in zip(texts[lo:hi], units):
+                yield self._ranked(text, words)
+
+    def _ranked(self, text: str, units: list[str]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]], bool]:
         if not units:
             return b"", [(0.0, [])], not text
         entries = self._entries(units)
-        raw = [e[0] for e in entries]
-        total = float(sum([e[1] for e in entries]))
+        raw = list(map(_IDS, entries))
+        total = float(sum(map(_SCORE, entries)))
         out, before = [], None
-        for x, swaps in self._least(units, entries):
+        for x, swaps in self._least(units, np.fromiter(map(_LOSS, entries), np.float64, len(entries))):
             if swaps and before is None:
                 before = list(accumulate(map(len, raw), initial=0))
             out.append((total - x, [(before[k] // 4, len(raw[k]) // 4, swaps[k]) for k in sorted(swaps)] if swaps else []))
-        same = MARK not in text and all([e[3] for e in entries]) and "".join(units) == MARK + text.replace(" ", MARK)
+        same = MARK not in text and (not self.lossy or all(map(_GIVES, entries)))
         return b"".join(raw), out, same
 
-    def _least(self, units: list[str], entries: list[tuple]) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
-        """The N least losses over all words' choices, with the words not at their best."""
+    def _choices(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        """``nbest`` of a word, remembered if it is not long."""
+        got = self.choices.get(word)
+        if got is None:
+            got = self.nbest(word)
+            if len(word) <= SHORT_WORD:
+                if len(self.choices) >= NBEST_WORDS:
+                    self.choices = {}
+                self.choices[word] = got
+        return got
+
+    def _least(self, units: list[str], loss: np.ndarray) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+        """The N least losses over all words' choices, with the words not at their best; ``loss``: of each word's second best."""
         n = self.n
-        loss = np.array([e[2] for e in entries])
-        few = np.flatnonzero(np.isfinite(loss))
-        if len(few) > n - 1:
+        if len(loss) > n - 1 > 0:                # ties go to the words that come first
+            few = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2])
             few = few[np.argsort(loss[few], kind="stable")[:n - 1]]
-        choices = [self.nbest(units[w]) for w in few]
+        else:
+            few = np.arange(len(loss) if n > 1 else 0)
+        few = few[np.isfinite(loss[few])]
+        choices = [self._choices(units[w]) for w in few]
         heap, out, serial = [(0.0, 0, 0, ())], [], 0
         while heap and len(out) < n:
             x, _, k, swaps = heapq.heappop(heap)
@@ -372,8 +514,8 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST, segmentation
             for batch in batches:
                 # results go on in pieces: a batch's ids are as many as its characters at worst
                 rows, size = [], 0
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows.append((doc_id, *sp.ranked(text)))
+                for doc_id, ranked in zip(batch.column("doc_id").to_pylist(), sp.ranked_all(batch.column("text").to_pylist())):
+                    rows.append((doc_id, *ranked))
                     size += len(rows[-1][1])
                     if size > 8_000_000:
                         yield _batch(rows, names)

@@ -618,3 +618,28 @@ def test_exact_dedup_with_many_repeated_fingerprints(spark, monkeypatch):
     few = sorted(map(str, ed.exact_dedup(docs).collect()))
     monkeypatch.setattr(ed, "MAX_BROADCAST", 3)
     assert sorted(map(str, ed.exact_dedup(docs).collect())) == few
+
+
+def test_words_learned_together_are_segmented_like_single_ones(monkeypatch):
+    rng = random.Random(3)
+    vocabulary = segment.load_vocabulary()
+    letters = "abcdeiorstéñ▁.,0123日😀\x00\n"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(600)] + ["y" * 40]
+    one, many = segment.Segmenter(vocabulary), segment.Segmenter(vocabulary)
+    got = many._words(words[:600])
+    assert sum(x is not None for x in got) > 300                  # the others have characters without a piece
+    assert all(x == one._word(w) for w, x in zip(words, got) if x is not None)
+    toy = segment.Segmenter((["<unk>", "a", "aa", "aaa", "b"], [0.0, -1.0, -2.0, -3.0, -1.0], [2, 0, 0, 0, 0]))      # ties
+    some = ["a" * n + "b" * m for n in range(6) for m in range(3) if n + m]
+    assert toy._words([*some, "ac"]) == [*map(toy._word, some), None]
+    # few words remembered, few learned at a time: the same results, and single words are hardly ever left
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)] + [""]
+    want = [one.ranked(t) for t in texts]
+    for size in (7, 100_000):
+        monkeypatch.setattr(segment, "CACHE_WORDS", size)
+        monkeypatch.setattr(segment, "LEARN_WORDS", 50)
+        monkeypatch.setattr(segment, "NBEST_WORDS", 2)
+        assert list(segment.Segmenter(vocabulary).ranked_all(texts)) == want
+    plain = segment.Segmenter(vocabulary)
+    monkeypatch.setattr(plain, "_word", None)
+    assert len(list(plain.ranked_all(["the cat sat, the dog ran. " * 20] * 3))) == 3

@@ -124,10 +124,10 @@ def test_stages_bound_the_batches_of_python_workers(spark):
 
     try:
         spark.conf.unset(key)
-        corpus_pipeline.sentencepiece_stage(spark, rows, "")
+        cp.sentencepiece_stage(spark, rows, "")
         assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
         spark.conf.set(key, "1000000")
-        corpus_pipeline.sentencepiece_stage(spark, rows, "")
+        cp.sentencepiece_stage(spark, rows, "")
         assert spark.conf.get(key) == "1000000"                # the session's own limit stays
     finally:
         spark.conf.unset(key)
